@@ -22,7 +22,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """Bijective 64-bit finaliser."""
-    x = x + np.uint64((salt * BASE_BYTES) % 2**64)
+    x = x + np.uint64((int(salt) * BASE_BYTES) % 2**64)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX[0])
     x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX[1])
     return x ^ (x >> np.uint64(31))
