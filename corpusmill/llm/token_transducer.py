@@ -31,7 +31,7 @@ from .pieces import LETTER, NUMBER, OTHER, SPACE, classes
 from .wordhash import runs
 
 #: Bytes of a chunk, texts' bytes in a batch, and states after which the table starts anew.
-CHUNK, RUN_BYTES, STATES = 512, 8 << 20, 150_000
+CHUNK, RUN_BYTES, STATES = 512, 4 << 20, 100_000
 
 #: Contraction endings of one letter, and the two-letter ones by their first letter.
 ONE, TWO = set(b"stmd"), {ord("r"): ord("e"), ord("v"): ord("e"), ord("l"): ord("l")}
@@ -89,7 +89,7 @@ class Transducer:
         new = tuple((length, before, count - gain) for length, before, count in open_) + ((0, last, 0),)
         width = new[0][0]
         have = (longer[len(longer) - width :] if width else b"", new), gain
-        if len(self.steps) > 400_000:
+        if len(self.steps) > 100_000:
             self.steps.clear()
         self.steps[state, byte] = have
         return have
