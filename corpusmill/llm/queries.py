@@ -12,6 +12,7 @@ from .common import checkpointed, table
 from .language_id import predict_language, train_language_model
 from .mixing import mix_sources
 from .near_dedup import near_dedup
+from .pitman_yor import hpy_scores
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 from .token_transducer import token_counts
@@ -26,6 +27,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    out = hpy_scores(table(spark, sf_dir, "documents"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts' bytes are played as 8-bit samples; every twentieth id asks for its best alignment among all."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.to_binary("text", F.lit("utf-8")).alias("audio"))
@@ -75,6 +82,6 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
-QUERIES = {q.__name__: q for q in (op1_substring_dedup, op3_chroma, op4_toxicity, op5_byte_bpe, op6_quality_rules, op7_token_counts, op8_language_id, op9_mixing, op10_near_dedup)}
+QUERIES = {q.__name__: q for q in (op1_substring_dedup, op2_pitman_yor, op3_chroma, op4_toxicity, op5_byte_bpe, op6_quality_rules, op7_token_counts, op8_language_id, op9_mixing, op10_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
