@@ -35,14 +35,17 @@ SHARES = {
 }
 
 
-def text_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def text_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", whole_row: str | None = None) -> DataFrame:
     """(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_exclaim, n_upper), one row for each row.
 
+    With `whole_row` the input row is passed on as a struct of that name.
     A null text counts as empty.  A window of five words repeats if its 64-bit
     hash is found twice in the text.  Texts are read whole; a text's arrays stay within its row.
     """
     none = F.array().cast("array<bigint>")
-    t = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
+    extra = [F.struct(*[F.col(c) for c in docs.columns]).alias(whole_row)] if whole_row else []
+    more = [whole_row] if whole_row else []
+    t = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t"), *extra)
     t = t.withColumn("w", words(F.col("t"))).withColumn("n_words", F.size("w").cast("long"))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     t = t.withColumn("lines", lines)
@@ -50,6 +53,7 @@ def text_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     hashes = F.transform(F.sequence(F.lit(0), F.size("w") - REPEAT), lambda i: F.xxhash64(*[at(i, k) for k in range(REPEAT)]))
     t = t.select(
         "id",
+        *more,
         "n_words",
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -66,7 +70,7 @@ def text_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     t = t.withColumn("found", F.array_sort(F.transform(F.filter("s", lambda e, j: same(e, j - 1) | same(e, j + 1)), lambda e: e["i"])))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("total"))
     covered = F.aggregate("found", start, lambda a, i: F.struct((i + REPEAT).alias("end"), (a["total"] + i + REPEAT - F.greatest(i, a["end"])).alias("total")), lambda a: a["total"])
-    return t.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words"), "n_lines", "n_exclaim", "n_upper")
+    return t.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words"), "n_lines", "n_exclaim", "n_upper", *more)
 
 
 def base_failed() -> Column:
@@ -177,6 +181,14 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
+def learn_from_labels(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", stats: DataFrame | None = None, **options) -> DecisionList:
+    """Rules for the texts that pass the base rules, from labels (0: bad); a repeated id counts with its smallest label."""
+    stats = text_statistics(docs, id_col=id_col, text_col=text_col) if stats is None else stats
+    known = labels.groupBy(F.col(id_col).alias("label_id")).agg(F.min(label_col).alias("label")).where("label_id is not null and label is not null")
+    labelled = stats.where(~base_failed()).join(known, F.col(id_col) == F.col("label_id")).withColumn("bad", F.when(F.col("label") == 0, 1).otherwise(0)).withColumn("grow", F.pmod(F.xxhash64("label_id"), F.lit(3)) != 0)
+    return learn_rules(labelled, **options)
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> tuple[DataFrame, DecisionList]:
     """Statistics, `base_failed`, `rule` (first that rejects, or null) and `kept` for each row of `docs`, and the rules.
 
@@ -186,8 +198,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     labels gives an empty list, which keeps all that the base rules keep.
     """
     stats = checkpointed(text_statistics(docs, id_col=id_col, text_col=text_col))
-    known = labels.groupBy(F.col(id_col).alias("label_id")).agg(F.min(label_col).alias("label")).where("label_id is not null and label is not null")
-    labelled = stats.where(~base_failed()).join(known, F.col(id_col) == F.col("label_id")).withColumn("bad", F.when(F.col("label") == 0, 1).otherwise(0)).withColumn("grow", F.pmod(F.xxhash64("label_id"), F.lit(3)) != 0)
-    rules = learn_rules(labelled, **options)
+    rules = learn_from_labels(docs, labels, id_col=id_col, label_col=label_col, stats=stats, **options)
     out = stats.withColumn("base_failed", base_failed()).withColumn("rule", rules.expression())
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()), rules
+
+
+def keep_good(docs: DataFrame, rules: DecisionList, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that neither the base rules nor the list reject, with all their columns."""
+    rows = text_statistics(docs, id_col=id_col, text_col=text_col, whole_row="__row")
+    # As an exploded array rather than a filter, which Spark would push below the statistics and so compute them many times.
+    kept = F.when(~base_failed() & rules.verdict(), F.array("__row"))
+    return rows.select(F.explode_outer(kept).alias("__row")).where(F.col("__row").isNotNull()).select("__row.*")
