@@ -1,4 +1,27 @@
-"""Queries by name, each (spark, sf_dir) -> DataFrame, and the SQL that gives the same rows."""
+"""Queries by name, each (spark, sf_dir) -> DataFrame, and the SQL that gives the same rows.
 
-QUERIES: dict = {}
+Query modules register themselves with `query`; importing this module imports them.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Register a function under its name, with SQL that DuckDB runs on the same tables (none where SQL is no match)."""
+
+    def put(f: Callable) -> Callable:
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLE_SQL[key] = sql
+        return f
+
+    return put
+
+
+from . import analysis, corpus, curation, evaluation, incremental  # noqa: E402, F401
