@@ -179,7 +179,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, *, text_col: str = "tex
     kinds = dict(source.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in source.columns if c != own] + ["`__ids` array<int>"] + ["`__decoded` binary"] * bool(decoded_col))
     out = source.mapInArrow(run, schema)
-    return out.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(keep)], F.col("__ids").alias(ids_col), *[F.col("__decoded").alias(decoded_col)] * bool(decoded_col))
+    return out.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(keep)], F.col("__ids").alias(ids_col), *([F.col("__decoded").alias(decoded_col)] if decoded_col else []))
 
 
 def bpe_decode(rows: DataFrame, path: str, pattern: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
