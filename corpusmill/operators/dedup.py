@@ -82,3 +82,33 @@ def greedy_keep(edges: DataFrame, labels: DataFrame) -> DataFrame:
         return pd.DataFrame({"node": list(kept), "kept": list(kept.values())})
 
     return mine.groupBy("component").applyInPandas(decide, "node long, kept boolean")
+
+
+def cap_degrees(edges: DataFrame, cap: int, checkpoint, max_rounds: int = 100) -> DataFrame:
+    """The edges (a, b, sim) that remain if they are taken by falling similarity (ties: a, then b) while both ends have fewer than `cap`.
+
+    An edge among the best of both its ends, as many as these may still take, is taken by
+    the sequential rule too; so each round takes all of those at once and drops the edges of full ends.
+    """
+    order = [F.col("sim").desc(), F.col("a"), F.col("b")]
+    left, taken = checkpoint(edges.select("a", "b", "sim")), None
+    used = None
+    for _ in range(max_rounds):
+        if used is not None:  # drop the edges of full ends, so that they take no rank
+            full = used.where(F.col("used") >= cap).select("node")
+            for end in ("a", "b"):
+                left = left.join(full.withColumnRenamed("node", end), end, "left_anti")
+            left = checkpoint(left.select("a", "b", "sim"))
+        if not left.limit(1).count():
+            break
+        ends = left.select(F.col("a").alias("node"), "a", "b", "sim").unionByName(left.select(F.col("b").alias("node"), "a", "b", "sim"))
+        ends = ends.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(*order)))
+        ends = ends.withColumn("free", F.lit(cap)) if used is None else ends.join(used, "node", "left").withColumn("free", cap - F.coalesce("used", F.lit(0)))
+        both = checkpoint(ends.groupBy("a", "b", "sim").agg(F.min((F.col("rank") <= F.col("free")).cast("int")).alias("take")))
+        now = both.where("take = 1").select("a", "b", "sim")
+        taken = checkpoint(now if taken is None else taken.unionByName(now))
+        used = taken.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("used"))
+        left = both.where("take = 0").select("a", "b", "sim")
+    else:
+        raise RuntimeError("the edges did not settle")
+    return edges.limit(0).select("a", "b", "sim") if taken is None else taken

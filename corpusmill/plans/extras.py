@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import pairs, search, synth
-from ..sources.io import table
+from ..functions import text as T
+from ..functions.spans import literal_span
+from ..functions.structure import turn_pairs
+from ..operators import dedup, pairs, search, select, similarity, synth
+from ..sources.io import shard_of, table
+from . import analysis
 from .registry import query
 
 _TERMS = "SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS size FROM documents"
@@ -70,3 +75,54 @@ def syllogisms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def call_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = table(spark, sf_dir, "events").select("event_id", F.format_string('{"function": "%s", "args": {"user": "%d", "value": "%.1f"}}', "event_type", "user_id", "value").alias("call"))
     return synth.repairs(calls).groupBy("kind").agg(F.count("*").alias("n"), F.sum((F.col("damaged") != F.col("call")).cast("long")).alias("changed"))
+
+
+@query()
+def hard_negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring documents whose numbers differ, two pairs for each at most, the nearest first; vector ids stand for documents."""
+    v = analysis.vectors(spark, sf_dir)
+    edges = dedup.canonical_edges(similarity.top_k(v, v, 8, least=0.2))
+    nums = table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\\s+")).alias("n"), T.numbers(F.col("text")).alias("nums"))
+    sides = edges.join(nums.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("nums").alias("x")), "a").join(nums.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("nums").alias("y")), "b")
+    only = F.when(F.size(F.array_except("x", "y")) > 0, F.array_except("x", "y")).otherwise(F.array_except("y", "x"))
+    kept = sides.where((F.size(only) > 0) & (F.col("na") + F.col("nb") <= 2000)).select("a", "b", "sim")
+    return dedup.cap_degrees(kept, 2, analysis.checkpoint(spark)).select("a", "b", F.round("sim", 4).alias("sim"))
+
+
+@query()
+def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of each assistant's turn that the user's turn before it has literally, two for each conversation at most."""
+
+    @F.pandas_udf("string")
+    def span(a: pd.Series, q: pd.Series) -> pd.Series:
+        return pd.Series([literal_span(x or "", y or "") for x, y in zip(a, q, strict=True)], dtype="object")
+
+    rows = turn_pairs(table(spark, sf_dir, "conversations"))
+    found = rows.withColumn("span", span("a", "q")).withColumn("exact", F.col("span") == F.col("a"))
+    return select.ranked(found, ["conv_id"], [F.col("span").isNull(), F.col("turn")], "n").where("n <= 2").select("conv_id", "turn", "span", "exact")
+
+
+@query("""SELECT doc_id, source FROM documents WHERE source = 'src2' UNION ALL SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE source <> 'src2') WHERE r % 50 = 0""")
+def anchor_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of one source and one in fifty of each other."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    rest = select.ranked(docs.where("source <> 'src2'"), ["source"], [F.col("doc_id")], "r").where("r % 50 = 0").drop("r")
+    return docs.where("source = 'src2'").unionByName(rest)
+
+
+@query("""WITH d AS (SELECT doc_id, count(*) OVER (PARTITION BY md5(text)) > 1 AS dup, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || ':4')) AS r, lang FROM documents)
+SELECT lang, count(*) AS sampled, round(avg(CASE WHEN dup THEN 1.0 ELSE 0.0 END), 6)::double AS dup_rate FROM d WHERE r <= 60 GROUP BY lang""")
+def duplicate_rate_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stratified estimate of how many documents have a copy; the copies are counted over all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.md5("text").alias("k"))
+    copies = docs.groupBy("k").agg((F.count("*") > 1).alias("dup"))
+    sample = select.stratified(docs, ["lang"], F.col("doc_id"), 60, 4).join(copies, "k")
+    return sample.groupBy("lang").agg(F.count("*").alias("sampled"), F.round(F.avg(F.col("dup").cast("double")), 6).alias("dup_rate"))
+
+
+@query("SELECT c_nationkey, s, count(*) AS customers FROM (SELECT c_nationkey, floor((row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) * 4 - 1)::double / count(*) OVER (PARTITION BY c_nationkey))::bigint AS s FROM customer) GROUP BY 1, 2")
+def proportional_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four shards of each group with bounds total * i // 4."""
+    c = select.ranked(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), ["c_nationkey"], [F.col("c_custkey")], "r")
+    c = c.withColumn("n", F.count("*").over(Window.partitionBy("c_nationkey")))
+    return c.groupBy("c_nationkey", shard_of(F.col("r") - 1, F.col("n"), 4).alias("s")).agg(F.count("*").alias("customers"))

@@ -72,3 +72,20 @@ def test_neighbours_do_not_depend_on_blocks(spark):
 def test_edges_keep_the_larger_similarity(spark):
     df = spark.createDataFrame([(1, 2, 0.5), (2, 1, 0.7), (3, 3, 1.0)], "src long, dst long, sim double")
     assert [tuple(r) for r in dedup.canonical_edges(df).collect()] == [(1, 2, 0.7)]
+
+
+def test_degree_cap_equals_the_sequential_rule(spark):
+    import random
+
+    rng = random.Random(4)
+    edges = sorted({(a, b, rng.randint(1, 9) / 10) for a, b in ((rng.randrange(30), rng.randrange(30)) for _ in range(150)) if a < b})
+    edges = list({(a, b): (a, b, s) for a, b, s in edges}.values())
+    used, want = [0] * 30, set()
+    for a, b, s in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+        if used[a] < 2 and used[b] < 2:
+            want.add((a, b))
+            used[a] += 1
+            used[b] += 1
+    df = spark.createDataFrame(edges, "a long, b long, sim double")
+    got = {(r.a, r.b) for r in dedup.cap_degrees(df, 2, lambda d: d.persist()).collect()}
+    assert got == want
