@@ -14,6 +14,7 @@ from .mixing import mix_sources
 from .near_dedup import near_dedup
 from .pitman_yor import hpy_scores
 from .quality_rules import quality_rules
+from .sql import ORACLE_SQL  # noqa: F401
 from .substring_dedup import substring_dedup
 from .token_transducer import token_counts
 from .toxicity import flag_toxic, predict_severity, split_grades, train_severity, training_rows
@@ -82,6 +83,4 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
-QUERIES = {q.__name__: q for q in (op1_substring_dedup, op2_pitman_yor, op3_chroma, op4_toxicity, op5_byte_bpe, op6_quality_rules, op7_token_counts, op8_language_id, op9_mixing, op10_near_dedup)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {q.__name__: q for q in (op1_substring_dedup, op2_pitman_yor, op3_chroma, op4_toxicity, op5_byte_bpe, op6_quality_rules, op7_token_counts, op8_language_id, op9_mixing, op10_near_dedup)}
\ No newline at end of file
