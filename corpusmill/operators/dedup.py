@@ -33,9 +33,14 @@ def shared_ngrams(docs: DataFrame, references: DataFrame, *, doc_id: str, doc_te
 
     The references' n-grams are distinct before the join, which carries only hashes of the documents' n-grams.
     """
-    grams = lambda c: F.array_distinct(ngrams(word_list(F.lower(c)), n))
-    known = references.select(F.explode(grams(F.col(ref_text))).alias("g")).select(F.md5("g").alias("h")).distinct()
-    mine = docs.select(doc_id, F.explode(grams(F.col(doc_text))).alias("g")).select(doc_id, F.md5("g").alias("h"))
+
+    def hashes(rows: DataFrame, text: str, *keep: str) -> DataFrame:
+        # The words are a column of their own: inside the lambda they would be split again for each n-gram.
+        words = rows.select(*keep, word_list(F.lower(text)).alias("w")).where(F.size("w") >= n)
+        return words.select(*keep, F.explode(F.array_distinct(ngrams(F.col("w"), n))).alias("g")).select(*keep, F.md5("g").alias("h"))
+
+    known = hashes(references, ref_text).distinct()
+    mine = hashes(docs, doc_text, doc_id)
     return mine.join(known, "h", "left_semi").groupBy(doc_id).agg(F.count("*").alias("shared"))
 
 
