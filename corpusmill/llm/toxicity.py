@@ -71,24 +71,25 @@ def training_rows(labelled: DataFrame, *, text_col: str = "text", grade: Column,
             for a, b, feature, starts in features([t.encode() for t in part["t"]], bits):
                 yield pd.DataFrame([(block[a + i], h[a + i], grade[a + i], feature[starts[i] : starts[i + 1]].tobytes()) for i in range(b - a)], columns=["block", "h", "grade", "feature"])
 
-    return checkpointed(sample.mapInPandas(extract, "block long, h long, grade int, feature binary"))
+    return checkpointed(sample.mapInPandas(extract, "block long, h long, grade int, feature binary").repartition(blocks, "block"))
 
 
 def train_severity(rows: DataFrame, grades: int, *, bits: int = 18, rounds: int = 8, alpha: float = 0.12, l1: float = 0.5) -> SeverityModel | None:
     """Fit on `training_rows`.  None if fewer than two grades occur."""
     if rows.select("grade").distinct().limit(2).count() < 2:
         return None
-    size = 1 << bits
+    size, sc = 1 << bits, rows.sparkSession.sparkContext
     z, n, cuts = np.zeros(size), np.zeros(size), np.linspace(1, 2, grades - 1)
 
     def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.where(np.abs(z) > l1, -(z - np.sign(z) * l1) * alpha / (1 + np.sqrt(n)), 0.0)
 
     for r in range(rounds):
-        z0, n0, c0, rate = z, n, cuts, 0.05 / (1 + r)
+        rate = 0.05 / (1 + r)
+        state = sc.broadcast((z.astype(np.float32), n.astype(np.float32), cuts))  # as large as the model
 
-        def leader(part: pd.DataFrame) -> pd.DataFrame:
-            z, n, cuts = z0.copy(), n0.copy(), c0.copy()
+        def leader(part: pd.DataFrame) -> tuple[bytes, bytes, bytes]:
+            z, n, cuts = (v.astype(np.float64) for v in state.value)
             part = part.sort_values("h")
             for y, f in zip(part["grade"], part["feature"], strict=True):
                 f = np.frombuffer(f, np.int32)
@@ -105,10 +106,20 @@ def train_severity(rows: DataFrame, grades: int, *, bits: int = 18, rounds: int
                 if y:
                     cuts[y - 1] -= rate * low * (1 - low) / p
                 cuts = np.maximum.accumulate(cuts)
-            return pd.DataFrame({"z": [z.tobytes()], "n": [n.tobytes()], "cuts": [cuts.tobytes()]})
+            return z.astype(np.float32).tobytes(), n.astype(np.float32).tobytes(), cuts.tobytes()
 
-        states = rows.groupBy("block").applyInPandas(leader, "z binary, n binary, cuts binary").collect()  # as large as the model
-        z, n, cuts = (sum(np.frombuffer(s[k]) for s in states) / len(states) for k in ("z", "n", "cuts"))
+        def leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """The rows of a block lie in one partition, so nothing moves between rounds."""
+            parts = [p for p in batches if len(p)]
+            for _, part in pd.concat(parts).groupby("block") if parts else []:
+                yield pd.DataFrame([(0, *leader(part))], columns=["all", "z", "n", "cuts"])
+
+        def mean(states: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame([[np.mean([np.frombuffer(b, kind) for b in states[k]], axis=0).astype(kind).tobytes() for k, kind in (("z", np.float32), ("n", np.float32), ("cuts", np.float64))]], columns=["z", "n", "cuts"])
+
+        got = rows.mapInPandas(leaders, "all int, z binary, n binary, cuts binary").groupBy("all").applyInPandas(mean, "z binary, n binary, cuts binary").first()
+        z, n, cuts = np.frombuffer(got["z"], np.float32), np.frombuffer(got["n"], np.float32), np.frombuffer(got["cuts"])
+        state.destroy()
     return SeverityModel(weights(z, n).astype(np.float32), cuts, bits)
 
 
