@@ -8,12 +8,12 @@ unfinished UTF-8 character, and for the BPE of the open piece each suffix that
 begins a longer token, with the last token and the number of tokens before it.
 Transitions are worked out when first met and kept in a table.
 
-A batch of texts is cut into chunks of about equal length.  All chunks run in
-step: one table lookup moves all of them by a byte.  A non-space ASCII byte and a
-space put the transducer in the same state whatever came before, so the map of
-a chunk from entry state to exit state and count is constant from its first such
-place on, and needs the entry state only before it.  Maps are composed by a prefix
-scan: the last constant map to the left gives each chunk its entry state.
+A batch of texts is cut into chunks where a non-space ASCII byte is followed by a
+space, which puts the transducer in the same state whatever came before.  So the
+map of a chunk, from entry state to exit state and count, is constant, and equal
+chunks have equal maps: only chunks not seen before are run, all in step, one
+table lookup moving each of them by a byte.  Maps are composed by a prefix scan
+over the chunks, read off where texts end.
 """
 
 from __future__ import annotations
@@ -28,25 +28,33 @@ from pyspark.sql import functions as F
 
 from .bpe import Ranks
 from .pieces import LETTER, NUMBER, OTHER, SPACE, classes
-from .wordhash import runs
+from .wordhash import BASE_BYTES, mix, powers, prefix_sums, runs
 
-#: Bytes of a chunk, texts' bytes in a batch, and states after which the table starts anew.
-CHUNK, RUN_BYTES, STATES = 512, 4 << 20, 100_000
+#: Texts' bytes in a batch, and states and chunk maps after which their tables start anew.
+RUN_BYTES, STATES, MAPS = 2 << 20, 90_000, 600_000
+#: Chunks of at most so many bytes are remembered.
+MAP_BYTES = 64
 
 #: Contraction endings of one letter, and the two-letter ones by their first letter.
 ONE, TWO = set(b"stmd"), {ord("r"): ord("e"), ord("v"): ord("e"), ord("l"): ord("l")}
 
+BYTE = [bytes((b,)) for b in range(256)]
 BEGIN = ("begin", b"", None, b"")
 
 
 class Transducer:
     def __init__(self, ranks: Ranks):
         self.ranks = ranks
-        self.prefixes = {t[:n] for t in ranks.tokens for n in range(1, len(t))}
+        #: For bytes that begin a longer token, 1; for tokens, twice one more than the rank.
+        self.parts = dict.fromkeys((t[:n] for t in ranks.tokens for n in range(1, len(t))), 1)
+        for i, t in enumerate(ranks.tokens):
+            self.parts[t] = self.parts.get(t, 0) | (i + 1) << 1
         self.kinds = classes()
         #: BPE state: (longest suffix that begins a token, entries (suffix length, last token, tokens before, relative to now)).
         self.none = (b"", ((0, -1, 0),))
         self.steps: dict = {}
+        #: Counts of chunks, by whether they open a text (1) and close it (2).
+        self.maps: list[dict[bytes, int]] = [{} for _ in range(4)]
         self.clear()
 
     def clear(self) -> None:
@@ -75,21 +83,24 @@ class Transducer:
         if (have := self.steps.get((state, byte))) is not None:
             return have
         suffix, entries = state
-        longer = suffix + bytes((byte,))
-        rank, fits, prefixes = self.ranks.rank.get, self.ranks.fits, self.prefixes
-        last = gain = None
-        open_ = []
+        longer = suffix + BYTE[byte]
+        end, known, parts = len(longer) - 1, self.ranks.known.get, self.parts.get
+        last, gain, open_ = -1, 0, []
         for length, before, count in entries:
-            part = longer[len(longer) - length - 1 :]
-            token = rank(part)
-            if token is not None and last is None and (before < 0 or fits(before, token)):
-                last, gain = token, count + 1
-            if part in prefixes:
+            part = longer[end - length :]
+            what = parts(part)  # of most suffixes nothing can come
+            if what is None:
+                continue
+            if what > 1 and last < 0:
+                token = (what >> 1) - 1
+                if before < 0 or (self.ranks.fits(before, token) if (ok := known(before << 32 | token)) is None else ok):
+                    last, gain = token, count + 1
+            if what & 1:
                 open_.append((length + 1, before, count))
-        new = tuple((length, before, count - gain) for length, before, count in open_) + ((0, last, 0),)
+        new = (*[(length, before, count - gain) for length, before, count in open_], (0, last, 0))
         width = new[0][0]
-        have = (longer[len(longer) - width :] if width else b"", new), gain
-        if len(self.steps) > 100_000:
+        have = (longer[end + 1 - width :] if width else b"", new), gain
+        if len(self.steps) > 60_000:
             self.steps.clear()
         self.steps[state, byte] = have
         return have
@@ -174,49 +185,58 @@ class Transducer:
         back[order] = np.arange(len(order))
         return state[back], total[back]
 
+    def chunk_counts(self, data: np.ndarray, at: np.ndarray, stop: np.ndarray, role: np.ndarray) -> np.ndarray:
+        """Counts of chunks data[at:stop]; role has bit 1 for the first of a text, bit 2 for the last."""
+        whole, found, missing = data.tobytes(), np.zeros(len(at), np.int64), []
+        if sum(map(len, self.maps)) > MAPS:
+            for known in self.maps:
+                known.clear()
+        for i, (a, b, r) in enumerate(zip(at.tolist(), stop.tolist(), role.tolist(), strict=True)):
+            if (have := self.maps[r].get(whole[a:b])) is None:
+                missing.append(i)
+            else:
+                found[i] = have
+        if missing:
+            m = np.array(missing)
+            exits, count = self.run(data, at[m], stop[m], np.where(role[m] & 1, self.begin, self.resting))
+            last = np.flatnonzero(role[m] & 2)
+            kinds, which = np.unique(exits[last], return_inverse=True)
+            count[last] += np.array([self.final(int(s)) for s in kinds], np.int64)[which]
+            found[m] = count
+            for i, n in zip(missing, count.tolist(), strict=True):
+                if stop[i] - at[i] <= MAP_BYTES:
+                    self.maps[role[i]][whole[at[i] : stop[i]]] = n
+        return found
+
     def counts(self, texts: list[bytes]) -> np.ndarray:
         """Number of tokens of each text."""
         if len(self.states) > STATES:
             self.clear()
         out = np.zeros(len(texts), np.int64)
-        some = [i for i, t in enumerate(texts) if t]
-        if not some:
+        some = np.array([i for i, t in enumerate(texts) if t], np.int64)
+        if not len(some):
             return out
-        sizes = np.array([len(texts[i]) for i in some])
-        data = np.frombuffer(b"".join(texts[i] for i in some), np.uint8)
-        ends = np.cumsum(sizes)
-        pieces = -(-sizes // CHUNK)
-        text_of = np.repeat(np.arange(len(some)), pieces)
-        place = np.arange(len(text_of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = (ends - sizes)[text_of] + place * CHUNK
-        stop = np.minimum(start + CHUNK, ends[text_of])
-        # The first place of each chunk after which the state is known: behind a non-space ASCII byte and a space.
-        sure = np.flatnonzero((data[1:] == 32) & (data[:-1] > 32) & (data[:-1] < 127)) + 2
-        k = np.searchsorted(sure, start + 2)
-        known = np.append(sure, len(data) + 1)[k]
-        constant = known <= stop
-        opens = place == 0
-        begin = np.where(opens, start, known)
-        fixed = constant | opens
-        exits = np.full(len(start), -1, np.int32)
-        f = np.flatnonzero(fixed)
-        exits[f], count = self.run(data, begin[f], stop[f], np.where(opens[f], self.begin, self.resting))
-        np.add.at(out, np.array(some)[text_of[f]], count)
-        # What lies before the sure place needs the exit state of the chunk on the left.  Constant maps end a
-        # composition, so a scan gives each chunk the last of them; chunks without one are read through together.
-        rest = np.flatnonzero(~opens)
-        source = np.maximum.accumulate(np.where(fixed, np.arange(len(start)), 0))
-        left = source[rest - 1]
-        joined = constant[rest] | np.append(opens[1:], True)[rest]  # where such a chain ends
-        ends_here, left = rest[joined], left[joined]
-        to, count = self.run(data, stop[left], np.where(constant[ends_here], known[ends_here], stop[ends_here]), exits[left])
-        np.add.at(out, np.array(some)[text_of[ends_here]], count)
-        loose = ~constant[ends_here]
-        exits[ends_here[loose]] = to[loose]
-        last = np.append(place[1:] == 0, True)
-        final = exits[last]
-        kinds, which = np.unique(final, return_inverse=True)
-        out[some] += np.array([self.final(int(s)) for s in kinds])[which]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        ends = np.cumsum([len(texts[i]) for i in some])
+        opens = np.append(0, ends[:-1])
+        first = np.zeros(len(data) + 1, bool)
+        first[opens] = True
+        sure = np.flatnonzero((data[1:] == 32) & (data[:-1] > 32) & (data[:-1] < 127) & ~first[1:-1]) + 2
+        # A chunk may be empty, at the end of a text; it comes before the next text's first.
+        at, role = np.concatenate((sure, opens)), np.repeat((0, 1), (len(sure), len(opens)))
+        order = np.lexsort((role, at))
+        at, role = at[order], role[order]
+        stop = np.append(at[1:], len(data))
+        role = role | np.append(role[1:], 1) << 1
+        up, down = powers(BASE_BYTES, len(data) + 1)
+        sums = prefix_sums(data.astype(np.uint64) + np.uint64(1), down)
+        keys = mix((sums[stop] - sums[at]) * up[at], 1) + ((stop - at) << 2 | role).astype(np.uint64)
+        _, where, kind = np.unique(keys, return_index=True, return_inverse=True)
+        shift = np.repeat(at[where][kind] - at, stop - at)
+        if not np.array_equal(data[np.arange(len(data)) + shift], data):  # hashes met
+            where = kind = np.arange(len(at))
+        scan = np.cumsum(self.chunk_counts(data, at[where], stop[where], role[where])[kind])
+        out[some] = np.diff(scan[(role & 2) > 0], prepend=0)
         return out
 
 
