@@ -31,7 +31,7 @@ from .pieces import LETTER, NUMBER, OTHER, SPACE, classes
 from .wordhash import BASE_BYTES, mix, powers, prefix_sums, runs
 
 #: Texts' bytes in a batch, and states and chunk maps after which their tables start anew.
-RUN_BYTES, STATES, MAPS = 2 << 20, 90_000, 600_000
+RUN_BYTES, STATES, MAPS = 2 << 20, 200_000, 600_000
 #: Chunks of at most so many bytes are remembered.
 MAP_BYTES = 64
 
@@ -62,7 +62,7 @@ class Transducer:
         self.states: list = []
         #: By byte and state: (next state << 8) + 128 + change of the count, or 0 where not yet worked out.
         #: States met early, which are the frequent ones, lie close together.
-        self.bits = 12
+        self.bits = 18  # zeros take memory only where they are written
         self.moves = np.zeros(256 << self.bits, np.int32)
         self.begin = self.state(BEGIN)
         self.resting = self.state(("space", b"", self.none, b" "))
