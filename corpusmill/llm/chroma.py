@@ -23,6 +23,8 @@ from .wordhash import mix
 FRAME, HOP, SPAN, RATE = 128, 32, 8, 11025
 #: Positions between the two values of an anchor.
 PAIR = 4
+#: Fewer positions than this are few enough for one edit (some 15 positions) at a bad place to leave too few anchors.
+SMALL = 22
 #: Frames transformed at once.
 BATCH = 1 << 15
 
@@ -100,55 +102,177 @@ def fingerprints(rows: DataFrame, audio_col: str, out_col: str = "fingerprint")
     return rows.withColumn(out_col, run(audio_col))
 
 
-def _anchors(every: int):
-    @F.pandas_udf("array<struct<value:long,at:int>>")
-    def run(column: pd.Series) -> pd.Series:
-        out = []
-        for b in column:
-            prints = np.frombuffer(b, np.uint32).astype(np.uint64)
-            values = mix(prints[:-PAIR], 7) ^ mix(prints[PAIR:], 8) if len(prints) > PAIR else prints[:0]
-            picked = np.flatnonzero(mix(values, 5) % np.uint64(every) == 0)
-            first = picked[np.unique(values[picked], return_index=True)[1]]  # a value that repeats counts where it comes first
-            out.append([{"value": int(v), "at": int(i)} for v, i in zip(values[first].astype(np.int64), first, strict=True)])
-        return pd.Series(out)
+def _values(prints: np.ndarray) -> np.ndarray:
+    """The anchor at each position: the hash of two values `PAIR` positions apart."""
+    prints = prints.astype(np.uint64)
+    return mix(prints[:-PAIR], 7) ^ mix(prints[PAIR:], 8) if len(prints) > PAIR else prints[:0]
+
+
+def _anchors(every: int, least_votes: int):
+    """(class, asked, value, n): each anchor of a class once, with its number of places.  Where an edit could spoil all
+    anchors (under `SMALL` positions), pairs of neighbouring values are added, one of which alone makes a candidate."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            parts, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            lengths = []
+            for b in rows["print"]:
+                prints = np.frombuffer(b, np.uint32)
+                value, n = np.unique(_values(prints), return_counts=True)
+                keep = mix(value, 5) % np.uint64(every) == 0
+                value, n = value[keep], n[keep]
+                if len(prints) < SMALL:
+                    near = np.unique(mix(prints[:-1].astype(np.uint64), 6) ^ mix(prints[1:].astype(np.uint64), 4))
+                    value, n = np.append(value, near), np.append(n, np.full(len(near), least_votes))
+                parts.append(value)
+                times.append(n)
+                lengths.append(len(value))
+            yield pd.DataFrame({"class": np.repeat(rows["class"].to_numpy(), lengths), "asked": np.repeat(rows["asked"].to_numpy(bool), lengths), "value": np.concatenate(parts).astype(np.int64), "n": np.concatenate(times)})
 
     return run
 
 
-def _bit_error():
-    @F.pandas_udf("struct<overlap:int,error:double>")
-    def run(a: pd.Series, b: pd.Series, offset: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x, y, o in zip(a, b, offset, strict=True):
-            p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-            p, q = p[max(0, -o) :], q[max(0, o) :]
-            n = min(len(p), len(q))
-            rows.append((n, float(np.bitwise_count(p[:n] ^ q[:n]).sum()) / (32 * n) if n else 1.0))
-        return pd.DataFrame(rows, columns=["overlap", "error"])
+def _votes(x: np.ndarray, y: np.ndarray, every: int) -> tuple[int, int]:
+    """(votes, offset) of the offset that most pairs of equal anchors of two fingerprints agree on (then the nearest to 0)."""
+    a, b = _values(x), _values(y)
+    if not len(a) or not len(b):
+        return 0, 0
+    order_a, order_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    value, at, n = np.unique(a[order_a], return_index=True, return_counts=True)
+    low = np.searchsorted(b[order_b], value)
+    m = np.searchsorted(b[order_b], value, side="right") - low
+    m[mix(value, 5) % np.uint64(every) != 0] = 0
+    few = n * m <= 1 << 12
+    # Each place of a value meets all places of it on the other side.
+    times = np.repeat(np.where(few, m, 0), n)
+    i = np.repeat(order_a, times)
+    j = order_b[np.repeat(np.repeat(low, n), times) + np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)]
+    hist = np.bincount(j - i + len(a) - 1, minlength=len(a) + len(b) - 1).astype(np.int64)
+    size = 1 << (len(hist) - 1).bit_length()
+    for k in np.flatnonzero(~few):  # a value with very many places: the same counts by a convolution
+        u = np.bincount(len(a) - 1 - order_a[at[k] : at[k] + n[k]], minlength=size).astype(float)
+        v = np.bincount(order_b[low[k] : low[k] + m[k]], minlength=size).astype(float)
+        hist += np.rint(np.fft.irfft(np.fft.rfft(u) * np.fft.rfft(v), size)[: len(hist)]).astype(np.int64)
+    offsets = np.arange(len(hist)) - len(a) + 1
+    best = np.lexsort((-offsets, np.abs(offsets), -hist))[0]
+    return int(hist[best]), int(offsets[best])
+
+
+def _error(p: np.ndarray, q: np.ndarray, offset: int) -> tuple[int, float]:
+    p, q = p[max(0, -offset) :], q[max(0, offset) :]
+    n = min(len(p), len(q))
+    return n, float(np.bitwise_count(p[:n] ^ q[:n]).sum()) / (32 * n) if n else 1.0
+
+
+def _offsets(n: int, m: int) -> list[int]:
+    """Offsets, nearest to 0 first, at which two fingerprints of n and m values share half of the longer one."""
+    least = -(-max(n, m) // 2)
+    return sorted((o for o in range(-n + 1, m) if min(n - max(0, -o), m - max(0, o)) >= least), key=lambda o: (abs(o), -o))
+
+
+def _fewest_errors(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(error, offset) with fewest errors over `_offsets`; positions are the last axis, the others are broadcast."""
+    n, m = p.shape[-1], q.shape[-1]
+    shape = np.broadcast_shapes(p.shape[:-1], q.shape[:-1])
+    error, offset = np.full(shape, 2.0, np.float32), np.zeros(shape, np.int8)
+    for o in _offsets(n, m):
+        size = min(n - max(0, -o), m - max(0, o))
+        bits = np.zeros(shape, np.uint16)
+        for k in range(size):
+            bits += np.bitwise_count(p[..., k + max(0, -o)] ^ q[..., k + max(0, o)])
+        share = bits / np.float32(32 * size)
+        better = share < error
+        error[better], offset[better] = share[better], o
+    return error, offset
+
+
+def _votes_at(p: np.ndarray, q: np.ndarray, offset: int) -> int:
+    p, q = p[max(0, -offset) :], q[max(0, offset) :]
+    same = p[: len(q)] == q[: len(p)]
+    return int((same[:-PAIR] & same[PAIR:]).sum())
+
+
+def _compare(every: int, least_votes: int, most_error: float):
+    @F.pandas_udf("struct<votes:int,offset:int,overlap:int,error:double>")
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        left, right = ([np.frombuffer(x, np.uint32) for x in s] for s in (a, b))
+        sizes = np.array([(len(p), len(q)) for p, q in zip(left, right, strict=True)]).reshape(-1, 2)
+        rows: list[tuple] = [(0, 0, 0, 1.0)] * len(a)
+        for k in range(len(rows)):
+            votes, offset = _votes(left[k], right[k], every)
+            if votes >= least_votes:
+                rows[k] = (votes, offset, *_error(left[k], right[k], offset))
+        small = (sizes.max(axis=1, initial=0) < SMALL) & np.array([row[3] > most_error for row in rows], bool)
+        for size in np.unique(sizes[small], axis=0):
+            at = np.flatnonzero(small & (sizes == size).all(axis=1))
+            error, offset = _fewest_errors(np.stack([left[k] for k in at]), np.stack([right[k] for k in at]))
+            for k, o in zip(at[error <= most_error + 1e-6], offset[error <= most_error + 1e-6].tolist(), strict=True):
+                rows[k] = (_votes_at(left[k], right[k], o), o, *_error(left[k], right[k], o))
+        return pd.DataFrame(rows, columns=["votes", "offset", "overlap", "error"])
 
     return run
 
 
-def align(rows: DataFrame, queries: Column, *, id_col: str = "doc_id", audio_col: str = "audio", every: int = 4, least_votes: int = 3, most_error: float = 0.15) -> DataFrame:
+def _short_matches(classes: DataFrame, short: int, most_error: float, block_rows: int = 1024) -> DataFrame:
+    """(q, d, votes, offset, overlap, error) of all matches in which one side has fewer than `short` positions.
+
+    No anchors are asked for: all pairs are compared at all offsets that share half of the longer side, in pairs of
+    bounded blocks.  So the other side has fewer than 2 * short positions."""
+    kind = dict(classes.dtypes)["class"]
+    some = classes.where((F.octet_length("print") > 0) & (F.octet_length("print") < 8 * short))
+    asked = some.where("asked")
+    nq, nd = (max(1, -(-x.count() // block_rows)) for x in (asked, some))
+
+    def dealt(rows: DataFrame, side: str, blocks: int, others: int, mine: str, other: str) -> DataFrame:
+        out = rows.select(F.col("class").alias(side), F.col("print").alias(f"p{side}"), F.pmod(F.xxhash64("class"), F.lit(blocks)).alias(mine))
+        return out.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+
+        def groups(rows: pd.DataFrame, side: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            for n, own in rows.groupby(rows[f"p{side}"].map(len) // 4):
+                yield int(n), own[side].to_numpy(), np.frombuffer(b"".join(own[f"p{side}"]), np.uint32).reshape(-1, int(n))
+
+        for n, ids, p in groups(left, "q"):
+            for m, others, q in groups(right, "d"):
+                if min(n, m) >= short:
+                    continue
+                error, offset = _fewest_errors(p[:, None], q[None])
+                fine = (error <= most_error + 1e-6) & (ids[:, None] != others[None])
+                for i, j in zip(*np.nonzero(fine), strict=True):
+                    o = int(offset[i, j])
+                    overlap, e = _error(p[i], q[j], o)
+                    out.append((ids[i], others[j], _votes_at(p[i], q[j], o), o, overlap, e))
+        return pd.DataFrame(out, columns=["q", "d", "votes", "offset", "overlap", "error"]).astype({"votes": "int32", "offset": "int32", "overlap": "int32", "error": "float64"})
+
+    a, b = dealt(asked, "q", nq, nd, "x", "y"), dealt(some, "d", nd, nq, "y", "x")
+    return a.groupBy("x", "y").cogroup(b.groupBy("x", "y")).applyInPandas(run, f"q {kind}, d {kind}, votes int, offset int, overlap int, error double")
+
+
+def align(rows: DataFrame, queries: Column, *, id_col: str = "doc_id", audio_col: str = "audio", every: int = 1, least_votes: int = 3, most_error: float = 0.15) -> DataFrame:
     """For each row where `queries` holds: (id_col, n_positions, copies, matches, match_id, offset, votes, overlap, error).
 
     Recordings with equal fingerprints are one class; `copies` is its size.  Candidates
-    share an anchor (a pair of fingerprint values `PAIR` positions apart, chosen by its hash, one in `every`,
-    as single values coincide too often); the offset with most shared
-    anchors is theirs, with `least_votes` of them at least, and they match with `most_error` differing bits at
-    most.  `matches` counts the other classes that match; the best is told by
+    share anchors (a pair of fingerprint values `PAIR` positions apart, as single values coincide too often; one in
+    `every`, by its hash), or two neighbouring values where both have fewer than `SMALL` positions.  All places of all anchors of
+    two candidates vote; the offset with most votes is theirs, with `least_votes` of them at least, and they match with
+    `most_error` differing bits at most.  Where that fails, two recordings under `SMALL` positions take the offset with
+    fewest errors, as do recordings too short for `least_votes` anchors, which are compared without candidates; offsets
+    of this kind share half of the longer side.  `matches` counts the other classes that match; the best is told by
     its smallest id (fewest errors, then most votes, then smallest id).  Null ids are no rows of the index.
     Recordings too short for a position match nothing but their copies.
     """
     base = rows.select(F.col(id_col).alias("id"), queries.alias("asked"), F.col(audio_col).alias("audio")).where("id is not null")
     prints = checkpointed(fingerprints(base, "audio", "print").select("id", "asked", "print").withColumn("mark", F.sha2("print", 256)))
     classes = checkpointed(prints.groupBy("mark").agg(F.min("id").alias("class"), F.max(F.coalesce("asked", F.lit(False))).alias("asked"), F.count("*").alias("copies"), F.first("print").alias("print")))
-    anchors = classes.where("octet_length(print) > 0").select("class", "asked", F.explode(_anchors(every)("print")).alias("a")).select("class", "asked", "a.value", "a.at")
-    left = anchors.where("asked").select(F.col("class").alias("q"), "value", F.col("at").alias("q_at"))
-    votes = left.join(anchors.select(F.col("class").alias("d"), "value", "at"), "value").where("q <> d").groupBy("q", "d", (F.col("at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("q", "d").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("b")).select("q", "d", "b.votes", "b.offset").where(F.col("votes") >= least_votes)
-    pairs = best.join(classes.select(F.col("class").alias("q"), F.col("print").alias("pq")), "q").join(classes.select(F.col("class").alias("d"), F.col("print").alias("pd")), "d")
-    scored = pairs.select("q", "d", "votes", "offset", _bit_error()("pq", "pd", "offset").alias("e")).select("q", "d", "votes", "offset", "e.overlap", "e.error").where(F.col("error") <= most_error)
+    short = least_votes + PAIR
+    anchors = classes.where(F.octet_length("print") >= 4 * short).select("class", "asked", "print").mapInPandas(_anchors(every, least_votes), f"class {dict(classes.dtypes)['class']}, asked boolean, value long, n long")
+    left = anchors.where("asked").select(F.col("class").alias("q"), "value", F.col("n").alias("q_n"))
+    shared = left.join(anchors.select(F.col("class").alias("d"), "value", "n"), "value").where("q <> d").groupBy("q", "d").agg(F.sum(F.col("n") * F.col("q_n")).alias("shared")).where(F.col("shared") >= least_votes)
+    pairs = shared.join(classes.select(F.col("class").alias("q"), F.col("print").alias("pq")), "q").join(classes.select(F.col("class").alias("d"), F.col("print").alias("pd")), "d")
+    compared = pairs.select("q", "d", _compare(every, least_votes, most_error)("pq", "pd").alias("e")).select("q", "d", "e.*").where(F.col("error") <= most_error)
+    scored = compared.unionByName(_short_matches(classes, short, most_error).where(F.col("error") <= most_error))
     top = scored.groupBy("q").agg(F.count("*").alias("matches"), F.min(F.struct("error", (-F.col("votes")).alias("v"), "d", "offset", "votes", "overlap")).alias("b"))
     asked = prints.where("asked").select("id", "mark", (F.octet_length("print") / 4).cast("long").alias("n_positions")).join(classes.select("mark", "class", "copies"), "mark")
     out = asked.join(top, F.col("class") == F.col("q"), "left")

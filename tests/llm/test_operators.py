@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from corpusmill.llm import queries as Q
 from corpusmill.llm.byte_bpe import bpe_decode, bpe_encode, encoder
-from corpusmill.llm.chroma import align, fingerprint
+from corpusmill.llm.chroma import _values, _votes, align, fingerprint
 from corpusmill.llm.components import connected_components
 from corpusmill.llm.language_id import predict_language, train_language_model
 from corpusmill.llm.mixing import mix_sources, targets
@@ -147,6 +147,46 @@ def test_chroma_finds_a_shifted_recording(spark):
     assert len(fingerprint(clean)) == (6000 - 128) // 32 + 1 - 7
 
 
+def _best_error(p, q):
+    """The smallest share of differing bits over all offsets that share half of the longer fingerprint."""
+    n, m = len(p), len(q)
+    out = 1.0
+    for o in range(-n + 1, m):
+        size = min(n - max(0, -o), m - max(0, o))
+        if 2 * size >= max(n, m):
+            x, y = p[max(0, -o) :][:size], q[max(0, o) :][:size]
+            out = min(out, float(np.bitwise_count(x ^ y).sum()) / (32 * size))
+    return out
+
+
+def test_chroma_recall_against_brute_force(spark):
+    """Near copies of recordings of all lengths, most of them short: production defaults find nine in ten of those a brute-force aligner finds."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    rows = []
+    for k, size in enumerate([*range(355, 545, 10), *range(560, 1500, 40), 2500, 4000]):
+        text = bytearray(" ".join(rng.choice(words) for _ in range(size)).encode()[:size])
+        near = bytearray(text)
+        near[size // 2 : size // 2 + 6] = b"zq zxz"
+        rows += [(20 * k, text), (20 * k + 1, near)]
+    prints = {i: fingerprint(np.frombuffer(bytes(b), np.uint8)) for i, b in rows}
+    want = {i: e for i in prints if i % 20 == 0 and not np.array_equal(prints[i], prints[i + 1]) and (e := _best_error(prints[i], prints[i + 1])) <= 0.15}
+    out = {r.doc_id: r for r in align(spark.createDataFrame(rows, "doc_id long, audio binary"), F.col("doc_id") % 20 == 0).collect()}
+    assert len(want) > 35 and sum(len(prints[i]) < 7 for i in want) > 10
+    # The best match is the near copy, or one as good.
+    assert sum(out[i].matches > 0 and out[i].error <= e + 1e-6 for i, e in want.items()) >= 0.9 * len(want)
+
+
+def test_chroma_votes_are_those_of_all_places():
+    rng = np.random.default_rng(5)
+    for kinds, n, m in ((3, 300, 200), (40, 200, 260), (10**6, 50, 60), (1, 400, 300)):
+        p = rng.integers(0, kinds, n).astype(np.uint32)
+        q = np.append(rng.integers(0, kinds, 20), p)[:m].astype(np.uint32)
+        a, b = _values(p), _values(q)
+        hist = collections.Counter(j - i for i in range(len(a)) for j in np.flatnonzero(b == a[i]))
+        assert _votes(p, q, 1) == max(((v, int(o)) for o, v in hist.items()), key=lambda x: (x[0], -abs(x[1]), x[1]))
+
+
 def test_toxicity_severity_is_ordered(spark):
     rng = random.Random(5)
     plain = [f"word{i}" for i in range(200)]
