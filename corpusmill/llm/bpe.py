@@ -84,7 +84,7 @@ class Ranks:
                     a = a2
                 else:
                     b = b2
-        if len(self.known) > 2_000_000:
+        if len(self.known) > 500_000:
             self.known.clear()
         self.known[key] = out
         return out

@@ -24,7 +24,7 @@ from .bpe import Ranks
 from .wordhash import runs
 
 #: Pieces of at most this many characters are remembered, so many of them.
-MEMO_CHARS, MEMO_PIECES = 48, 700_000
+MEMO_CHARS, MEMO_PIECES = 48, 300_000
 RUN_CHARS = 1 << 20
 
 

@@ -4,21 +4,23 @@
    `trees * depth` MinHash values.  Equal sets are one class, represented by
    its smallest id; only representatives go on.
 2. Each tree orders the representatives by its own run of MinHash values: the
-   first `depth` of them are the region, the next four the place in it.  Within a
-   region each row is a candidate with its neighbour in that order (their
-   common prefix is the longest) and with the region's smallest id.  Regions of
-   more than `region_rows` rows are divided by the next MinHash values, as deep
-   as it takes, before they are ordered.
-3. Candidates whose signatures agree on a share of `loose` at least tie
-   representatives into clusters.  A cluster holds everything that could be
-   linked; texts are sent once to their cluster, in blocks of `block` rows for
-   large ones, every block meeting every other of its own cluster.
-4. In a block all pairs whose signatures allow it are compared on their full
-   sets unless already connected; the links that connect go out, at most one
-   fewer than the rows of the block.  Components of these links are the result.
-
-Two texts with similarity s miss each other only if they share no region, with
-chance (1 - s**depth)**trees: 3e-6 at 0.8.
+   first `depth` of them are the region, the next four the place in it.  A row is
+   a candidate with the `near` rows before it in that order (their common
+   prefixes are the longest) and with the smallest id of each prefix it has: of
+   its region, and of one, two and four values more.  Regions of more than
+   `region_rows` rows are ordered in parts, by one more value at a time.
+3. Candidates whose signatures agree on a share of `loose` at least are compared
+   on their full sets, each row first with its best one.  Components of the
+   links found are labelled.  Then each tree is walked again: within a region
+   each row is a candidate with the nearest row on either side that is of
+   another component.  What is left between components is compared in full too.
+
+Work is linear in the rows: a row gives `near` + 4 candidates a tree in the first
+walk and two in the second, however large its region or component.  Nothing is
+held for a group: texts are compared pair by pair.  Two texts with similarity s
+share no region with a chance of (1 - s**depth)**trees: 3e-6 at 0.8.  That they
+share one and are never neighbours, nor joined by others, is rarer still in
+practice; tests measure it against brute force.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shuffle_partitions
+from .common import checkpointed
 from .components import connected_components
 from .wordhash import BASE_WORDS, hash_words, mix, rolling, runs
 
@@ -88,25 +90,36 @@ def _features(width: int, trees: int, depth: int):
                         deep[:, t] = place.astype(np.int64)
                 small = (sig & np.uint32(15)).astype(np.uint8)
                 packed = (small[:, ::2] << np.uint8(4)) | small[:, 1::2]
-                yield pd.DataFrame({"id": rows["id"].iloc[a:b].to_numpy(), "n": [len(s) for s in sets], "mark": marks[:, 0], "mark2": marks[:, 1], "keys": list(keys), "deep": list(deep), "sketch": [x.tobytes() for x in packed]})
+                yield pd.DataFrame({"id": rows["id"].iloc[a:b].to_numpy(), "text_key": rows["text_key"].iloc[a:b].to_numpy(), "n": [len(s) for s in sets], "mark": marks[:, 0], "mark2": marks[:, 1], "keys": list(keys), "deep": list(deep), "sketch": [x.tobytes() for x in packed]})
 
     return run
 
 
-def _forest_edges(forest: DataFrame, region_rows: int) -> DataFrame:
-    """Candidate edges (a, b) of sorted orders: neighbours of longest common prefix, and each row with its region's smallest id."""
-    regions = forest.groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("head")).where("rows > 1")
-    members = forest.join(regions, "key")
-    # Large regions go deeper: one more 16-bit value for each factor of region_rows, then by id.
-    salt = (
+def _forest_edges(forest: DataFrame, region_rows: int, near: int) -> DataFrame:
+    """Candidates (a, b) of the sorted orders of `forest` (id, key, deep and, in the second walk, component)."""
+    second = "component" in forest.columns
+    regions = forest.groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("head"), *([F.min("component").alias("low"), F.max("component").alias("high")] if second else [])).where("low <> high" if second else "rows > 1")
+    # Large regions are ordered in parts, by one more 16-bit value for each factor of region_rows; equal places then by id.
+    part = (
         F.when(F.col("rows") <= region_rows, F.lit(0).cast("long"))
         .when(F.col("rows") <= region_rows * 16, F.shiftrightunsigned("deep", 48))
         .when(F.col("rows") <= region_rows * 256, F.shiftrightunsigned("deep", 32))
-        .otherwise(F.xxhash64("deep", F.pmod(F.xxhash64("id"), F.ceil(F.col("rows") / region_rows))))
+        .otherwise(F.xxhash64("deep", F.pmod(F.xxhash64("id"), F.ceil(F.col("rows") / (region_rows * 256)))))
     )
-    order = Window.partitionBy("key", "salt").orderBy("deep", "id")
-    near = members.withColumn("salt", salt).select("id", "head", F.lag("id").over(order).alias("before"))
-    return near.select("id", F.explode(F.array("head", "before")).alias("other")).where("other <> id").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    members = forest.join(regions, "key").withColumn("part", part)
+    order = Window.partitionBy("key", "part").orderBy("deep", "id")
+    if second:
+        # The nearest row on either side of another component: the end of the run before, the start of the run after.
+        back = Window.partitionBy("key", "part").orderBy(F.desc("deep"), F.desc("id"))
+        turned = [(w, F.when(F.lag("component").over(w) != F.col("component"), F.lag("id").over(w))) for w in (order, back)]
+        marked = members.withColumns({f"turn{i}": t for i, (_, t) in enumerate(turned)})
+        others = [F.last(f"turn{i}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for i, (w, _) in enumerate(turned)]
+    else:
+        marked = members
+        heads = [F.min("id").over(Window.partitionBy("key", "part", F.shiftrightunsigned("deep", bits))) for bits in (48, 32, 0)]
+        others = [F.col("head"), *heads, *[F.lag("id", k).over(order) for k in range(1, near + 1)]]
+    wide = marked.select("id", *[o.alias(f"other{i}") for i, o in enumerate(others)])
+    return wide.select("id", F.explode(F.array_distinct(F.array(*[f"other{i}" for i in range(len(others))]))).alias("other")).where("other <> id").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
 def _agreement(x, y, values: int):
@@ -124,95 +137,79 @@ def _agreement(x, y, values: int):
     return share(x, y)
 
 
-def confirmed(ids: np.ndarray, side: np.ndarray, texts: list[bytes], width: int, size: int, percent: int) -> list[tuple[int, int]]:
-    """Links with 100 * intersection >= percent * union that connect what was not yet connected.
+def _linked(width: int, percent: int):
+    """Whether 100 * intersection >= percent * union for the shingle sets of two texts."""
 
-    Pairs of one side only are compared if there is just one side.  Pairs go from the
-    most similar signature down; those more than five standard deviations
-    below the threshold are left out.
-    """
-    sets = []
-    for a, b in runs([len(t) for t in texts], RUN_BYTES):
-        sets += shingle_sets(texts[a:b], width)
-    sig, counts = signatures(sets, size), np.array([len(s) for s in sets])
-    full: list[set | None] = [None] * len(sets)
-    parent = list(range(len(sets)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    p = percent / 100
-    least = p - 5 * (p * (1 - p) / size) ** 0.5
-    two = len(set(side.tolist())) > 1
-    found: list[tuple[float, int, int]] = []
-    columns = [np.ascontiguousarray(sig[:, j]) for j in range(size)]
-    for i in range(len(sets) - 1):
-        rest = np.flatnonzero((100 * np.minimum(counts[i], counts[i + 1 :]) >= percent * np.maximum(counts[i], counts[i + 1 :])) & ((side[i + 1 :] != side[i]) if two else True)) + i + 1
-        if len(rest):
-            share = (sig[rest] == sig[i]).mean(1) if len(rest) < len(sets) // 4 else sum((c[rest] == c[i]).astype(np.float32) for c in columns) / size
-            found += [(-s, i, j) for s, j in zip(share.tolist(), rest.tolist(), strict=True) if s >= least]
-    found.sort()
-    links = []
-    for _, i, j in found:
-        x, y = root(i), root(j)
-        if x == y:
-            continue
-        for k in (i, j):
-            if full[k] is None:
-                full[k] = set(sets[k].tolist())
-        common = len(full[i] & full[j])
-        if 100 * common >= percent * (counts[i] + counts[j] - common):
-            parent[y] = x
-            links.append((int(ids[i]), int(ids[j])))
-    return links
-
-
-def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, trees: int = 24, depth: int = 4, loose: float = 0.45, block: int = 512, region_rows: int = 4096) -> DataFrame:
+    def sets_of(texts: pd.Series) -> Iterator[np.ndarray]:
+        data = [t.encode() for t in texts]
+        for a, b in runs([len(t) for t in data], RUN_BYTES):
+            yield from shingle_sets(data[a:b], width)
+
+    @F.pandas_udf("boolean")
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(sets_of(left), sets_of(right), strict=True):
+            small, large = (x, y) if len(x) <= len(y) else (y, x)
+            at = np.searchsorted(large, small)
+            common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+            out.append(100 * common >= percent * (len(x) + len(y) - common))
+        return pd.Series(out, dtype=bool)
+
+    return run
+
+
+def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, trees: int = 24, depth: int = 4, loose: float = 0.55, near: int = 2, region_rows: int = 4096) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for each row of `docs`.
 
     Texts are lower-cased (A-Z); a text's set is its distinct `width`-word
     shingles, with fewer words the whole sequence as one.  Linked are sets with
-    100 * intersection >= percent * union.  Null, empty and blank texts have an empty
+    100 * intersection >= percent * union; the threshold itself links.  Null, empty and blank texts have an empty
     set and are linked with nothing; a null id is linked with nothing, is its own
-    component (null) and kept.  Rows that repeat an id each come back once, in
-    the component of the id.  Other columns play no part.
+    component (null) and kept.  Rows that repeat an id each come back once; the id is
+    linked with whatever any of its texts is linked with, so the order of rows plays
+    no part.  A text of any length is compared whole.  An empty table gives an empty
+    one.  Other columns, whatever their names, play no part.
     """
-    spark, parts = docs.sparkSession, shuffle_partitions(docs.sparkSession)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-    features = checkpointed(source.mapInPandas(_features(width, trees, depth), "id long, n long, mark long, mark2 long, keys array<long>, deep array<long>, sketch binary"))
-    whole = features.where("n > 0 and id is not null")
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).withColumn("text_key", F.xxhash64("body"))
+    features = checkpointed(source.mapInPandas(_features(width, trees, depth), "id long, text_key long, n long, mark long, mark2 long, keys array<long>, deep array<long>, sketch binary"))
     same = ["n", "mark", "mark2"]
+    whole = features.where("n > 0 and id is not null")
     classes = whole.groupBy(*same).agg(F.min("id").alias("rep"))
-    member = whole.select("id", *same).join(classes, same).groupBy("id").agg(F.min("rep").alias("rep"))
-    reps = whole.join(classes.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"])
-
+    member = whole.select("id", *same).distinct().join(classes, same).groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"), F.collect_set("rep").alias("reps"))
+    # An id with several texts belongs to several classes, which it ties together.
+    tied = member.where("rep <> last").select(F.col("rep").alias("a"), F.explode("reps").alias("b")).where("a <> b")
+    reps = whole.join(classes, same).where("id = rep").groupBy("id", *same).agg(F.min("text_key").alias("text_key"), F.first("keys").alias("keys"), F.first("deep").alias("deep"), F.first("sketch").alias("sketch"))
+    reps = checkpointed(reps.drop("mark", "mark2"))
     forest = reps.select("id", F.explode(F.arrays_zip("keys", "deep")).alias("t")).select("id", F.col("t.keys").alias("key"), F.col("t.deep").alias("deep"))
-    edges = _forest_edges(forest, region_rows)
-    sketches = reps.select("id", "sketch")
-    near = (
-        edges.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
-        .join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-        .where(_agreement(F.col("sa"), F.col("sb"), trees * depth) >= loose)
-        .select("a", "b")
-    )
-    clusters = checkpointed(connected_components(near, "a", "b"))
-
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("rows"))
-    placed = clusters.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster"), F.ceil(F.col("rows") / block).alias("blocks"))
-    mine = F.pmod(F.xxhash64("id"), "blocks")
-    tasks = placed.withColumn("mine", mine).select("id", "cluster", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    tasks = tasks.select("id", "cluster", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
-    bodies = source.where("id is not null").join(placed.select("id"), "id", "left_semi").dropDuplicates(["id"])
-
-    def check(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        links = confirmed(rows["id"].to_numpy(), rows["mine"].to_numpy(), [(t or "").encode() for t in rows["body"]], width, trees * depth, percent)
-        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
-
-    links = tasks.join(bodies, "id").repartition(4 * parts, "cluster", "x", "y").groupBy("cluster", "x", "y").applyInPandas(check, "a long, b long")
-    final = connected_components(links, "a", "b")
-    joined = member.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
+    sketches = reps.select("id", "sketch", "n")
+
+    def likely(edges: DataFrame) -> DataFrame:
+        """(a, b, agreement) of candidates whose sizes and sketches allow a link."""
+        sides = [sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}")) for x in "ab"]
+        both = edges.join(sides[0], "a").join(sides[1], "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        return both.select("a", "b", _agreement(F.col("sa"), F.col("sb"), trees * depth).alias("agreement")).where(F.col("agreement") >= loose).groupBy("a", "b").agg(F.max("agreement").alias("agreement"))
+
+    texts = source.join(reps.select("id", "text_key"), ["id", "text_key"], "left_semi").groupBy("id", "text_key").agg(F.first("body").alias("body")).select("id", "body")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        sides = [texts.select(F.col("id").alias(x), F.col("body").alias(f"text_{x}")) for x in "ab"]
+        return pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").where(_linked(width, percent)("text_a", "text_b")).select("a", "b")
+
+    def labelled(frame: DataFrame, labels: DataFrame, node: str, out: str) -> DataFrame:
+        return frame.join(labels.select(F.col("node").alias(node), F.col("component").alias(out)), node, "left").withColumn(out, F.coalesce(out, node))
+
+    first = checkpointed(likely(_forest_edges(forest, region_rows, near)))
+    ends = first.select("a", "b", "agreement", F.explode(F.array("a", "b")).alias("node"))
+    best = ends.groupBy("node").agg(F.max(F.struct("agreement", (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))).alias("e")).select((-F.col("e.x")).alias("a"), (-F.col("e.y")).alias("b")).distinct()
+    best = checkpointed(best)
+    links = checkpointed(confirmed(best).unionByName(tied))
+    labels = connected_components(links, "a", "b")
+
+    touched = first.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    again = likely(_forest_edges(labelled(forest.join(touched, "id", "left_semi"), labels, "id", "component"), region_rows, near))
+    rest = first.unionByName(again).select("a", "b").distinct().join(best, ["a", "b"], "left_anti")
+    rest = labelled(labelled(rest, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb")
+    final = connected_components(links.unionByName(confirmed(checkpointed(rest))), "a", "b")
+    joined = labelled(member.select("id", "rep"), final, "rep", "component").select("id", "component")
     out = features.select("id", "n").join(joined, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

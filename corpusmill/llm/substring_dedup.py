@@ -19,6 +19,7 @@ taken for a copy with a chance of b / 2**64.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -34,26 +35,37 @@ RUN_BYTES = 1 << 20
 
 
 def chunk_column(df: DataFrame, id_col: str, text_col: str, chunk_bytes: int, at_least: int):
-    """An expression that numbers chunks of consecutive ids, and the number of text bytes.
+    """An expression that numbers chunks in the order of ids, and the number of text bytes.
 
-    Bounds are id quantiles (512 at most, one small aggregate); finer chunks
-    divide the span between two bounds evenly.  Null ids come last, by text hash.
+    Bounds are id quantiles by rows (512 at most, one small aggregate); finer chunks divide
+    the span between two bounds evenly, in decimals, as ids may use all 64 bits.  A repeated id that
+    fills a span alone is divided by its rows' text hashes, in their order, as are null ids, which come last.
     """
     probs = [i / 512 for i in range(1, 512)]
     row = df.agg(F.sum(F.octet_length(text_col)), F.min(id_col), F.max(id_col), F.percentile_approx(id_col, probs, 20000)).first()
     size = row[0] or 0
     n = max(at_least, -(-size // chunk_bytes))
+    by_hash = lambda parts: F.least(F.floor((F.xxhash64(text_col) / F.lit(2.0**64) + 0.5) * parts), parts - 1).cast("long")
     if row[1] is None:
-        return F.pmod(F.xxhash64(text_col), F.lit(n)).cast("int"), size
+        return by_hash(F.lit(n)).cast("int"), size
     ranges = min(n, 512)
-    bounds = sorted({row[1], *(row[3][min(510, max(0, round(i * 512 / ranges) - 1))] for i in range(1, ranges)), row[2] + 1})
+    cuts = [row[1], *(row[3][min(510, max(0, round(i * 512 / ranges) - 1))] for i in range(1, ranges))]
+    # An id at several cuts holds as many shares of the rows; its own span ends right after it.
+    alone = {b for b, k in Counter(cuts).items() if k > 1}
+    bounds = sorted({*cuts, *(b + 1 for b in alone if b < row[2])})
     finer = -(-n // ranges)
+    shares = {b: finer * max(1, cuts.count(b)) for b in bounds}
+    starts = np.concatenate(([0], np.cumsum([shares[b] for b in bounds])))
     ids, edges = F.col(id_col), F.array(*[F.lit(b).cast("long") for b in bounds])
-    at = lambda k: F.element_at(edges, F.least(k, F.lit(len(bounds) - 1)) + 1)
-    place = F.aggregate(edges, F.lit(0), lambda acc, b: acc + F.when(b <= ids, 1).otherwise(0)) - 1
-    chunk = place * finer + F.floor((ids - at(place)) * finer / F.greatest(at(place + 1) - at(place), F.lit(1)))
-    last = len(bounds) * finer
-    return F.when(ids.isNull(), last + F.pmod(F.xxhash64(text_col), F.lit(n))).otherwise(chunk).cast("int"), size
+    place = F.aggregate(edges, F.lit(0), lambda acc, b: acc + F.when(b <= ids, 1).otherwise(0))
+    of = lambda values, kind: F.element_at(F.array(*[F.lit(str(v)).cast(kind) for v in values]), place)
+    wide = "decimal(20,0)"
+    low, span = of(bounds, wide), of([b - a for a, b in zip(bounds, [*bounds[1:], row[2] + 1], strict=True)], wide)
+    parts = of([shares[b] for b in bounds], "long")
+    inside = F.floor((ids.cast(wide) - low).cast("double") / span.cast("double") * parts).cast("long")
+    inside = F.when(span == 1, by_hash(parts)).otherwise(F.least(F.greatest(inside, F.lit(0)), parts - 1))
+    last = int(starts[-1])
+    return F.when(ids.isNull(), last + by_hash(F.lit(n))).otherwise(of(starts[:-1], "long") + inside).cast("int"), size
 
 
 class Windows:
@@ -116,20 +128,20 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     `kept_text` (the other words joined by one space).
 
     Windows are judged on the input.  A null text counts as empty: no words and
-    an empty `kept_text`.  Rows of the same id are ordered by text; of fully
-    equal rows the copies lose, whichever they are.  Null ids come after all
+    an empty `kept_text`.  Rows of the same id are ordered by text hash, then text; of fully
+    equal rows the copies lose, whichever they are.  An empty table gives an empty one.  Null ids come after all
     others.  Other columns of `docs`, whatever their names, play no part.  A
     text of any length is handled whole, by one task.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), F.xxhash64(text_col).alias("tie"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
     chunk, size = chunk_column(source, "id", "body", chunk_bytes, 2 * parts)
     buckets = max(2 * parts, -(-size // (6 * bucket_hashes)))
     chunks = source.withColumn("chunk", chunk).repartition(2 * parts, "chunk")
 
     def ordered(rows: pd.DataFrame) -> tuple[pd.DataFrame, list[bytes]]:
-        rows = rows.assign(body=[(t or "").encode() for t in rows["body"]]).sort_values(["id", "body"], kind="stable", na_position="last")
+        rows = rows.assign(body=[(t or "").encode() for t in rows["body"]]).sort_values(["id", "tie", "body"], kind="stable", na_position="last")
         return rows, rows["body"].tolist()
 
     def send(rows: pd.DataFrame) -> pd.DataFrame:

@@ -375,7 +375,7 @@ def test_near_dedup(spark, docs, width):
             words[rng.randrange(len(words))] = rng.choice(base)
         rows.append((10_000 + i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup(df, width=width, block=16, region_rows=8).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup(df, width=width, region_rows=8).collect()}
     assert got == brute_components(rows, width)
 
 
@@ -422,3 +422,46 @@ def test_pipeline(spark, sf_dir, docs):
     last = P.STAGES[-1][1](spark, rows, sf_dir)
     assert last.count() == rows.count() and last.where("not decodes").count() == 0
     assert P.run(spark, sf_dir).count() == last.count()
+
+
+def test_substring_dedup_wide_and_repeated_ids(spark):
+    """62-bit hashed ids over many chunks, the largest ids there are, and one id in half of all rows."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    passage = " ".join(rng.choice(words) for _ in range(30))
+    rows = [(rng.getrandbits(62), " ".join(rng.choice(words) for _ in range(25)) + (f" {passage}" if i % 9 == 0 else "")) for i in range(600)]
+    rows += [(2**63 - 1, f"{passage} end"), (2**63 - 2, passage), (-(2**63), f"start {passage}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(df, chunk_bytes=64).collect()}
+    assert got == brute_substring(rows)
+    many = spark.createDataFrame([(5, f"{passage} {i}") for i in range(300)] + rows[:300], "doc_id long, text string")
+    out = substring_dedup(many, chunk_bytes=500).where("doc_id = 5").collect()
+    assert len(out) == 300 and sum(r.n_removed == 0 for r in out) == 1
+
+
+def test_near_dedup_does_not_depend_on_row_order(spark):
+    """An id with two texts links with the copies of either."""
+    base = [f"a{i}" for i in range(60)]
+    rows = [(5, " ".join(base)), (5, " ".join(f"b{i}" for i in range(60))), (6, " ".join([*base[:-1], "x"])), (7, " ".join([*(f"b{i}" for i in range(59)), "x"])), (8, "other text of some words that stand alone")]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        got = [(r.doc_id, r.component_id) for r in near_dedup(spark.createDataFrame(order, "doc_id long, text string").coalesce(1), width=2).collect()]
+        assert sorted(got) == [(5, 5), (5, 5), (6, 5), (7, 5), (8, 8)]
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_near_dedup_recall_in_dense_groups(spark, seed):
+    """Families of near copies just around the threshold: components equal those of all pairs."""
+    rng = random.Random(seed)
+    rows = []
+    for family in range(6):
+        base = [f"f{family}w{rng.randrange(400)}" for _ in range(150)]
+        for _ in range(80):
+            words = list(base)
+            for _ in range(rng.randint(0, 16)):
+                words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    rng.shuffle(rows)
+    want = brute_components(rows, 2)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), width=2, region_rows=64).collect()}
+    assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
+    print("equal", sum(got[i] == want[i] for i in want), "of", len(want), "components", len({v[1] for v in want.values()}))
