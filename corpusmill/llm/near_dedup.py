@@ -11,12 +11,12 @@
    `region_rows` rows are ordered in parts, by one more value at a time.
 3. Candidates whose signatures agree on a share of `loose` at least are compared
    on their full sets, each row first with its best one.  Components of the
-   links found are labelled.  Then each tree is walked again: within a region
-   each row is a candidate with the nearest row on either side that is of
-   another component.  What is left between components is compared in full too.
+   links found are labelled.  Then each tree is walked again, its regions in two other
+   orders, by the values of other trees: each row is a candidate with the nearest row on either side
+   that is of another component, and with the `near` rows before it that are.  What is left between components is compared in full too.
 
 Work is linear in the rows: a row gives `near` + 4 candidates a tree in the first
-walk and two in the second, however large its region or component.  Nothing is
+walk and `near` + 2 in the second, however large its region or component.  Nothing is
 held for a group: texts are compared pair by pair.  Two texts with similarity s
 share no region with a chance of (1 - s**depth)**trees: 3e-6 at 0.8.  That they
 share one and are never neighbours, nor joined by others, is rarer still in
@@ -114,6 +114,7 @@ def _forest_edges(forest: DataFrame, region_rows: int, near: int) -> DataFrame:
         turned = [(w, F.when(F.lag("component").over(w) != F.col("component"), F.lag("id").over(w))) for w in (order, back)]
         marked = members.withColumns({f"turn{i}": t for i, (_, t) in enumerate(turned)})
         others = [F.last(f"turn{i}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for i, (w, _) in enumerate(turned)]
+        others += [F.when(F.lag("component", k).over(order) != F.col("component"), F.lag("id", k).over(order)) for k in range(1, near + 1)]
     else:
         marked = members
         heads = [F.min("id").over(Window.partitionBy("key", "part", F.shiftrightunsigned("deep", bits))) for bits in (48, 32, 0)]
@@ -158,7 +159,7 @@ def _linked(width: int, percent: int):
     return run
 
 
-def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, trees: int = 24, depth: int = 4, loose: float = 0.55, near: int = 2, region_rows: int = 4096) -> DataFrame:
+def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, trees: int = 24, depth: int = 4, loose: float = 0.55, near: int = 4, region_rows: int = 4096) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for each row of `docs`.
 
     Texts are lower-cased (A-Z); a text's set is its distinct `width`-word
@@ -180,7 +181,12 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     tied = member.where("rep <> last").select(F.col("rep").alias("a"), F.explode("reps").alias("b")).where("a <> b")
     reps = whole.join(classes, same).where("id = rep").groupBy("id", *same).agg(F.min("text_key").alias("text_key"), F.first("keys").alias("keys"), F.first("deep").alias("deep"), F.first("sketch").alias("sketch"))
     reps = checkpointed(reps.drop("mark", "mark2"))
-    forest = reps.select("id", F.explode(F.arrays_zip("keys", "deep")).alias("t")).select("id", F.col("t.keys").alias("key"), F.col("t.deep").alias("deep"))
+
+    def forest(turn: int) -> DataFrame:
+        """(id, key, deep) by tree; the places of regions are those of the tree `turn` further on."""
+        turned = F.concat(F.slice("deep", turn + 1, trees), F.slice("deep", 1, turn))
+        return reps.select("id", F.explode(F.arrays_zip("keys", turned.alias("deep"))).alias("t")).select("id", F.col("t.keys").alias("key"), F.col("t.deep").alias("deep"))
+
     sketches = reps.select("id", "sketch", "n")
 
     def likely(edges: DataFrame) -> DataFrame:
@@ -189,8 +195,6 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         both = edges.join(sides[0], "a").join(sides[1], "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         return both.select("a", "b", _agreement(F.col("sa"), F.col("sb"), trees * depth).alias("agreement")).where(F.col("agreement") >= loose).groupBy("a", "b").agg(F.max("agreement").alias("agreement"))
 
-    texts = source.join(reps.select("id", "text_key"), ["id", "text_key"], "left_semi").groupBy("id", "text_key").agg(F.first("body").alias("body")).select("id", "body")
-
     def confirmed(pairs: DataFrame) -> DataFrame:
         sides = [texts.select(F.col("id").alias(x), F.col("body").alias(f"text_{x}")) for x in "ab"]
         return pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").where(_linked(width, percent)("text_a", "text_b")).select("a", "b")
@@ -198,15 +202,18 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     def labelled(frame: DataFrame, labels: DataFrame, node: str, out: str) -> DataFrame:
         return frame.join(labels.select(F.col("node").alias(node), F.col("component").alias(out)), node, "left").withColumn(out, F.coalesce(out, node))
 
-    first = checkpointed(likely(_forest_edges(forest, region_rows, near)))
+    first = checkpointed(likely(_forest_edges(forest(0), region_rows, near)))
     ends = first.select("a", "b", "agreement", F.explode(F.array("a", "b")).alias("node"))
     best = ends.groupBy("node").agg(F.max(F.struct("agreement", (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))).alias("e")).select((-F.col("e.x")).alias("a"), (-F.col("e.y")).alias("b")).distinct()
     best = checkpointed(best)
+    touched = first.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = reps.join(touched, "id", "left_semi").select("id", "text_key")
+    texts = checkpointed(source.join(wanted, ["id", "text_key"], "left_semi").groupBy("id", "text_key").agg(F.first("body").alias("body")).select("id", "body"))
     links = checkpointed(confirmed(best).unionByName(tied))
     labels = connected_components(links, "a", "b")
 
-    touched = first.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    again = likely(_forest_edges(labelled(forest.join(touched, "id", "left_semi"), labels, "id", "component"), region_rows, near))
+    walks = [_forest_edges(labelled(forest(turn).join(touched, "id", "left_semi"), labels, "id", "component"), region_rows, near) for turn in (trees // 3, 2 * trees // 3)]
+    again = likely(walks[0].unionByName(walks[1]).distinct())
     rest = first.unionByName(again).select("a", "b").distinct().join(best, ["a", "b"], "left_anti")
     rest = labelled(labelled(rest, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb")
     final = connected_components(links.unionByName(confirmed(checkpointed(rest))), "a", "b")
