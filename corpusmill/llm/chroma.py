@@ -10,6 +10,7 @@ their equal integers agree on, and compared there by their share of differing bi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,23 +18,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
-from .wordhash import mix
+from .common import checkpointed, shuffle_partitions
+from .wordhash import mix, runs
 
 FRAME, HOP, SPAN, RATE = 128, 32, 8, 11025
+#: The first frequency bin that is less than a semitone below the next: 1 / (2**(1/12) - 1), rounded up.
+LOWEST = 17
 #: Positions between the two values of an anchor.
 PAIR = 4
 #: Fewer positions than this are few enough for one edit (some 15 positions) at a bad place to leave too few anchors.
 SMALL = 22
 #: Frames transformed at once.
 BATCH = 1 << 15
+#: Pairs of places that meet, or are compared, at once.
+PAIRS = 1 << 21
 
 
 def _pitch_classes() -> np.ndarray:
-    """(frequency bin, pitch class) weights: each bin's energy goes to the class nearest on the tempered scale."""
-    freq = np.arange(1, FRAME // 2 + 1) * RATE / FRAME
+    """(frequency bin, pitch class) weights: each bin's energy goes to the class nearest on the tempered scale.
+
+    Bins lower than `LOWEST`, whose neighbours are a semitone away or more, tell no classes apart and have no weight."""
+    bins = np.arange(LOWEST, FRAME // 2 + 1)
     out = np.zeros((FRAME // 2 + 1, 12), np.float32)
-    out[np.arange(1, FRAME // 2 + 1), np.round(12 * np.log2(freq / 440)).astype(int) % 12] = 1
+    out[bins, np.round(12 * np.log2(bins * RATE / FRAME / 440)).astype(int) % 12] = 1
     return out
 
 
@@ -108,54 +115,180 @@ def _values(prints: np.ndarray) -> np.ndarray:
     return mix(prints[:-PAIR], 7) ^ mix(prints[PAIR:], 8) if len(prints) > PAIR else prints[:0]
 
 
-def _anchors(every: int, least_votes: int):
-    """(class, asked, value, n): each anchor of a class once, with its number of places.  Where an edit could spoil all
-    anchors (under `SMALL` positions), pairs of neighbouring values are added, one of which alone makes a candidate."""
+def _join(parts: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def _packed(out: list[tuple], columns: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=columns)
+
+
+def _postings(spread: int, salts: int):
+    """Anchors of a run of classes, packed by (bucket of the value, salt): value, class, place and what it is.
+
+    An anchor is data (1) in the salt of its class and, where the class asks, a question (2) in all salts.  Where an edit could
+    spoil all anchors (under `SMALL` positions) pairs of neighbouring values (4) are added, which make a candidate but no vote."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            parts, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            lengths = []
-            for b in rows["print"]:
+            value, owner, place, near = [], [], [], []
+            for k, b in enumerate(rows["print"]):
                 prints = np.frombuffer(b, np.uint32)
-                value, n = np.unique(_values(prints), return_counts=True)
-                keep = mix(value, 5) % np.uint64(every) == 0
-                value, n = value[keep], n[keep]
+                parts = [(_values(prints), 0)]
                 if len(prints) < SMALL:
-                    near = np.unique(mix(prints[:-1].astype(np.uint64), 6) ^ mix(prints[1:].astype(np.uint64), 4))
-                    value, n = np.append(value, near), np.append(n, np.full(len(near), least_votes))
-                parts.append(value)
-                times.append(n)
-                lengths.append(len(value))
-            yield pd.DataFrame({"class": np.repeat(rows["class"].to_numpy(), lengths), "asked": np.repeat(rows["asked"].to_numpy(bool), lengths), "value": np.concatenate(parts).astype(np.int64), "n": np.concatenate(times)})
+                    parts.append((mix(prints[:-1].astype(np.uint64), 6) ^ mix(prints[1:].astype(np.uint64), 4), 4))
+                for v, flag in parts:
+                    value.append(v)
+                    owner.append(np.full(len(v), k))
+                    place.append(np.arange(len(v), dtype=np.int32))
+                    near.append(np.full(len(v), flag, np.uint8))
+            if not value:
+                continue
+            value, owner, place, near = map(np.concatenate, (value, owner, place, near))
+            ids, asked = rows["class"].to_numpy(np.int64)[owner], rows["asked"].to_numpy(bool)[owner]
+            bucket = (mix(value, 3) % np.uint64(spread)).astype(np.int64)
+            own = (mix(ids.astype(np.uint64), 2) % np.uint64(salts)).astype(np.int64)
+            for k in range(spread * salts):
+                v, salt = divmod(k, salts)
+                at = np.flatnonzero((bucket == v) & ((own == salt) | asked))
+                if len(at):
+                    what = near[at] | (own[at] == salt) | asked[at].astype(np.uint8) << 1
+                    yield _packed([(k, np.int64(len(at)).tobytes() + value[at].tobytes() + ids[at].tobytes() + place[at].tobytes() + what.astype(np.uint8).tobytes())], ["bucket", "data"])
 
     return run
 
 
-def _votes(x: np.ndarray, y: np.ndarray, every: int) -> tuple[int, int]:
-    """(votes, offset) of the offset that most pairs of equal anchors of two fingerprints agree on (then the nearest to 0)."""
-    a, b = _values(x), _values(y)
-    if not len(a) or not len(b):
-        return 0, 0
-    order_a, order_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-    value, at, n = np.unique(a[order_a], return_index=True, return_counts=True)
-    low = np.searchsorted(b[order_b], value)
-    m = np.searchsorted(b[order_b], value, side="right") - low
-    m[mix(value, 5) % np.uint64(every) != 0] = 0
-    few = n * m <= 1 << 12
-    # Each place of a value meets all places of it on the other side.
-    times = np.repeat(np.where(few, m, 0), n)
-    i = np.repeat(order_a, times)
-    j = order_b[np.repeat(np.repeat(low, n), times) + np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)]
-    hist = np.bincount(j - i + len(a) - 1, minlength=len(a) + len(b) - 1).astype(np.int64)
-    size = 1 << (len(hist) - 1).bit_length()
-    for k in np.flatnonzero(~few):  # a value with very many places: the same counts by a convolution
-        u = np.bincount(len(a) - 1 - order_a[at[k] : at[k] + n[k]], minlength=size).astype(float)
-        v = np.bincount(order_b[low[k] : low[k] + m[k]], minlength=size).astype(float)
-        hist += np.rint(np.fft.irfft(np.fft.rfft(u) * np.fft.rfft(v), size)[: len(hist)]).astype(np.int64)
-    offsets = np.arange(len(hist)) - len(a) + 1
-    best = np.lexsort((-offsets, np.abs(offsets), -hist))[0]
-    return int(hist[best]), int(offsets[best])
+def _summed(q: np.ndarray, d: np.ndarray, offset: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The votes of each (q, d, offset), in order."""
+    order = np.lexsort((offset, d, q))
+    q, d, offset, votes = q[order], d[order], offset[order], votes[order]
+    first = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (d[1:] != d[:-1]) | (offset[1:] != offset[:-1]))) if len(q) else np.zeros(0, np.int64)
+    return q[first], d[first], offset[first], np.add.reduceat(votes, first) if len(first) else votes
+
+
+def _dealt(q: np.ndarray, d: np.ndarray, offset: np.ndarray, votes: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    for k in np.unique(block):
+        at = np.flatnonzero(block == k)
+        yield int(k), np.int64(len(at)).tobytes() + q[at].tobytes() + d[at].tobytes() + offset[at].astype(np.int32).tobytes() + votes[at].astype(np.int32).tobytes()
+
+
+def _gathered(data: pd.Series) -> tuple[np.ndarray, ...]:
+    q, d, offset, votes = [], [], [], []
+    for b in data:
+        n = int(np.frombuffer(b, np.int64, 1)[0])
+        q.append(np.frombuffer(b, np.int64, n, 8))
+        d.append(np.frombuffer(b, np.int64, n, 8 + 8 * n))
+        offset.append(np.frombuffer(b, np.int32, n, 8 + 16 * n))
+        votes.append(np.frombuffer(b, np.int32, n, 8 + 20 * n))
+    return _join(q, np.int64), _join(d, np.int64), _join(offset, np.int32), _join(votes, np.int32)
+
+
+def _block(ids: np.ndarray, blocks: int) -> np.ndarray:
+    return (mix(ids.astype(np.uint64), 1) % np.uint64(blocks)).astype(np.int64)
+
+
+def _vote(blocks: int):
+    """Votes of a bucket: each place of a value in a question meets all its places in other classes, `PAIRS` at a time."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        parts: list[list] = [[], [], [], []]
+        for b in rows["data"]:
+            n, at = int(np.frombuffer(b, np.int64, 1)[0]), 8
+            for k, (kind, size) in enumerate(((np.uint64, 8), (np.int64, 8), (np.int32, 4), (np.uint8, 1))):
+                parts[k].append(np.frombuffer(b, kind, n, at))
+                at += size * n
+        value, ids, place, what = map(np.concatenate, parts)
+        data, asks = np.flatnonzero(what & 1), np.flatnonzero(what & 2)
+        data = data[np.argsort(value[data], kind="stable")]
+        low, high = (np.searchsorted(value[data], value[asks], side=s) for s in ("left", "right"))
+        met = high - low
+        out = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))
+        for a, b in runs(met.tolist(), PAIRS):
+            i = np.repeat(np.arange(a, b), met[a:b])
+            j = data[low[i] + np.arange(len(i)) - np.repeat(np.cumsum(met[a:b]) - met[a:b], met[a:b])]
+            i = asks[i]
+            keep = ids[i] != ids[j]
+            i, j = i[keep], j[keep]
+            new = _summed(ids[i], ids[j], place[j] - place[i], (what[i] & 4 == 0).astype(np.int32))
+            out = _summed(*(np.concatenate(x) for x in zip(out, new, strict=True))) if len(out[0]) else new
+        return _packed(list(_dealt(*out, _block(out[0], blocks))), ["block", "data"])
+
+    return run
+
+
+def _pick(blocks: int, least_votes: int):
+    """For each pair the offset with most votes (then the nearest to 0), and the prints of those that ask, dealt by the other side."""
+
+    def run(votes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        q, d, offset, n = _summed(*_gathered(votes["data"]))
+        order = np.lexsort((-offset, np.abs(offset), -n, d, q))
+        q, d, offset, n = q[order], d[order], offset[order], n[order]
+        best = np.append(True, (q[1:] != q[:-1]) | (d[1:] != d[:-1])) if len(q) else np.zeros(0, bool)
+        # Pairs without a vote are candidates of short recordings.
+        near = {(a, b) for a, b in zip(q[n == 0].tolist(), d[n == 0].tolist(), strict=True)}
+        keep = np.flatnonzero(best & (n >= least_votes)) if not near else np.flatnonzero(best & ((n >= least_votes) | np.fromiter(((a, b) in near for a, b in zip(q.tolist(), d.tolist(), strict=True)), bool, len(q))))
+        q, d, offset, n = q[keep], d[keep], offset[keep], n[keep]
+        prints, out = dict(zip(asked["class"].tolist(), asked["print"], strict=True)), []
+        for k, data in _dealt(q, d, offset, n, _block(d, blocks)):
+            ids = np.unique(_gathered([data])[0])
+            own = [prints[i] for i in ids.tolist()]
+            out.append((k, data, ids.tobytes(), np.array([len(b) // 4 for b in own], np.int64).tobytes(), b"".join(own)))
+        return _packed(out, ["block", "data", "ids", "sizes", "prints"])
+
+    return run
+
+
+def _bit_errors(x: np.ndarray, x0: np.ndarray, xn: np.ndarray, y: np.ndarray, y0: np.ndarray, yn: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Overlap and share of differing bits of pairs of prints x[x0:x0+xn], y[y0:y0+yn] at their offsets."""
+    p, q = np.maximum(0, -offset), np.maximum(0, offset)
+    n = np.maximum(0, np.minimum(xn - p, yn - q)).astype(np.int64)
+    error = np.ones(len(n))
+    for a, b in runs(n.tolist(), PAIRS):
+        some = np.flatnonzero(n[a:b]) + a
+        if len(some):
+            size = n[some]
+            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            bits = np.bitwise_count(x[np.repeat(x0[some] + p[some], size) + at] ^ y[np.repeat(y0[some] + q[some], size) + at])
+            error[some] = np.add.reduceat(bits.astype(np.int64), np.cumsum(size) - size) / (32 * size)
+    return n, error
+
+
+def _score(least_votes: int, most_error: float):
+    """Matches of a block's recordings with those that ask: for each of these their number and the best."""
+
+    def run(pairs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        ids = own["class"].to_numpy(np.int64)
+        order = np.argsort(ids)
+        ids, prints = ids[order], [own["print"].iloc[i] for i in order]
+        yn = np.array([len(b) // 4 for b in prints], np.int64)
+        y, y0 = np.frombuffer(b"".join(prints), np.uint32), np.cumsum(yn) - yn
+        out = []
+        for data, names, sizes, flat in zip(pairs["data"], pairs["ids"], pairs["sizes"], pairs["prints"], strict=True):
+            q, d, offset, votes = (v.astype(np.int64) for v in _gathered([data]))
+            names, xn, x = np.frombuffer(names, np.int64), np.frombuffer(sizes, np.int64), np.frombuffer(flat, np.uint32)
+            x0 = np.cumsum(xn) - xn
+            i, j = np.searchsorted(names, q), np.searchsorted(ids, d)
+            overlap, error = _bit_errors(x, x0[i], xn[i], y, y0[j], yn[j], offset)
+            error[votes < least_votes] = 1.0
+            small = np.flatnonzero((error > most_error) & (np.maximum(xn[i], yn[j]) < SMALL))
+            lengths = xn[i][small] << 8 | yn[j][small]
+            for both in np.unique(lengths):
+                at = small[lengths == both]
+                p, r = (v[s[:, None] + np.arange(n)] for v, s, n in ((x, x0[i[at]], both >> 8), (y, y0[j[at]], both & 255)))
+                found, shift = _fewest_errors(p, r)
+                fine = found <= most_error + 1e-6
+                at, shift = at[fine], shift[fine].astype(np.int64)
+                offset[at] = shift
+                overlap[at], error[at] = _bit_errors(x, x0[i[at]], xn[i[at]], y, y0[j[at]], yn[j[at]], shift)
+                votes[at] = [_votes_at(x[x0[a] : x0[a] + xn[a]], y[y0[b] : y0[b] + yn[b]], int(o)) for a, b, o in zip(i[at], j[at], shift, strict=True)]
+            fine = np.flatnonzero(error <= most_error)
+            fine = fine[np.lexsort((d[fine], -votes[fine], error[fine], q[fine]))]
+            q, first, matches = np.unique(q[fine], return_index=True, return_counts=True)
+            at = fine[first]
+            out.append(pd.DataFrame({"q": q, "matches": matches, "error": error[at], "votes": votes[at], "d": d[at], "offset": offset[at], "overlap": overlap[at]}))
+        return pd.concat(out) if out else _packed([], ["q", "matches", "error", "votes", "d", "offset", "overlap"])
+
+    return run
 
 
 def _error(p: np.ndarray, q: np.ndarray, offset: int) -> tuple[int, float]:
@@ -192,27 +325,6 @@ def _votes_at(p: np.ndarray, q: np.ndarray, offset: int) -> int:
     return int((same[:-PAIR] & same[PAIR:]).sum())
 
 
-def _compare(every: int, least_votes: int, most_error: float):
-    @F.pandas_udf("struct<votes:int,offset:int,overlap:int,error:double>")
-    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        left, right = ([np.frombuffer(x, np.uint32) for x in s] for s in (a, b))
-        sizes = np.array([(len(p), len(q)) for p, q in zip(left, right, strict=True)]).reshape(-1, 2)
-        rows: list[tuple] = [(0, 0, 0, 1.0)] * len(a)
-        for k in range(len(rows)):
-            votes, offset = _votes(left[k], right[k], every)
-            if votes >= least_votes:
-                rows[k] = (votes, offset, *_error(left[k], right[k], offset))
-        small = (sizes.max(axis=1, initial=0) < SMALL) & np.array([row[3] > most_error for row in rows], bool)
-        for size in np.unique(sizes[small], axis=0):
-            at = np.flatnonzero(small & (sizes == size).all(axis=1))
-            error, offset = _fewest_errors(np.stack([left[k] for k in at]), np.stack([right[k] for k in at]))
-            for k, o in zip(at[error <= most_error + 1e-6], offset[error <= most_error + 1e-6].tolist(), strict=True):
-                rows[k] = (_votes_at(left[k], right[k], o), o, *_error(left[k], right[k], o))
-        return pd.DataFrame(rows, columns=["votes", "offset", "overlap", "error"])
-
-    return run
-
-
 def _short_matches(classes: DataFrame, short: int, most_error: float, block_rows: int = 1024) -> DataFrame:
     """(q, d, votes, offset, overlap, error) of all matches in which one side has fewer than `short` positions.
 
@@ -250,30 +362,49 @@ def _short_matches(classes: DataFrame, short: int, most_error: float, block_rows
     return a.groupBy("x", "y").cogroup(b.groupBy("x", "y")).applyInPandas(run, f"q {kind}, d {kind}, votes int, offset int, overlap int, error double")
 
 
-def align(rows: DataFrame, queries: Column, *, id_col: str = "doc_id", audio_col: str = "audio", every: int = 1, least_votes: int = 3, most_error: float = 0.15) -> DataFrame:
-    """For each row where `queries` holds: (id_col, n_positions, copies, matches, match_id, offset, votes, overlap, error).
+def align(rows: DataFrame, queries: Column, *, id_col: str = "doc_id", audio_col: str = "audio", least_votes: int = 3, most_error: float = 0.15, block_positions: int = 1_000_000) -> DataFrame:
+    """For each row where `queries` holds: (id_col, n_positions, class_id, copies, matches, match_id, offset, votes, overlap, error).
 
     Recordings with equal fingerprints are one class; `copies` is its size.  Candidates
-    share anchors (a pair of fingerprint values `PAIR` positions apart, as single values coincide too often; one in
-    `every`, by its hash), or two neighbouring values where both have fewer than `SMALL` positions.  All places of all anchors of
+    share anchors (a pair of fingerprint values `PAIR` positions apart, as single values coincide too often),
+    or two neighbouring values where both have fewer than `SMALL` positions.  All places of all anchors of
     two candidates vote; the offset with most votes is theirs, with `least_votes` of them at least, and they match with
     `most_error` differing bits at most.  Where that fails, two recordings under `SMALL` positions take the offset with
     fewest errors, as do recordings too short for `least_votes` anchors, which are compared without candidates; offsets
     of this kind share half of the longer side.  `matches` counts the other classes that match; the best is told by
-    its smallest id (fewest errors, then most votes, then smallest id).  Null ids are no rows of the index.
-    Recordings too short for a position match nothing but their copies.
+    its smallest id (fewest errors, then most votes, then smallest id).
+
+    Ids are integers; null ids are no rows of the index.  Null, empty and short audio has no position and
+    matches nothing but its copies.  Rows that repeat an id each come back once, if they ask; a repeated row counts as a
+    copy.  An empty table gives an empty one.  Audio of any length is read whole.  Other columns, whatever their names, play no part.
+
+    Votes are counted in buckets of anchor values.  A value in many recordings is dealt over a number of tasks that grows
+    with the buckets, and questions meet it there `PAIRS` places at a time; what leaves a task is packed votes, never a row for
+    each pair.
     """
-    base = rows.select(F.col(id_col).alias("id"), queries.alias("asked"), F.col(audio_col).alias("audio")).where("id is not null")
+    parts = shuffle_partitions(rows.sparkSession)
+    base = rows.select(F.col(id_col).cast("long").alias("id"), queries.alias("asked"), F.col(audio_col).alias("audio")).where("id is not null")
     prints = checkpointed(fingerprints(base, "audio", "print").select("id", "asked", "print").withColumn("mark", F.sha2("print", 256)))
     classes = checkpointed(prints.groupBy("mark").agg(F.min("id").alias("class"), F.max(F.coalesce("asked", F.lit(False))).alias("asked"), F.count("*").alias("copies"), F.first("print").alias("print")))
     short = least_votes + PAIR
-    anchors = classes.where(F.octet_length("print") >= 4 * short).select("class", "asked", "print").mapInPandas(_anchors(every, least_votes), f"class {dict(classes.dtypes)['class']}, asked boolean, value long, n long")
-    left = anchors.where("asked").select(F.col("class").alias("q"), "value", F.col("n").alias("q_n"))
-    shared = left.join(anchors.select(F.col("class").alias("d"), "value", "n"), "value").where("q <> d").groupBy("q", "d").agg(F.sum(F.col("n") * F.col("q_n")).alias("shared")).where(F.col("shared") >= least_votes)
-    pairs = shared.join(classes.select(F.col("class").alias("q"), F.col("print").alias("pq")), "q").join(classes.select(F.col("class").alias("d"), F.col("print").alias("pd")), "d")
-    compared = pairs.select("q", "d", _compare(every, least_votes, most_error)("pq", "pd").alias("e")).select("q", "d", "e.*").where(F.col("error") <= most_error)
-    scored = compared.unionByName(_short_matches(classes, short, most_error).where(F.col("error") <= most_error))
-    top = scored.groupBy("q").agg(F.count("*").alias("matches"), F.min(F.struct("error", (-F.col("votes")).alias("v"), "d", "offset", "votes", "overlap")).alias("b"))
+    long = classes.where(F.octet_length("print") >= 4 * short).select("class", "asked", "print")
+    positions = (long.agg(F.sum(F.octet_length("print"))).first()[0] or 0) // 4
+    blocks = max(parts, -(-positions // block_positions))
+    salts = max(1, round(math.sqrt(blocks) / 2))
+    spread = max(1, blocks // salts)
+
+    @F.pandas_udf("long")
+    def block_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(_block(ids.to_numpy(np.int64), blocks))
+
+    dealt = long.withColumn("block", block_of("class"))
+    votes = long.mapInPandas(_postings(spread, salts), "bucket long, data binary").repartition(max(parts, spread * salts), "bucket").groupBy("bucket").applyInPandas(_vote(blocks), "block long, data binary")
+    picked = votes.groupBy("block").cogroup(dealt.where("asked").groupBy("block")).applyInPandas(_pick(blocks, least_votes), "block long, data binary, ids binary, sizes binary, prints binary")
+    result = "q long, matches long, error double, votes long, d long, offset long, overlap long"
+    scored = picked.groupBy("block").cogroup(dealt.groupBy("block")).applyInPandas(_score(least_votes, most_error), result)
+    brief = _short_matches(classes, short, most_error).where(F.col("error") <= most_error).select("q", F.lit(1).cast("long").alias("matches"), "error", F.col("votes").cast("long"), "d", F.col("offset").cast("long"), F.col("overlap").cast("long"))
+    best = F.min(F.struct("error", (-F.col("votes")).alias("v"), "d", "offset", "votes", "overlap")).alias("b")
+    top = scored.unionByName(brief).groupBy("q").agg(F.sum("matches").alias("matches"), best)
     asked = prints.where("asked").select("id", "mark", (F.octet_length("print") / 4).cast("long").alias("n_positions")).join(classes.select("mark", "class", "copies"), "mark")
     out = asked.join(top, F.col("class") == F.col("q"), "left")
-    return out.select(F.col("id").alias(id_col), "n_positions", F.col("class").alias("class_id"), "copies", F.coalesce("matches", F.lit(0)).cast("long").alias("matches"), F.col("b.d").alias("match_id"), F.col("b.offset").alias("offset"), F.col("b.votes").alias("votes"), F.col("b.overlap").alias("overlap"), F.round("b.error", 9).alias("error"))
+    return out.select(F.col("id").alias(id_col), "n_positions", F.col("class").alias("class_id"), "copies", F.coalesce("matches", F.lit(0)).cast("long").alias("matches"), F.col("b.d").alias("match_id"), F.col("b.offset").cast("int").alias("offset"), F.col("b.votes").cast("int").alias("votes"), F.col("b.overlap").cast("int").alias("overlap"), F.round("b.error", 9).alias("error"))
