@@ -16,31 +16,47 @@ from corpusmill.llm.byte_bpe import bpe_encode
 from corpusmill.llm.common import checkpointed, table
 from corpusmill.llm.mixing import mix_sources
 from corpusmill.llm.near_dedup import near_dedup
-from corpusmill.llm.quality_rules import keep_good, learn_from_labels, text_statistics
+from corpusmill.llm.quality_rules import base_failed, learn_from_labels, text_statistics
 from corpusmill.llm.substring_dedup import substring_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the base rules or the learned list reject."""
-    stats = checkpointed(text_statistics(docs))
+    """Drop what the base rules or the learned list reject.
+
+    Texts are read once: rows and their statistics are kept together until the rules are known.  Null, empty and
+    blank texts fail the base rules; rows with a null id, repeated rows and other columns pass like any other.
+    """
+    stats = checkpointed(text_statistics(docs, whole_row="__row"))
     rules = learn_from_labels(docs, table(spark, sf_dir, "labels"), stats=stats)
-    return keep_good(docs, rules)
+    return stats.where(~base_failed() & rules.verdict()).select("__row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each group of near copies (five-word shingles, similarity 0.8)."""
-    kept = near_dedup(docs, width=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """Keep the smallest id of each group of near copies (five-word shingles, similarity 0.8).
+
+    Of rows that repeat an id the one with the smallest text stays.  Texts without words are copies of nothing,
+    nor are rows with a null id, which all stay.
+    """
+    kept = near_dedup(docs, width=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
+    one = F.min_by(F.struct(*docs.columns), F.struct("text", "lang", "source")).alias("row")
+    rows = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(one).select("row.*")
+    return rows.unionByName(docs.where("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut words inside 20-word windows that occur earlier; texts become their kept words."""
+    """Cut words inside 20-word windows that occur earlier; texts become their kept words joined by a space.
+
+    Every row comes back once.  A null text becomes an empty one; of repeated rows the copies are cut whole.
+    """
     out = substring_dedup(docs, keep=["lang", "source"])
     return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each document as often as the mix has it."""
+    """Take each document as often as the mix has it, three times at most.
+
+    Texts without words are never taken.  Rows that agree in id, source and size get equal copies; a null id is an id.
+    """
     mix = mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "copies").distinct()
     size = F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
     rows = docs.withColumn("__size", size).join(mix, F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("__size") == F.col("m_size")))
@@ -48,7 +64,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and whether they decode to it."""
+    """Token ids of each text, and whether they decode to it.  A null text has none."""
     out = bpe_encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded_col="decoded")
     same = F.col("decoded") == F.to_binary(F.coalesce("text", F.lit("")), F.lit("utf-8"))
     return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("decodes"))
