@@ -16,7 +16,7 @@ from corpusmill.llm.components import connected_components
 from corpusmill.llm.language_id import predict_language, train_language_model
 from corpusmill.llm.mixing import mix_sources, targets
 from corpusmill.llm.near_dedup import near_dedup
-from corpusmill.llm.pitman_yor import Seating, first_seating, hpy_scores
+from corpusmill.llm.pitman_yor import hpy_scores, seated
 from corpusmill.llm.quality_rules import DecisionList, keep_good, learn_from_labels, quality_rules, text_statistics
 from corpusmill.llm.substring_dedup import substring_dedup
 from corpusmill.llm.token_transducer import token_counts, transducer
@@ -120,17 +120,97 @@ def test_pitman_yor_awkward(spark, awkward):
     assert hpy_scores(awkward.limit(0), F.lit(True)).count() == 0
 
 
-def test_seating_keeps_all_customers():
+def plain_hpy(train, texts, discount, sweeps=60, burn_in=20, concentration=1.0, seed=3):
+    """The same model by a customer-by-customer Gibbs sampler: log10 probabilities of `texts`, averaged after burn-in."""
+    rng = random.Random(seed)
+    bigrams = [(w, u) for t in train for u, w in zip(["<s>", *t], [*t, "</s>"], strict=True)]
+    vocabulary = {w for w, _ in bigrams}
+    uniform = 1 / (len(vocabulary) + 1)
+    seats = {None: collections.defaultdict(list)} | {u: collections.defaultdict(list) for _, u in bigrams}
+    customers, tables = collections.Counter(), collections.Counter()
+
+    def prob(u, w):
+        below = uniform if u is None else prob(None, w)
+        level = seats.get(u)
+        d = discount[0] if u is None else discount[1]
+        if level is None:
+            return below
+        own = level.get(w, [])
+        return (max(sum(own) - d * len(own), 0) + (concentration + d * tables[u]) * below) / (concentration + customers[u])
+
+    def sit(u, w):
+        d = discount[0] if u is None else discount[1]
+        own = seats[u][w]
+        below = uniform if u is None else prob(None, w)
+        fresh = (concentration + d * tables[u]) * below
+        x = rng.random() * (sum(own) - d * len(own) + fresh)
+        customers[u] += 1
+        for k, n in enumerate(own):
+            x -= n - d
+            if x < 0:
+                own[k] += 1
+                return
+        own.append(1)
+        tables[u] += 1
+        if u is not None:
+            sit(None, w)
+
+    def leave(u, w):
+        own = seats[u][w]
+        k = rng.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        customers[u] -= 1
+        if not own[k]:
+            own.pop(k)
+            tables[u] -= 1
+            if u is not None:
+                leave(None, w)
+
+    for w, u in bigrams:
+        sit(u, w)
+    mean = [collections.Counter() for _ in texts]
+    for sweep in range(sweeps):
+        for w, u in rng.sample(bigrams, len(bigrams)):
+            leave(u, w)
+            sit(u, w)
+        if sweep >= burn_in:
+            for k, t in enumerate(texts):
+                for i, (u, w) in enumerate(zip(["<s>", *t], [*t, "</s>"], strict=True)):
+                    mean[k][i] += prob(u, w) / (sweeps - burn_in)
+    return [sum(math.log10(p) for p in m.values()) for m in mean]
+
+
+def test_pitman_yor_equals_a_plain_sampler(spark):
+    """Skewed words and contexts; hot words are dealt by context, as many as there are buckets for."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(40)]
+    weights = [1 / (i + 1) ** 1.3 for i in range(40)]
+    train = [rng.choices(words, weights, k=rng.randint(3, 25)) for _ in range(150)]
+    asked = [rng.choices([*words, "new"], [*weights, 0.05], k=12) for _ in range(20)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(train + asked)], "doc_id long, text string")
+    got = [r.score for r in hpy_scores(df, F.col("doc_id") < len(train), bucket_tokens=60, sweeps=8).orderBy("doc_id").collect()]
+    pairs = collections.Counter((u, w) for t in train for u, w in zip(["<s>", *t], [*t, "</s>"], strict=True))
+    ones = collections.Counter(w for t in train for w in [*t, "</s>"])
+    d = [min(0.95, max(0.05, a / max(1.0, a + 2 * b))) for c in (ones, pairs) for a, b in [(sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values()))]]
+    want = plain_hpy(train, train + asked, d)
+    tokens = [len(t) + 1 for t in train + asked]
+    off = [abs(a - b) / n for a, b, n in zip(got, want, tokens, strict=True)]
+    assert max(off) < 0.08 and sum(off) / len(off) < 0.02, (max(off), sum(off) / len(off))
+
+
+def test_seating_is_that_of_customers_one_by_one():
     rng = np.random.default_rng(1)
     counts = np.array([1, 2, 7, 100, 5000, 0])
-    sizes, tables = first_seating(counts, np.full(6, 0.5), 0.6, rng)
-    owner = np.repeat(np.arange(6), tables)
-    assert (np.bincount(owner, sizes, 6) == counts).all() and (tables <= counts).all() and (sizes > 0).all()
-    s = Seating(counts, sizes, tables, 8)
-    for _ in range(8):
-        s.move(np.full(6, 0.5), 0.6, rng)
-        assert (np.bincount(s.dish, s.size, 6) == counts).all()
-        assert (np.bincount(s.dish, s.size > 0, 6) == s.tables).all()
+    tables = seated(counts, np.full(6, 0.5), 0.6, rng)
+    assert (tables <= counts).all() and (tables[counts > 0] > 0).all() and tables[5] == 0
+    for n, a, d in ((2, 0.5, 0.6), (10, 0.3, 0.5), (60, 2.0, 0.7)):
+        own = []
+        for _ in range(4000):
+            t = 1
+            for k in range(1, n):
+                t += rng.random() < a / (k - d * t + a)
+            own.append(t)
+        assert np.mean(seated(np.full(4000, n), np.full(4000, a), d, rng)) == pytest.approx(np.mean(own), rel=0.08)
 
 
 def test_chroma_finds_a_shifted_recording(spark):
