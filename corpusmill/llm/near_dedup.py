@@ -5,22 +5,24 @@
    its smallest id; only representatives go on.
 2. Each tree orders the representatives by its own run of MinHash values: the
    first `depth` of them are the region, the next four the place in it.  A row is
-   a candidate with the `near` rows before it in that order (their common
-   prefixes are the longest) and with the smallest id of each prefix it has: of
-   its region, and of one, two and four values more.  Regions of more than
-   `region_rows` rows are ordered in parts, by one more value at a time.
+   a candidate with the row before it in that order (their common prefix is the
+   longest) and with the smallest id of each prefix it has: of its region, and of
+   one, two and four values more.  Regions of more than `region_rows` rows are
+   ordered in parts, by one more value at a time.
 3. Candidates whose signatures agree on a share of `loose` at least are compared
    on their full sets, each row first with its best one.  Components of the
-   links found are labelled.  Then each tree is walked again, its regions in two other
-   orders, by the values of other trees: each row is a candidate with the nearest row on either side
-   that is of another component, and with the `near` rows before it that are.  What is left between components is compared in full too.
-
-Work is linear in the rows: a row gives `near` + 4 candidates a tree in the first
-walk and `near` + 2 in the second, however large its region or component.  Nothing is
-held for a group: texts are compared pair by pair.  Two texts with similarity s
-share no region with a chance of (1 - s**depth)**trees: 3e-6 at 0.8.  That they
-share one and are never neighbours, nor joined by others, is rarer still in
-practice; tests measure it against brute force.
+   links found are labelled.  Then regions with several components are walked
+   again, in their own order and in that of another tree's values: a row is a
+   candidate with the nearest row on either side that is of another component,
+   and with those of the `near` rows before it that are.  What is left between
+   components is compared in full too.
+
+Work is linear in the rows: a row gives five candidates a tree in the first walk
+and 2 * (`near` + 2) in the second, however large its region or component.
+Nothing is held for a group: texts are compared pair by pair.  Two texts with
+similarity s share no region with a chance of (1 - s**depth)**trees: 3e-6 at 0.8.
+That they share one but are never neighbours, nor joined by others, is seen
+only for texts with hardly a link (the README has figures against all pairs).
 """
 
 from __future__ import annotations
@@ -95,32 +97,50 @@ def _features(width: int, trees: int, depth: int):
     return run
 
 
-def _forest_edges(forest: DataFrame, region_rows: int, near: int) -> DataFrame:
-    """Candidates (a, b) of the sorted orders of `forest` (id, key, deep and, in the second walk, component)."""
-    second = "component" in forest.columns
-    regions = forest.groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("head"), *([F.min("component").alias("low"), F.max("component").alias("high")] if second else [])).where("low <> high" if second else "rows > 1")
-    # Large regions are ordered in parts, by one more 16-bit value for each factor of region_rows; equal places then by id.
-    part = (
+def _members(forest: DataFrame) -> DataFrame:
+    """Rows of `forest` (id, key, deep, other_deep) whose region has more than one, with its size and smallest id."""
+    regions = forest.groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("head")).where("rows > 1")
+    return forest.join(regions, "key")
+
+
+def _parts(region_rows: int, deep: str):
+    """Large regions are ordered in parts, by one more 16-bit value for each factor of region_rows; equal places then by id."""
+    return (
         F.when(F.col("rows") <= region_rows, F.lit(0).cast("long"))
-        .when(F.col("rows") <= region_rows * 16, F.shiftrightunsigned("deep", 48))
-        .when(F.col("rows") <= region_rows * 256, F.shiftrightunsigned("deep", 32))
-        .otherwise(F.xxhash64("deep", F.pmod(F.xxhash64("id"), F.ceil(F.col("rows") / (region_rows * 256)))))
+        .when(F.col("rows") <= region_rows * 16, F.shiftrightunsigned(deep, 48))
+        .when(F.col("rows") <= region_rows * 256, F.shiftrightunsigned(deep, 32))
+        .otherwise(F.xxhash64(deep, F.pmod(F.xxhash64("id"), F.ceil(F.col("rows") / (region_rows * 256)))))
     )
-    members = forest.join(regions, "key").withColumn("part", part)
-    order = Window.partitionBy("key", "part").orderBy("deep", "id")
-    if second:
+
+
+def _pairs(rows: DataFrame, others: list) -> DataFrame:
+    wide = rows.select("id", *[o.alias(f"other{i}") for i, o in enumerate(others)])
+    each = F.explode(F.array_distinct(F.array(*[f"other{i}" for i in range(len(others))]))).alias("other")
+    return wide.select("id", each).where("other <> id").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+
+
+def _first_walk(members: DataFrame, region_rows: int) -> DataFrame:
+    """Candidates (a, b): each row with the one before it and with the smallest ids of its prefixes."""
+    rows = members.withColumn("part", _parts(region_rows, "deep"))
+    heads = [F.min("id").over(Window.partitionBy("key", "part", F.shiftrightunsigned("deep", bits))) for bits in (48, 32, 0)]
+    before = F.lag("id").over(Window.partitionBy("key", "part").orderBy("deep", "id"))
+    return _pairs(rows, [F.col("head"), *heads, before]).distinct()
+
+
+def _second_walk(members: DataFrame, region_rows: int, near: int) -> DataFrame:
+    """Candidates (a, b) of different components in regions that hold several, in two orders of the region."""
+    mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    members, out = members.join(mixed, "key", "left_semi"), None
+    for deep in ("deep", "other_deep"):
+        rows = members.withColumn("part", _parts(region_rows, deep))
+        order, back = (Window.partitionBy("key", "part").orderBy(*o) for o in ((deep, "id"), (F.desc(deep), F.desc("id"))))
         # The nearest row on either side of another component: the end of the run before, the start of the run after.
-        back = Window.partitionBy("key", "part").orderBy(F.desc("deep"), F.desc("id"))
-        turned = [(w, F.when(F.lag("component").over(w) != F.col("component"), F.lag("id").over(w))) for w in (order, back)]
-        marked = members.withColumns({f"turn{i}": t for i, (_, t) in enumerate(turned)})
-        others = [F.last(f"turn{i}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for i, (w, _) in enumerate(turned)]
+        rows = rows.withColumns({f"turn{i}": F.when(F.lag("component").over(w) != F.col("component"), F.lag("id").over(w)) for i, w in enumerate((order, back))})
+        others = [F.last(f"turn{i}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for i, w in enumerate((order, back))]
         others += [F.when(F.lag("component", k).over(order) != F.col("component"), F.lag("id", k).over(order)) for k in range(1, near + 1)]
-    else:
-        marked = members
-        heads = [F.min("id").over(Window.partitionBy("key", "part", F.shiftrightunsigned("deep", bits))) for bits in (48, 32, 0)]
-        others = [F.col("head"), *heads, *[F.lag("id", k).over(order) for k in range(1, near + 1)]]
-    wide = marked.select("id", *[o.alias(f"other{i}") for i, o in enumerate(others)])
-    return wide.select("id", F.explode(F.array_distinct(F.array(*[f"other{i}" for i in range(len(others))]))).alias("other")).where("other <> id").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        found = _pairs(rows, others)
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
 
 
 def _agreement(x, y, values: int):
@@ -181,12 +201,9 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     tied = member.where("rep <> last").select(F.col("rep").alias("a"), F.explode("reps").alias("b")).where("a <> b")
     reps = whole.join(classes, same).where("id = rep").groupBy("id", *same).agg(F.min("text_key").alias("text_key"), F.first("keys").alias("keys"), F.first("deep").alias("deep"), F.first("sketch").alias("sketch"))
     reps = checkpointed(reps.drop("mark", "mark2"))
-
-    def forest(turn: int) -> DataFrame:
-        """(id, key, deep) by tree; the places of regions are those of the tree `turn` further on."""
-        turned = F.concat(F.slice("deep", turn + 1, trees), F.slice("deep", 1, turn))
-        return reps.select("id", F.explode(F.arrays_zip("keys", turned.alias("deep"))).alias("t")).select("id", F.col("t.keys").alias("key"), F.col("t.deep").alias("deep"))
-
+    turned = F.concat(F.slice("deep", trees // 2 + 1, trees), F.slice("deep", 1, trees // 2))
+    forest = reps.select("id", F.explode(F.arrays_zip("keys", "deep", turned.alias("turned"))).alias("t")).select("id", F.col("t.keys").alias("key"), F.col("t.deep").alias("deep"), F.col("t.turned").alias("other_deep"))
+    members = checkpointed(_members(forest))
     sketches = reps.select("id", "sketch", "n")
 
     def likely(edges: DataFrame) -> DataFrame:
@@ -202,7 +219,7 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     def labelled(frame: DataFrame, labels: DataFrame, node: str, out: str) -> DataFrame:
         return frame.join(labels.select(F.col("node").alias(node), F.col("component").alias(out)), node, "left").withColumn(out, F.coalesce(out, node))
 
-    first = checkpointed(likely(_forest_edges(forest(0), region_rows, near)))
+    first = checkpointed(likely(_first_walk(members, region_rows)))
     ends = first.select("a", "b", "agreement", F.explode(F.array("a", "b")).alias("node"))
     best = ends.groupBy("node").agg(F.max(F.struct("agreement", (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))).alias("e")).select((-F.col("e.x")).alias("a"), (-F.col("e.y")).alias("b")).distinct()
     best = checkpointed(best)
@@ -212,8 +229,7 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     links = checkpointed(confirmed(best).unionByName(tied))
     labels = connected_components(links, "a", "b")
 
-    walks = [_forest_edges(labelled(forest(turn).join(touched, "id", "left_semi"), labels, "id", "component"), region_rows, near) for turn in (trees // 3, 2 * trees // 3)]
-    again = likely(walks[0].unionByName(walks[1]).distinct())
+    again = likely(_second_walk(labelled(members.join(touched, "id", "left_semi"), labels, "id", "component"), region_rows, near))
     rest = first.unionByName(again).select("a", "b").distinct().join(best, ["a", "b"], "left_anti")
     rest = labelled(labelled(rest, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb")
     final = connected_components(links.unionByName(confirmed(checkpointed(rest))), "a", "b")
