@@ -157,11 +157,14 @@ class Bucket:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return zlib.compress(values.astype(np.uint32).tobytes(), 1)
+    """Whole numbers from 0 on, by their bytes, which compress well one after the other."""
+    kind = np.uint32 if not len(values) or values.max() < 1 << 32 else np.uint64
+    return kind().itemsize.to_bytes(1) + zlib.compress(values.astype(kind).view(np.uint8).reshape(len(values), kind().itemsize).T.tobytes(), 1)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), np.uint32).astype(np.int64)
+    size, flat = data[0], np.frombuffer(zlib.decompress(data[1:]), np.uint8)
+    return np.frombuffer(flat.reshape(size, len(flat) // size).T.tobytes(), f"u{size}").astype(np.int64)
 
 
 def seated(counts: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -211,7 +214,7 @@ def _hot_words(source: DataFrame, buckets: int, sample_bytes: int = 8 << 20) ->
     return np.unique(np.append(np.array(hot, np.int64).astype(np.uint64), np.uint64(END)))
 
 
-def hpy_scores(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", bits: int = 18, sweeps: int = 4, burn_in: int = 2, concentration: float = 1.0, bucket_tokens: int = 1_000_000, seed: int = 11) -> DataFrame:
+def hpy_scores(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", bits: int = 18, sweeps: int = 3, burn_in: int = 1, concentration: float = 1.0, bucket_tokens: int = 1_500_000, seed: int = 11) -> DataFrame:
     """(id_col, n_tokens, n_known, train_tokens, base_score, score), one row for each row of `docs`.
 
     Tokens are lower-cased words and one end.  `training` (null: true) marks the rows to
@@ -237,10 +240,10 @@ def hpy_scores(docs: DataFrame, training: Column, *, id_col: str = "doc_id", tex
         """Sum of packed rows of `width` numbers, in two steps."""
 
         def add(rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"part": [0], "sums": [zlib.compress(sum(np.frombuffer(zlib.decompress(b), np.int64) for b in rows["sums"]).tobytes(), 1)]})
+            return pd.DataFrame({"part": [0], "sums": [_pack(sum(map(_unpack, rows["sums"])))]})
 
         two = frame.groupBy("part").applyInPandas(add, "part long, sums binary")
-        return sum((np.frombuffer(zlib.decompress(r["sums"]), np.int64) for r in two.select("sums").collect()), np.zeros(width, np.int64))
+        return sum((_unpack(r["sums"]) for r in two.select("sums").collect()), np.zeros(width, np.int64))
 
     def tally(rows: pd.DataFrame) -> pd.DataFrame:
         b = Bucket(rows, bits)
@@ -249,7 +252,7 @@ def hpy_scores(docs: DataFrame, training: Column, *, id_col: str = "doc_id", tex
         scalars = [b.word_count.sum(), (own > 0).sum(), one.sum(), (b.count == 2).sum(), (own == 1).sum(), (own == 2).sum()]
         sums = np.concatenate((np.bincount(b.context, b.count, size), np.bincount(b.context[one], minlength=size), scalars, np.bincount(shared[mine], b.word_count[mine], len(hot)))).astype(np.int64)
         pairs = [_pack(np.diff(b.word[b.open], prepend=0)), _pack(b.context[b.open]), _pack(b.count[b.open])]
-        return pd.DataFrame([(int(rows["bucket"].iloc[0]), *pairs, _pack(np.bincount(b.word[one], minlength=b.words)), _pack(b.word_count), _pack(mine), _pack(shared[mine]), zlib.compress(sums.tobytes(), 1))], columns=["bucket", "word", "context", "count", "singles", "word_count", "hot_word", "hot", "sums"])
+        return pd.DataFrame([(int(rows["bucket"].iloc[0]), *pairs, _pack(np.bincount(b.word[one], minlength=b.words)), _pack(b.word_count), _pack(mine), _pack(shared[mine]), _pack(sums))], columns=["bucket", "word", "context", "count", "singles", "word_count", "hot_word", "hot", "sums"])
 
     counted = checkpointed(mine.applyInPandas(tally, "bucket long, word binary, context binary, count binary, singles binary, word_count binary, hot_word binary, hot binary, sums binary"))
     got = reduced(counted.select((F.col("bucket") % 16).alias("part"), "sums"), 2 * size + 6 + len(hot))
@@ -291,7 +294,7 @@ def hpy_scores(docs: DataFrame, training: Column, *, id_col: str = "doc_id", tex
             c[hot_word] = 0
             top = seated(c, np.full(len(c), (concentration + discount[0] * n_words) * uniform), discount[0], rng)
             sums = np.concatenate((np.bincount(context, tables, size), [total, top.sum()], shared)).astype(np.int64)
-            return pd.DataFrame([(number, sweep, _pack(tables), _pack(top), zlib.compress(sums.tobytes(), 1))], columns=["bucket", "sweep", "tables", "top", "sums"])
+            return pd.DataFrame([(number, sweep, _pack(tables), _pack(top), _pack(sums))], columns=["bucket", "sweep", "tables", "top", "sums"])
 
         schema = "bucket long, sweep int, tables binary, top binary, sums binary"
         if states:
