@@ -149,10 +149,15 @@ def response_spans(turns: Sequence[tuple[Sequence[int], bool]], end: int, limit:
     return (list(ids[:limit]), spans) if spans else ([], [])
 
 
-def role_scores(words: Column) -> Column:
-    """For each word 1.0, and more for connectives (3), relation verbs (2.5), numbers (2) and capitals (0.5)."""
+def role_scores(words: Column, entities: tuple[str, ...] = ()) -> Column:
+    """For each word 1.0, and more for connectives (3), relation verbs (2.5), entities and numbers (2), capitalised words (0.5; not for all capitals)."""
     low = lambda w: F.lower(w)
-    return F.transform(words, lambda w: F.lit(1.0) + F.when(low(w).isin(*CONNECTIVES), 3.0).otherwise(0.0) + F.when(low(w).isin(*RELATIONS), 2.5).otherwise(0.0) + F.when(w.rlike("^[0-9]"), 2.0).otherwise(0.0) + F.when(w.rlike("^\\p{Lu}"), 0.5).otherwise(0.0))
+    more = lambda when, n: F.when(when, n).otherwise(0.0)
+    return F.transform(
+        words,
+        lambda w: F.lit(1.0) + more(low(w).isin(*CONNECTIVES), 3.0) + more(low(w).isin(*RELATIONS), 2.5) + more(low(w).isin(*entities) if entities else F.lit(False), 2.0)
+        + more(w.rlike("^[+-]?(?:\\d+(?:[.,]\\d+)?|\\d*\\.\\d+)(?:\\s*%)?$"), 2.0) + more(w.rlike("^\\p{Lu}.") & (w != F.upper(w)), 0.5),
+    )
 
 
 def inferable(ok: str, bad: str, context: str) -> str:

@@ -66,27 +66,27 @@ def components(edges: DataFrame, nodes: DataFrame, checkpoint, max_rounds: int =
     raise RuntimeError("components did not converge")
 
 
-def greedy_keep(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, kept) of the sequential rule "keep a node unless a kept smaller neighbour is too similar", within each component.
+def greedy_keep(edges: DataFrame, nodes: DataFrame, checkpoint, max_rounds: int = 200) -> DataFrame:
+    """(node, kept) of the sequential rule "keep a node unless a kept smaller neighbour is too similar"; edges are (a, b), a < b.
 
-    The rule depends on order, so a component is decided as a whole; components are those of near copies only.
+    In each round the nodes without an undecided smaller neighbour are kept and their larger neighbours are dropped, with all
+    their edges, until no edge is left.  No component or neighbourhood is held by one task.
     """
-    import pandas as pd
-
-    mine = labels.join(edges.select(F.col("b").alias("node"), "a"), "node", "left").select("component", "node", "a")
-
-    def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        before: dict[int, list[int]] = {}
-        for node, a in zip(rows["node"], rows["a"], strict=True):
-            before.setdefault(node, [])
-            if a == a:
-                before[node].append(int(a))
-        kept: dict[int, bool] = {}
-        for node in sorted(before):
-            kept[node] = not any(kept.get(a, False) for a in before[node])
-        return pd.DataFrame({"node": list(kept), "kept": list(kept.values())})
-
-    return mine.groupBy("component").applyInPandas(decide, "node long, kept boolean")
+    left, gone = checkpoint(edges.select("a", "b").distinct()), None
+    for _ in range(max_rounds):
+        if not left.limit(1).count():
+            break
+        first = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        drop = checkpoint(left.join(first, "a", "left_semi").select(F.col("b").alias("node")).distinct())
+        gone = checkpoint(drop if gone is None else gone.unionByName(drop))
+        for end in ("a", "b"):
+            left = left.join(drop.withColumnRenamed("node", end), end, "left_anti")
+        left = checkpoint(left.select("a", "b"))
+    else:
+        raise RuntimeError("the nodes did not settle")
+    if gone is None:
+        return nodes.select("node", F.lit(True).alias("kept"))
+    return nodes.join(gone.withColumn("gone", F.lit(True)), "node", "left").select("node", F.col("gone").isNull().alias("kept"))
 
 
 def cap_degrees(edges: DataFrame, cap: int, checkpoint, max_rounds: int = 100) -> DataFrame:

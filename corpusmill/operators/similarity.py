@@ -50,6 +50,44 @@ def top_k(left: DataFrame, right: DataFrame, k: int, *, least: float | None = No
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def links(vectors: DataFrame, least: float, *, block_rows: int = 4096, connect: bool = False) -> DataFrame:
+    """(a, b, sim), a < b: all pairs of `vectors` (id, vec) with a cosine of `least` or more; no neighbour list is cut.
+
+    With `connect`, each pair of blocks gives only links that join what it had not joined yet, strongest first: at most
+    one fewer than its rows, with the same connected components as all of them.
+    """
+    blocks = max(1, -(-vectors.count() // block_rows))
+    left, right = (_dealt(vectors, blocks, blocks, side, *keys) for side, keys in (("l", "xy"), ("r", "yx")))
+    left, right = left.where("l_x <= l_y"), right.where("r_x <= r_y")
+
+    def find(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(q):
+            return pd.DataFrame({"a": [], "b": [], "sim": []}).astype({"a": "int64", "b": "int64", "sim": "float64"})
+        m, n = (np.stack([np.asarray(v, np.float64) for v in s]) for s in (p["l_vec"], q["r_vec"]))
+        m, n = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in (m, n))
+        sims, x, y = m @ n.T, p["l_id"].to_numpy(), q["r_id"].to_numpy()
+        i, j = np.nonzero((sims >= least) & ((x[:, None] < y) if p["l_x"].iloc[0] == p["l_y"].iloc[0] else (x[:, None] != y)))
+        sim = sims[i, j]
+        if connect:
+            parent: dict[int, int] = {}
+
+            def root(k: int) -> int:
+                while parent.setdefault(k, k) != k:
+                    parent[k] = k = parent[parent[k]]
+                return k
+
+            keep = []
+            for k in np.argsort(-sim, kind="stable").tolist():
+                u, v = root(int(x[i[k]])), root(int(y[j[k]]))
+                if u != v:
+                    parent[u] = v
+                    keep.append(k)
+            i, j, sim = i[keep], j[keep], sim[keep]
+        return pd.DataFrame({"a": np.minimum(x[i], y[j]), "b": np.maximum(x[i], y[j]), "sim": sim})
+
+    return left.groupBy("l_x", "l_y").cogroup(right.groupBy("r_x", "r_y")).applyInPandas(find, "a long, b long, sim double")
+
+
 def leakage(docs: DataFrame, holdout: DataFrame, threshold: float, **options) -> DataFrame:
     """(src, dst, sim, leaked): the nearest holdout vector of each document."""
     return top_k(docs, holdout, 1, **options).select("src", "dst", "sim", (F.col("sim") > threshold).alias("leaked"))

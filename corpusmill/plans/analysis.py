@@ -202,12 +202,6 @@ def leakage_max_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("src", "dst", F.round("sim", 4).alias("sim"), "leaked")
 
 
-def similar_components(spark: SparkSession, sf_dir: str, least: float = 0.4, k: int = 16) -> tuple[DataFrame, DataFrame]:
-    v = vectors(spark, sf_dir)
-    edges = dedup.canonical_edges(similarity.top_k(v, v, k, least=least))
-    return edges, dedup.components(edges, v.select(F.col("id").alias("node")), checkpoint(spark))
-
-
 def checkpoint(spark: SparkSession):
     import tempfile
 
@@ -217,18 +211,19 @@ def checkpoint(spark: SparkSession):
     return lambda df: df.checkpoint(eager=True)
 
 
-@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM ({_KNN}) WHERE rank <= 16 AND s >= 0.4), u AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM ({_KNN}) WHERE s >= 0.4), u AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
 reach(node, seen) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.node, u.dst FROM reach JOIN u ON reach.seen = u.src)
 SELECT node AS vec_id, min(seen) AS component, min(seen) = node AS kept FROM reach GROUP BY node""")
 def semantic_dedup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, labels = similar_components(spark, sf_dir)
+    v = vectors(spark, sf_dir)
+    labels = dedup.components(similarity.links(v, 0.4, connect=True), v.select(F.col("id").alias("node")), checkpoint(spark))
     return labels.select(F.col("node").alias("vec_id"), "component", (F.col("node") == F.col("component")).alias("kept"))
 
 
 @query()
 def semantic_dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, labels = similar_components(spark, sf_dir, least=0.35)
-    return dedup.greedy_keep(edges, labels).select(F.col("node").alias("vec_id"), "kept")
+    v = vectors(spark, sf_dir)
+    return dedup.greedy_keep(similarity.links(v, 0.35), v.select(F.col("id").alias("node")), checkpoint(spark)).select(F.col("node").alias("vec_id"), "kept")
 
 
 @query()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,12 @@ SYNTHETIC_SQL = "CASE " + " ".join(
         (n, " + ".join(f"contains(lower(text), '{p}')::int" for p in ps), ", ".join("(" + " + ".join(f"contains(lower(text), '{p}')::int" for p in qs) + ")" for qs in L.SYNTHETIC.values())) for n, ps in L.SYNTHETIC.items()
     )
 ) + " ELSE 'other' END"
-HASH_SQL = "substr(sha1(trim(regexp_replace(lower(substr(text, 1, 4000)), '\\s+', ' ', 'g'))), 1, 20)"
+#: Decomposition (NFKD) of the Latin letters and signs up to U+017F in SQL, which has no function for it.
+DECOMPOSED_SQL = "text"
+for _c in map(chr, range(0xA0, 0x180)):
+    if (_d := unicodedata.normalize("NFKD", _c)) != _c:
+        DECOMPOSED_SQL = f"replace({DECOMPOSED_SQL}, '{_c}', '{_d}')"
+HASH_SQL = f"substr(sha1(trim(regexp_replace(lower({DECOMPOSED_SQL}), '\\s+', ' ', 'g'))), 1, 20)"
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +56,7 @@ def text_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.content_hash(F.col("text")).alias("key"), sha.alias("sha"), F.concat_ws(":", "source", "doc_id", F.substring(sha, 1, 12)).alias("composite"))
 
 
-@query("""WITH a AS (SELECT doc_id, length(text) AS n, length(regexp_replace(substr(text, 1, 2000), '[^\\p{L}]', '', 'g')) / greatest(length(substr(text, 1, 2000)), 1) AS share FROM documents)
+@query("""WITH a AS (SELECT doc_id, length(text) AS n, length(regexp_replace(text, '[^\\p{L}]', '', 'g')) / greatest(length(text), 1) AS share FROM documents)
 SELECT doc_id, round(share, 6) AS share, n >= 200 AND share >= 0.35 AS kept FROM a""")
 def alpha_ratio_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
@@ -86,7 +93,7 @@ def _votes(marks) -> str:
     return " + ".join(f"(length(h) - length(replace(h, '{m}', ''))) / {len(m)}" for m in marks)
 
 
-@query(f"SELECT doc_id, lang, CASE WHEN {_votes(T.SPANISH)} > 1.5 * ({_votes(T.ENGLISH)}) THEN 'es' ELSE 'en' END AS vote FROM (SELECT doc_id, lang, lower(substr(text, 1, 1500)) AS h FROM documents)")
+@query(f"SELECT doc_id, lang, CASE WHEN {_votes(T.SPANISH)} > 1.5 * ({_votes(T.ENGLISH)}) THEN 'es' ELSE 'en' END AS vote FROM (SELECT doc_id, lang, lower(text) AS h FROM documents)")
 def lang_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang", T.language_vote(F.col("text")).alias("vote"))
 
@@ -133,9 +140,9 @@ def labels_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "quality", "toxic", F.coalesce("quality", F.lit(-1)).alias("shown"))
 
 
-@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.doc_id IS NOT NULL AS in_docs, l.doc_id IS NOT NULL AS in_labels FROM (SELECT * FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN labels l ON d.doc_id = l.doc_id")
+@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.doc_id IS NOT NULL AS in_docs, l.doc_id IS NOT NULL AS in_labels FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id")
 def full_outer_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select("doc_id", F.lit(True).alias("d"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit(True).alias("d"))
     l = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("l"))
     return d.join(l, "doc_id", "full_outer").select("doc_id", F.col("d").isNotNull().alias("in_docs"), F.col("l").isNotNull().alias("in_labels"))
 
@@ -185,9 +192,9 @@ def ngram_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.shared_ngrams(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), doc_id="doc_id", doc_text="text", ref_text="text")
 
 
-@query("SELECT doc_id, source FROM documents WHERE md5(substr(text, 1, 60)) IN (SELECT md5(substr(text, 1, 60)) FROM documents WHERE source = 'src1') AND source <> 'src1'")
+@query("SELECT doc_id, source FROM documents WHERE md5(text) IN (SELECT md5(text) FROM documents WHERE source = 'src1') AND source <> 'src1'")
 def contamination_by_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5(F.substring("text", 1, 60)).alias("c"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("c"))
     return docs.where("source <> 'src1'").join(docs.where("source = 'src1'").select("c"), "c", "left_semi").select("doc_id", "source")
 
 

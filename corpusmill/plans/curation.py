@@ -67,17 +67,17 @@ def paragraph_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.passages(table(spark, sf_dir, "documents"), least_score=0.0, least_words=120)
 
 
-@query()
+@query("""SELECT doc_id, count(*) AS sentences, max(length(s))::int AS longest FROM (SELECT doc_id, unnest(string_split(regexp_replace(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' '), '([.!?]) ([A-Z0-9{\\\\\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1))) AS s FROM documents) WHERE s <> '' GROUP BY doc_id""")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(S.sentences(F.col("text"))).alias("place", "sentence"))
     return docs.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.max(F.length("sentence")).alias("longest"))
 
 
-@query("""WITH t AS (SELECT doc_id, '[OBS] ' || substr(text, 1, 40) || ' [EVID] ' || source || ' [CONC] ' || lang AS tagged FROM documents WHERE NOT contains(substr(text, 1, 40), '['))
+@query("""WITH t AS (SELECT doc_id, '[OBS] ' || translate(text, '[]', '()') || ' [EVID] ' || source || ' [CONC] ' || lang AS tagged FROM documents)
 SELECT doc_id, trim(regexp_extract(tagged, '(?s)\\[OBS\\](.*?)(\\[|$)', 1)) AS obs, trim(regexp_extract(tagged, '(?s)\\[EVID\\](.*?)(\\[|$)', 1)) AS evid, trim(regexp_extract(tagged, '(?s)\\[CONC\\](.*?)(\\[|$)', 1)) AS conc FROM t""")
 def stage_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("text", 1, 40)
-    docs = table(spark, sf_dir, "documents").where(~F.contains(head, F.lit("["))).select("doc_id", F.concat(F.lit("[OBS] "), head, F.lit(" [EVID] "), "source", F.lit(" [CONC] "), "lang").alias("tagged"))
+    body = F.translate("text", "[]", "()")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("[OBS] "), body, F.lit(" [EVID] "), "source", F.lit(" [CONC] "), "lang").alias("tagged"))
     stages = S.tagged_stages(F.col("tagged"))
     return docs.select("doc_id", *[F.trim(F.element_at(stages, n)).alias(n.lower()) for n in ("OBS", "EVID", "CONC")])
 
@@ -133,7 +133,7 @@ def toolcall_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.select("event_id", verdict(damaged).alias("v")).select("event_id", "v.*")
 
 
-@query("""SELECT doc_id, regexp_matches(text, '  ') AS double_space, regexp_matches(text, '\\s[,.;:]') AS space_before, length(text) - length(replace(text, '(', '')) <> length(text) - length(replace(text, ')', '')) AS unbalanced FROM documents""")
+@query("""SELECT doc_id, regexp_matches(text, '  ') AS double_space, regexp_matches(text, '\\s[,.;:]') AS space_before, regexp_matches(text, '(?i)\\b(the the|a a|an an)\\b') AS doubled_article, regexp_matches(text, '(?i)\\ba [aeiou]') AS a_vowel, length(text) - length(replace(text, '(', '')) <> length(text) - length(replace(text, ')', '')) AS unbalanced FROM documents""")
 def fluency_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", t.rlike("  ").alias("double_space"), t.rlike("\\s[,.;:]").alias("space_before"), (T.occurrences(t, "(") != T.occurrences(t, ")")).alias("unbalanced"))
+    return table(spark, sf_dir, "documents").select("doc_id", t.rlike("  ").alias("double_space"), t.rlike("\\s[,.;:]").alias("space_before"), t.rlike("(?i)\\b(the the|a a|an an)\\b").alias("doubled_article"), t.rlike("(?i)\\ba [aeiou]").alias("a_vowel"), (T.occurrences(t, "(") != T.occurrences(t, ")")).alias("unbalanced"))

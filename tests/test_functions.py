@@ -1,11 +1,12 @@
 """Expressions on small hand-made rows."""
 
+import numpy as np
 import pytest
 from corpusmill.functions import labels as L
 from corpusmill.functions import stats
 from corpusmill.functions import structure as S
 from corpusmill.functions import text as T
-from corpusmill.operators import dedup, select, tokens
+from corpusmill.operators import dedup, select, similarity, tokens
 from corpusmill.sources import io
 from corpusmill.streaming import incremental
 from pyspark.sql import functions as F
@@ -108,14 +109,29 @@ def test_tagged_stages(spark):
     assert one(spark, S.serialise_stages(F.create_map(F.lit("CONC"), F.lit("c"), F.lit("OBS"), F.col("t"))), t="o") == "[OBS] o\n[CONC] c"
 
 
-def test_skeleton_strategies():
+def test_skeleton_strategies(spark):
     labels = "Background: we looked at the long river basin. Methods: none. Results: the fish grew by ten percent. Conclusions: rivers matter to the fish."
-    assert S.skeleton(labels)[0] == "labels" and set(S.skeleton(labels)[1]) == {"OBS", "EVID", "CONC"}
-    headings = "Introduction\n" + "words about it " * 12 + "\nResults\n" + "numbers about it " * 12 + "\nDiscussion\n" + "thoughts about it " * 12
-    assert S.skeleton(headings)[0] == "headings"
+    headings = "Introduction\n" + "words about it " * 12 + "\nResults\nresults were striking in all plots " + "numbers about it " * 12 + "\n3. Discussion\n" + "thoughts about it " * 12
     phrases = "In this study we looked at many rivers over time. We expect that rivers will change with the climate. " + "Filler sentence that says very little about anything at all. " * 4 + "We found that rivers did change with the climate. We conclude that rivers follow the climate closely."
-    assert S.skeleton(phrases)[0] == "phrases"
-    assert S.skeleton("")[1] == {}
+    late = "Plain sentence that goes on for quite a while here. " * 200 + "Aim: to see what is found late in a text. Results: it was found all the same. Conclusion: whole texts are read."
+    df = spark.createDataFrame(list(enumerate([labels, headings, phrases, "", None, late])), "i int, text string")
+    got = {r.i: r for r in S.skeletons(df).collect()}
+    assert [got[i].strategy for i in range(6)] == ["labels", "headings", "phrases", "none", "none", "labels"]
+    assert got[0].skeleton == "[OBS] we looked at the long river basin.\n[EVID] the fish grew by ten percent.\n[CONC] rivers matter to the fish."
+    assert [line[:8] for line in got[1].skeleton.split("\n")] == ["[OBS] wo", "[EVID] r", "[CONC] t"] and got[2].stages == 4 and got[3].stages == 0 and got[3].skeleton is None
+    assert got[5].stages == 3
+
+
+def test_sentences_of_whole_texts(spark):
+    assert one(spark, S.sentences(F.col("t")), t="One two. Three! 4 five? no. " * 400)[:3] == ["One two.", "Three!", "4 five? no."]
+    assert len(one(spark, S.sentences(F.col("t")), t="One two. Three! 4 five? no. " * 400)) == 1200
+
+
+def test_content_hash_decomposes(spark):
+    hashes = {one(spark, T.content_hash(F.col("t")), t=t) for t in ("Caf\u00e9 \ufb01n", "cafe\u0301  fin")}
+    assert len(hashes) == 1
+    long = "word " * 2000
+    assert one(spark, T.content_hash(F.col("t")), t=long + "a") != one(spark, T.content_hash(F.col("t")), t=long + "b")
 
 
 def test_tool_calls(spark):
@@ -156,10 +172,29 @@ def test_components_and_greedy(spark):
     keep = lambda df: df.persist()
     labels = dedup.components(edges, nodes, keep)
     assert {r.node: r.component for r in labels.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7}
-    kept = {r.node for r in dedup.greedy_keep(edges, labels).where("kept").collect()}
+    kept = {r.node for r in dedup.greedy_keep(edges, nodes, lambda df: df.checkpoint()).where("kept").collect()}
     assert kept == {1, 3, 4, 5, 7}
 
 
+def test_links_and_greedy_equal_plain_loops(spark):
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(90, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, vec array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if unit[i] @ unit[j] >= 0.8}
+    found = similarity.links(df, 0.8, block_rows=30).checkpoint()
+    assert {(r.a, r.b) for r in found.collect()} == want and found.count() == len(want)
+    kept = []
+    for i in range(90):
+        if not any((j, i) in want for j in kept):
+            kept.append(i)
+    keep, nodes = (lambda x: x.checkpoint()), df.select(F.col("id").alias("node"))
+    assert sorted(r.node for r in dedup.greedy_keep(found, nodes, keep).where("kept").collect()) == kept
+    few = similarity.links(df, 0.8, block_rows=30, connect=True).checkpoint()
+    assert few.count() < len(want)
+    assert sorted(map(tuple, dedup.components(few, nodes, keep).collect())) == sorted(map(tuple, dedup.components(found, nodes, keep).collect()))
+
+
 def test_packing(spark):
     rows = spark.createDataFrame([(i, list(range(i % 5 + 1))) for i in range(23)], "doc_id long, ids array<int>")
     blocks = tokens.packed(rows, 3, 8, -1, 1).collect()

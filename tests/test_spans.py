@@ -71,3 +71,9 @@ def test_columns(spark):
     df = spark.createDataFrame([("Therefore 5 rivers",), (None,)], "t string")
     got = df.select(S.udf(S.title_form, "string")("t").alias("f"), S.role_scores(F.split("t", " ")).alias("r")).collect()
     assert got[0].f == "therefore 5 rivers" and got[0].r == [4.5, 3.0, 1.0] and got[1].f is None
+
+
+def test_role_scores(spark):
+    words = F.split(F.lit("the Panthera NASA 12% Therefore 3x"), " ")
+    got = spark.range(1).select(S.role_scores(words, ("panthera",)).alias("r")).first().r
+    assert got == [1.0, 3.5, 1.0, 3.0, 4.5, 1.0]
