@@ -6,19 +6,19 @@
 2. Each tree orders the representatives by its own run of MinHash values: the
    first `depth` of them are the region, the next four the place in it.  A row is
    a candidate with the row before it in that order (their common prefix is the
-   longest) and with the smallest id of its region.  Regions of more than `region_rows` rows are
+   longest).  Regions of more than `region_rows` rows are
    ordered in parts, by one more value at a time.
 3. Candidates whose signatures agree on a share of `loose` at least are compared
    on their full sets, each row first with its best one.  Components of the
    links found are labelled.  Then regions with several components are walked
    again, in their own order and in that of another tree's values: a row is a
    candidate with the nearest row on either side that is of another component,
-   and with those of the `near` rows before it, and of the smallest ids of its prefixes
-   of one, two and four values more, that are.  What is left between
+   with those of the `near` rows before it, and of the smallest ids of its region and
+   of its prefixes of one, two and four values more, that are.  What is left between
    components is compared in full too.
 
-Work is linear in the rows: a row gives two candidates a tree in the first walk
-and 2 * (`near` + 5) in the second, however large its region or component.
+Work is linear in the rows: a row gives one candidate a tree in the first walk
+and 2 * (`near` + 6) in the second, however large its region or component.
 Nothing is held for a group: texts are compared pair by pair.  Two texts with
 similarity s share no region with a chance of (1 - s**depth)**trees: 3e-6 at 0.8.
 That they share one but are never neighbours, nor joined by others, is seen
@@ -99,8 +99,8 @@ def _features(width: int, trees: int, depth: int):
 
 def _members(forest: DataFrame) -> DataFrame:
     """Rows of `forest` (id, key, deep, other_deep) whose region has more than one, with its size and smallest id."""
-    regions = forest.groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("head")).where("rows > 1")
-    return forest.join(regions, "key")
+    region = Window.partitionBy("key")
+    return forest.withColumn("rows", F.count("*").over(region)).withColumn("head", F.min("id").over(region)).where("rows > 1")
 
 
 def _parts(region_rows: int, deep: str):
@@ -120,10 +120,10 @@ def _pairs(rows: DataFrame, others: list) -> DataFrame:
 
 
 def _first_walk(members: DataFrame, region_rows: int) -> DataFrame:
-    """Candidates (a, b): each row with the one before it and with the smallest id of its region."""
+    """Candidates (a, b): each row with the one before it, whose common prefix is the longest."""
     rows = members.withColumn("part", _parts(region_rows, "deep"))
     before = F.lag("id").over(Window.partitionBy("key", "part").orderBy("deep", "id"))
-    return _pairs(rows, [F.col("head"), before]).distinct()
+    return _pairs(rows, [before]).distinct()
 
 
 def _second_walk(members: DataFrame, region_rows: int, near: int) -> DataFrame:
@@ -139,7 +139,7 @@ def _second_walk(members: DataFrame, region_rows: int, near: int) -> DataFrame:
         others += [F.when(F.lag("component", k).over(order) != F.col("component"), F.lag("id", k).over(order)) for k in range(1, near + 1)]
         # The smallest id of each longer prefix, where it is of another component.
         heads = [F.min(F.struct("id", "component")).over(Window.partitionBy("key", "part", F.shiftrightunsigned(deep, bits))) for bits in (48, 32, 0)]
-        others += [F.when(h["component"] != F.col("component"), h["id"]) for h in heads]
+        others += [F.col("head"), *[F.when(h["component"] != F.col("component"), h["id"]) for h in heads]]
         found = _pairs(rows, others)
         out = found if out is None else out.unionByName(found)
     return out.distinct()
