@@ -32,6 +32,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, rows_each: int = 1 << 14) -> DataFrame:
+    """`df` checkpointed and read in tasks of about `rows_each` short rows, so that small tables do not shuffle through thousands of tiny files."""
+    out = checkpointed(df)
+    return out.coalesce(ceil_div(out.count(), rows_each) or 1)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,18 +9,20 @@
    longest).  Regions of more than `region_rows` rows are
    ordered in parts, by one more value at a time.
 3. Candidates whose signatures agree on a share of `loose` at least are compared
-   on their full sets, each row first with its best one.  Components of the
-   links found are labelled.  Then regions with several components are walked
-   again, in their own order and in that of another tree's values: a row is a
+   on their full sets, each row first with its best one.  The links label
+   components, and only candidates of two components are compared after that.
+   Then regions with several components are walked again, once in their own order and,
+   with the components known by then, once in that of another tree's values: a row is a
    candidate with the nearest row on either side that is of another component,
    with those of the `near` rows before it, and of the smallest ids of its region and
-   of its prefixes of one, two and four values more, that are.  What is left between
-   components is compared in full too.
+   of its prefixes of one, two and four values more, that are.  What is found is
+   compared in the same way: best ones first, then all that is left between components.
 
 Work is linear in the rows: a row gives one candidate a tree in the first walk
-and 2 * (`near` + 6) in the second, however large its region or component.
+and `near` + 6 in each later one, however large its region or component.
 Nothing is held for a group: texts are compared pair by pair.  Two texts with
-similarity s share no region with a chance of (1 - s**depth)**trees: 3e-6 at 0.8.
+similarity s share no region with a chance of (1 - s**depth)**trees: 3e-6 at 0.8, and
+their signatures agree on less than `loose` with one of 2e-6.
 That they share one but are never neighbours, nor joined by others, is seen
 only for texts with hardly a link (the README has figures against all pairs).
 """
@@ -34,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, compact
 from .components import connected_components
 from .wordhash import BASE_WORDS, hash_words, mix, rolling, runs
 
@@ -98,9 +100,8 @@ def _features(width: int, trees: int, depth: int):
 
 
 def _members(forest: DataFrame) -> DataFrame:
-    """Rows of `forest` (id, key, deep, other_deep) whose region has more than one, with its size and smallest id."""
-    region = Window.partitionBy("key")
-    return forest.withColumn("rows", F.count("*").over(region)).withColumn("head", F.min("id").over(region)).where("rows > 1")
+    """Rows of `forest` (id, key, deep, other_deep) whose region has more than one, with its size."""
+    return forest.withColumn("rows", F.count("*").over(Window.partitionBy("key"))).where("rows > 1")
 
 
 def _parts(region_rows: int, deep: str):
@@ -126,23 +127,20 @@ def _first_walk(members: DataFrame, region_rows: int) -> DataFrame:
     return _pairs(rows, [before]).distinct()
 
 
-def _second_walk(members: DataFrame, region_rows: int, near: int) -> DataFrame:
-    """Candidates (a, b) of different components in regions that hold several, in two orders of the region."""
+def _later_walk(members: DataFrame, deep: str, region_rows: int, near: int) -> DataFrame:
+    """Candidates (a, b) of different components in regions that hold several, in the order of `deep`."""
     mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    members, out = members.join(mixed, "key", "left_semi"), None
-    for deep in ("deep", "other_deep"):
-        rows = members.withColumn("part", _parts(region_rows, deep))
-        order, back = (Window.partitionBy("key", "part").orderBy(*o) for o in ((deep, "id"), (F.desc(deep), F.desc("id"))))
-        # The nearest row on either side of another component: the end of the run before, the start of the run after.
-        rows = rows.withColumns({f"turn{i}": F.when(F.lag("component").over(w) != F.col("component"), F.lag("id").over(w)) for i, w in enumerate((order, back))})
-        others = [F.last(f"turn{i}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for i, w in enumerate((order, back))]
-        others += [F.when(F.lag("component", k).over(order) != F.col("component"), F.lag("id", k).over(order)) for k in range(1, near + 1)]
-        # The smallest id of each longer prefix, where it is of another component.
-        heads = [F.min(F.struct("id", "component")).over(Window.partitionBy("key", "part", F.shiftrightunsigned(deep, bits))) for bits in (48, 32, 0)]
-        others += [F.col("head"), *[F.when(h["component"] != F.col("component"), h["id"]) for h in heads]]
-        found = _pairs(rows, others)
-        out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    rows = members.join(mixed, "key", "left_semi").withColumn("part", _parts(region_rows, deep))
+    order, back = (Window.partitionBy("key", "part").orderBy(*o) for o in ((deep, "id"), (F.desc(deep), F.desc("id"))))
+    # The nearest row on either side of another component: the end of the run before, the start of the run after.
+    rows = rows.withColumns({f"turn{i}": F.when(F.lag("component").over(w) != F.col("component"), F.lag("id").over(w)) for i, w in enumerate((order, back))})
+    others = [F.last(f"turn{i}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for i, w in enumerate((order, back))]
+    others += [F.when(F.lag("component", k).over(order) != F.col("component"), F.lag("id", k).over(order)) for k in range(1, near + 1)]
+    # The smallest id of the region and of each longer prefix, where it is of another component.
+    prefixes = [["key"], *[["key", "part", F.shiftrightunsigned(deep, bits)] for bits in (48, 32, 0)]]
+    heads = [F.min(F.struct("id", "component")).over(Window.partitionBy(*p)) for p in prefixes]
+    others += [F.when(h["component"] != F.col("component"), h["id"]) for h in heads]
+    return _pairs(rows, others).distinct()
 
 
 def _agreement(x, y, values: int):
@@ -181,7 +179,7 @@ def _linked(width: int, percent: int):
     return run
 
 
-def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, trees: int = 24, depth: int = 4, loose: float = 0.55, near: int = 4, region_rows: int = 4096) -> DataFrame:
+def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, trees: int = 24, depth: int = 4, loose: float = 0.58, near: int = 4, region_rows: int = 4096) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for each row of `docs`.
 
     Texts are lower-cased (A-Z); a text's set is its distinct `width`-word
@@ -215,26 +213,43 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         return both.select("a", "b", _agreement(F.col("sa"), F.col("sb"), trees * depth).alias("agreement")).where(F.col("agreement") >= loose).groupBy("a", "b").agg(F.max("agreement").alias("agreement"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        """Those of `pairs` (a, b, ca, cb) whose texts link."""
         sides = [texts.select(F.col("id").alias(x), F.col("body").alias(f"text_{x}")) for x in "ab"]
-        return pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").where(_linked(width, percent)("text_a", "text_b")).select("a", "b")
+        return pairs.select("a", "b", "ca", "cb").join(sides[0], "a").join(sides[1], "b").where(_linked(width, percent)("text_a", "text_b")).select("ca", "cb")
 
     def labelled(frame: DataFrame, labels: DataFrame, node: str, out: str) -> DataFrame:
         return frame.join(labels.select(F.col("node").alias(node), F.col("component").alias(out)), node, "left").withColumn(out, F.coalesce(out, node))
 
-    first = checkpointed(likely(_first_walk(members, region_rows)))
-    ends = first.select("a", "b", "agreement", F.explode(F.array("a", "b")).alias("node"))
-    best = ends.groupBy("node").agg(F.max(F.struct("agreement", (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))).alias("e")).select((-F.col("e.x")).alias("a"), (-F.col("e.y")).alias("b")).distinct()
-    best = checkpointed(best)
-    touched = first.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+        """`labels` with the components that `links` (ca, cb) connect made one."""
+        roots = connected_components(links, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("root"))
+        # A component that `labels` do not have is a row alone.
+        both = labels.join(roots, "component", "full")
+        return compact(both.select(F.coalesce("node", "component").alias("node"), F.coalesce("root", "component").alias("component")))
+
+    def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        return labelled(labelled(pairs.select("a", "b", "agreement"), labels, "a", "ca"), labels, "b", "cb").where("ca <> cb")
+
+    def settled(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+        """`labels` after all of `pairs` (a, b, agreement, ca, cb) between components are compared, the best of each row and of each component first."""
+        whole = F.struct("agreement", "a", "b", "ca", "cb")
+        ends = pairs.select(whole.alias("e"), F.explode(F.array("a", "b", "ca", "cb")).alias("node"))
+        best = compact(ends.groupBy("node").agg(F.max("e").alias("e")).select("e.*").distinct())
+        labels = merged(labels, confirmed(best))
+        rest = pairs.join(best.select("a", "b"), ["a", "b"], "left_anti")
+        return merged(labels, confirmed(compact(between(rest, labels))))
+
+    first = compact(likely(_first_walk(members, region_rows)))
+    touched = compact(first.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     wanted = reps.join(touched, "id", "left_semi").select("id", "text_key")
     texts = checkpointed(source.join(wanted, ["id", "text_key"], "left_semi").groupBy("id", "text_key").agg(F.first("body").alias("body")).select("id", "body"))
-    links = checkpointed(confirmed(best).unionByName(tied))
-    labels = connected_components(links, "a", "b")
-
-    again = likely(_second_walk(labelled(members.join(touched, "id", "left_semi"), labels, "id", "component"), region_rows, near))
-    rest = first.unionByName(again).select("a", "b").distinct().join(best, ["a", "b"], "left_anti")
-    rest = labelled(labelled(rest, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb")
-    final = connected_components(links.unionByName(confirmed(checkpointed(rest))), "a", "b")
+    tie = compact(connected_components(tied, "a", "b"))
+    final, seen = settled(tie, compact(between(first, tie))), first.select("a", "b")
+    members = compact(members.join(touched, "id", "left_semi"))
+    for deep in ("deep", "other_deep"):
+        walk = _later_walk(labelled(members, final, "id", "component"), deep, region_rows, near)
+        found = compact(between(likely(walk.join(seen, ["a", "b"], "left_anti")), final))
+        final, seen = settled(final, found), seen.unionByName(found.select("a", "b"))
     joined = labelled(member.select("id", "rep"), final, "rep", "component").select("id", "component")
     out = features.select("id", "n").join(joined, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

@@ -512,9 +512,10 @@ def test_near_dedup_awkward(spark, awkward):
     assert near_dedup(awkward.limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("block", [1 << 15, 20, 1])
+def test_components(spark, block):
     pairs = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 300), (7, 7)] + [(500, 500 + i) for i in range(1, 50)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "x long, y long"), "x", "y").collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "x long, y long"), "x", "y", block=block).collect()}
     assert {got[i] for i in range(1, 41)} == {1} and got[300] == 100 and got[549] == 500 and len(got) == 40 + 3 + 50
 
 
