@@ -100,7 +100,7 @@ def _features(width: int, trees: int, depth: int):
 
 
 def _members(forest: DataFrame) -> DataFrame:
-    """Rows of `forest` (id, key, deep, other_deep) whose region has more than one, with its size."""
+    """Rows of `forest` (id, n, key, deep, other_deep) whose region has more than one, with its size."""
     return forest.withColumn("rows", F.count("*").over(Window.partitionBy("key"))).where("rows > 1")
 
 
@@ -114,33 +114,36 @@ def _parts(region_rows: int, deep: str):
     )
 
 
-def _pairs(rows: DataFrame, others: list) -> DataFrame:
-    wide = rows.select("id", *[o.alias(f"other{i}") for i, o in enumerate(others)])
+def _pairs(rows: DataFrame, others: list, percent: int) -> DataFrame:
+    """Candidates (a, b, ca, cb) of each row, `me`, with `others`: (id, component, n) each, n allowing a link."""
+    wide = rows.select("me", *[o.alias(f"other{i}") for i, o in enumerate(others)])
     each = F.explode(F.array_distinct(F.array(*[f"other{i}" for i in range(len(others))]))).alias("other")
-    return wide.select("id", each).where("other <> id").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    apart = wide.select("me", each).where("other.id <> me.id").where(100 * F.least("me.n", "other.n") >= percent * F.greatest("me.n", "other.n"))
+    ends = apart.select(F.sort_array(F.array("me", "other")).alias("p"))
+    return ends.select(*[F.col(f"p.{field}")[i].alias(f"{name}{x}") for field, name in (("id", ""), ("component", "c")) for i, x in enumerate("ab")]).distinct()
 
 
-def _first_walk(members: DataFrame, region_rows: int) -> DataFrame:
+def _first_walk(members: DataFrame, region_rows: int, percent: int) -> DataFrame:
     """Candidates (a, b): each row with the one before it, whose common prefix is the longest."""
-    rows = members.withColumn("part", _parts(region_rows, "deep"))
-    before = F.lag("id").over(Window.partitionBy("key", "part").orderBy("deep", "id"))
-    return _pairs(rows, [before]).distinct()
+    rows = members.withColumn("part", _parts(region_rows, "deep")).withColumn("me", F.struct("id", F.col("id").alias("component"), "n"))
+    before = F.lag("me").over(Window.partitionBy("key", "part").orderBy("deep", "id"))
+    return _pairs(rows, [before], percent).select("a", "b")
 
 
-def _later_walk(members: DataFrame, deep: str, region_rows: int, near: int) -> DataFrame:
-    """Candidates (a, b) of different components in regions that hold several, in the order of `deep`."""
+def _later_walk(members: DataFrame, deep: str, region_rows: int, near: int, percent: int) -> DataFrame:
+    """Candidates (a, b) of different components (ca, cb) in regions that hold several, in the order of `deep`."""
     mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rows = members.join(mixed, "key", "left_semi").withColumn("part", _parts(region_rows, deep))
+    rows = members.join(mixed, "key", "left_semi").withColumn("part", _parts(region_rows, deep)).withColumn("me", F.struct("id", "component", "n"))
     order, back = (Window.partitionBy("key", "part").orderBy(*o) for o in ((deep, "id"), (F.desc(deep), F.desc("id"))))
     # The nearest row on either side of another component: the end of the run before, the start of the run after.
-    rows = rows.withColumns({f"turn{i}": F.when(F.lag("component").over(w) != F.col("component"), F.lag("id").over(w)) for i, w in enumerate((order, back))})
+    rows = rows.withColumns({f"turn{i}": F.when(F.lag("component").over(w) != F.col("component"), F.lag("me").over(w)) for i, w in enumerate((order, back))})
     others = [F.last(f"turn{i}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for i, w in enumerate((order, back))]
-    others += [F.when(F.lag("component", k).over(order) != F.col("component"), F.lag("id", k).over(order)) for k in range(1, near + 1)]
+    others += [F.when(F.lag("component", k).over(order) != F.col("component"), F.lag("me", k).over(order)) for k in range(1, near + 1)]
     # The smallest id of the region and of each longer prefix, where it is of another component.
     prefixes = [["key"], *[["key", "part", F.shiftrightunsigned(deep, bits)] for bits in (48, 32, 0)]]
-    heads = [F.min(F.struct("id", "component")).over(Window.partitionBy(*p)) for p in prefixes]
-    others += [F.when(h["component"] != F.col("component"), h["id"]) for h in heads]
-    return _pairs(rows, others).distinct()
+    heads = [F.min("me").over(Window.partitionBy(*p)) for p in prefixes]
+    others += [F.when(h["component"] != F.col("component"), h) for h in heads]
+    return _pairs(rows, others, percent)
 
 
 def _agreement(x, y, values: int):
@@ -202,15 +205,16 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     reps = whole.join(classes, same).where("id = rep").groupBy("id", *same).agg(F.min("text_key").alias("text_key"), F.first("keys").alias("keys"), F.first("deep").alias("deep"), F.first("sketch").alias("sketch"))
     reps = checkpointed(reps.drop("mark", "mark2"))
     turned = F.concat(F.slice("deep", trees // 2 + 1, trees), F.slice("deep", 1, trees // 2))
-    forest = reps.select("id", F.explode(F.arrays_zip("keys", "deep", turned.alias("turned"))).alias("t")).select("id", F.col("t.keys").alias("key"), F.col("t.deep").alias("deep"), F.col("t.turned").alias("other_deep"))
+    forest = reps.select("id", "n", F.explode(F.arrays_zip("keys", "deep", turned.alias("turned"))).alias("t")).select("id", "n", F.col("t.keys").alias("key"), F.col("t.deep").alias("deep"), F.col("t.turned").alias("other_deep"))
     members = checkpointed(_members(forest))
     sketches = reps.select("id", "sketch", "n")
 
     def likely(edges: DataFrame) -> DataFrame:
-        """(a, b, agreement) of candidates whose sizes and sketches allow a link."""
+        """`edges` whose sizes and sketches allow a link, with their agreement."""
         sides = [sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}")) for x in "ab"]
         both = edges.join(sides[0], "a").join(sides[1], "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        return both.select("a", "b", _agreement(F.col("sa"), F.col("sb"), trees * depth).alias("agreement")).where(F.col("agreement") >= loose).groupBy("a", "b").agg(F.max("agreement").alias("agreement"))
+        scored = both.select(*edges.columns, _agreement(F.col("sa"), F.col("sb"), trees * depth).alias("agreement"))
+        return scored.where(F.col("agreement") >= loose).groupBy(*edges.columns).agg(F.max("agreement").alias("agreement"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those of `pairs` (a, b, ca, cb) whose texts link."""
@@ -239,7 +243,7 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         rest = pairs.join(best.select("a", "b"), ["a", "b"], "left_anti")
         return merged(labels, confirmed(compact(between(rest, labels))))
 
-    first = compact(likely(_first_walk(members, region_rows)))
+    first = compact(likely(_first_walk(members, region_rows, percent)))
     touched = compact(first.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     wanted = reps.join(touched, "id", "left_semi").select("id", "text_key")
     texts = checkpointed(source.join(wanted, ["id", "text_key"], "left_semi").groupBy("id", "text_key").agg(F.first("body").alias("body")).select("id", "body"))
@@ -247,8 +251,8 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     final, seen = settled(tie, compact(between(first, tie))), first.select("a", "b")
     members = compact(members.join(touched, "id", "left_semi"))
     for deep in ("deep", "other_deep"):
-        walk = _later_walk(labelled(members, final, "id", "component"), deep, region_rows, near)
-        found = compact(between(likely(walk.join(seen, ["a", "b"], "left_anti")), final))
+        walk = _later_walk(labelled(members, final, "id", "component"), deep, region_rows, near, percent)
+        found = compact(likely(walk.join(seen, ["a", "b"], "left_anti")))
         final, seen = settled(final, found), seen.unionByName(found.select("a", "b"))
     joined = labelled(member.select("id", "rep"), final, "rep", "component").select("id", "component")
     out = features.select("id", "n").join(joined, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
