@@ -9,7 +9,9 @@
    longest).  Regions of more than `region_rows` rows are
    ordered in parts, by one more value at a time.
 3. Candidates whose signatures agree on a share of `loose` at least are compared
-   on their full sets, each row first with its best one.  The links label
+   on their full sets, each row first with its best one.  Not compared are those whose
+   sets differ in more shingles than a link allows: the parity of the number of
+   shingles in each of 512 hash buckets differs no more often than the sets do.  The links label
    components, and only candidates of two components are compared after that.
    Then regions with several components are walked again, once in their own order and,
    with the components known by then, once in that of another tree's values: a row is a
@@ -41,6 +43,7 @@ from .components import connected_components
 from .wordhash import BASE_WORDS, hash_words, mix, rolling, runs
 
 RUN_BYTES = 1 << 20
+PARITY_BITS = 512
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -69,6 +72,14 @@ def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
     return out
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set, whether the number of its elements is odd in each of PARITY_BITS hash buckets, as packed bits."""
+    out = np.zeros((len(sets), PARITY_BITS), np.uint8)
+    for i, s in enumerate(sets):
+        out[i] = np.bincount((mix(s, 9) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(out, axis=1)
+
+
 def _features(width: int, trees: int, depth: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -94,7 +105,7 @@ def _features(width: int, trees: int, depth: int):
                         deep[:, t] = place.astype(np.int64)
                 small = (sig & np.uint32(15)).astype(np.uint8)
                 packed = (small[:, ::2] << np.uint8(4)) | small[:, 1::2]
-                yield pd.DataFrame({"id": rows["id"].iloc[a:b].to_numpy(), "text_key": rows["text_key"].iloc[a:b].to_numpy(), "n": [len(s) for s in sets], "mark": marks[:, 0], "mark2": marks[:, 1], "keys": list(keys), "deep": list(deep), "sketch": [x.tobytes() for x in packed]})
+                yield pd.DataFrame({"id": rows["id"].iloc[a:b].to_numpy(), "text_key": rows["text_key"].iloc[a:b].to_numpy(), "n": [len(s) for s in sets], "mark": marks[:, 0], "mark2": marks[:, 1], "keys": list(keys), "deep": list(deep), "sketch": [x.tobytes() for x in packed], "parity": [x.tobytes() for x in parities(sets)]})
 
     return run
 
@@ -161,6 +172,19 @@ def _agreement(x, y, values: int):
     return share(x, y)
 
 
+def _differences(x, y):
+    """Buckets whose parities differ: no more than the sets differ in elements."""
+
+    @F.pandas_udf("long")
+    def count(a: pd.Series, b: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype="int64")
+        p, q = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
+        return pd.Series(np.bitwise_count(p ^ q).sum(1, dtype=np.int64))
+
+    return count(x, y)
+
+
 def _linked(width: int, percent: int):
     """Whether 100 * intersection >= percent * union for the shingle sets of two texts."""
 
@@ -195,26 +219,29 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     one.  Other columns, whatever their names, play no part.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).withColumn("text_key", F.xxhash64("body"))
-    features = checkpointed(source.mapInPandas(_features(width, trees, depth), "id long, text_key long, n long, mark long, mark2 long, keys array<long>, deep array<long>, sketch binary"))
+    features = checkpointed(source.mapInPandas(_features(width, trees, depth), "id long, text_key long, n long, mark long, mark2 long, keys array<long>, deep array<long>, sketch binary, parity binary"))
     same = ["n", "mark", "mark2"]
     whole = features.where("n > 0 and id is not null")
     classes = whole.groupBy(*same).agg(F.min("id").alias("rep"))
     member = whole.select("id", *same).distinct().join(classes, same).groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"), F.collect_set("rep").alias("reps"))
     # An id with several texts belongs to several classes, which it ties together.
     tied = member.where("rep <> last").select(F.col("rep").alias("a"), F.explode("reps").alias("b")).where("a <> b")
-    reps = whole.join(classes, same).where("id = rep").groupBy("id", *same).agg(F.min("text_key").alias("text_key"), F.first("keys").alias("keys"), F.first("deep").alias("deep"), F.first("sketch").alias("sketch"))
+    reps = whole.join(classes, same).where("id = rep").groupBy("id", *same).agg(F.min("text_key").alias("text_key"), F.first("keys").alias("keys"), F.first("deep").alias("deep"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity"))
     reps = checkpointed(reps.drop("mark", "mark2"))
     turned = F.concat(F.slice("deep", trees // 2 + 1, trees), F.slice("deep", 1, trees // 2))
     forest = reps.select("id", "n", F.explode(F.arrays_zip("keys", "deep", turned.alias("turned"))).alias("t")).select("id", "n", F.col("t.keys").alias("key"), F.col("t.deep").alias("deep"), F.col("t.turned").alias("other_deep"))
     members = checkpointed(_members(forest))
-    sketches = reps.select("id", "sketch", "n")
+    sketches = reps.select("id", "sketch", "parity", "n")
 
     def likely(edges: DataFrame) -> DataFrame:
-        """`edges` whose sizes and sketches allow a link, with their agreement."""
-        sides = [sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}")) for x in "ab"]
+        """`edges` whose sketches agree, how far, and whether sizes and parities make a link possible."""
+        sides = [sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("parity").alias(f"p{x}"), F.col("n").alias(f"n{x}")) for x in "ab"]
         both = edges.join(sides[0], "a").join(sides[1], "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        scored = both.select(*edges.columns, _agreement(F.col("sa"), F.col("sb"), trees * depth).alias("agreement"))
-        return scored.where(F.col("agreement") >= loose).groupBy(*edges.columns).agg(F.max("agreement").alias("agreement"))
+        # |A - B| + |B - A| is (100 - percent) / (100 + percent) of |A| + |B| at most where sets link.
+        possible = (100 + percent) * _differences(F.col("pa"), F.col("pb")) <= (100 - percent) * (F.col("na") + F.col("nb"))
+        scored = both.select(*edges.columns, _agreement(F.col("sa"), F.col("sb"), trees * depth).alias("agreement"), possible.alias("possible"))
+        # Filtered after the aggregate: before it, the sketches would be compared twice.
+        return scored.groupBy(*edges.columns).agg(F.max("agreement").alias("agreement"), F.max("possible").alias("possible")).where(F.col("agreement") >= loose)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those of `pairs` (a, b, ca, cb) whose texts link."""
@@ -248,12 +275,12 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     wanted = reps.join(touched, "id", "left_semi").select("id", "text_key")
     texts = checkpointed(source.join(wanted, ["id", "text_key"], "left_semi").groupBy("id", "text_key").agg(F.first("body").alias("body")).select("id", "body"))
     tie = compact(connected_components(tied, "a", "b"))
-    final, seen = settled(tie, compact(between(first, tie))), first.select("a", "b")
+    final, seen = settled(tie, compact(between(first.where("possible"), tie))), first.select("a", "b")
     members = compact(members.join(touched, "id", "left_semi"))
     for deep in ("deep", "other_deep"):
         walk = _later_walk(labelled(members, final, "id", "component"), deep, region_rows, near, percent)
         found = compact(likely(walk.join(seen, ["a", "b"], "left_anti")))
-        final, seen = settled(final, found), seen.unionByName(found.select("a", "b"))
+        final, seen = settled(final, found.where("possible")), seen.unionByName(found.select("a", "b"))
     joined = labelled(member.select("id", "rep"), final, "rep", "component").select("id", "component")
     out = features.select("id", "n").join(joined, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

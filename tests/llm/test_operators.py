@@ -15,7 +15,7 @@ from corpusmill.llm.chroma import _values, align, fingerprint
 from corpusmill.llm.components import connected_components
 from corpusmill.llm.language_id import predict_language, train_language_model
 from corpusmill.llm.mixing import mix_sources, targets
-from corpusmill.llm.near_dedup import near_dedup
+from corpusmill.llm.near_dedup import near_dedup, parities
 from corpusmill.llm.pitman_yor import hpy_scores, seated
 from corpusmill.llm.quality_rules import DecisionList, keep_good, learn_from_labels, quality_rules, text_statistics
 from corpusmill.llm.substring_dedup import substring_dedup
@@ -591,3 +591,15 @@ def test_near_dedup_recall_in_dense_groups(spark, seed):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), width=2, region_rows=64).collect()}
     assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
     print("equal", sum(got[i] == want[i] for i in want), "of", len(want), "components", len({v[1] for v in want.values()}))
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    for n in (1, 40, 900, 20000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n * 4 // 5], rng.integers(0, 2**63, n // 3, dtype=np.uint64)]))
+        p, q = parities([a, b])
+        differ = int(np.bitwise_count(p ^ q).sum())
+        assert differ <= len(np.setxor1d(a, b))
+        assert n > 40 or differ >= 0.7 * len(np.setxor1d(a, b))
+    assert not parities([np.zeros(0, np.uint64)]).any()
