@@ -8,19 +8,22 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import bpe_encode
 from .chroma import align
-from .common import checkpointed, table
+from .common import checkpointed, shared_folder, table
 from .language_id import predict_language, train_language_model
 from .mixing import mix_sources
 from .near_dedup import near_dedup
 from .pitman_yor import hpy_scores
+from .prefix_trie import numbered, prefix_trie, with_shared_heads
 from .quality_rules import quality_rules
 from .sql import ORACLE_SQL  # noqa: F401
 from .substring_dedup import substring_dedup
+from .token_files import file_documents, write_token_files
 from .token_transducer import token_counts
 from .toxicity import flag_toxic, predict_severity, split_grades, train_severity, training_rows
+from .vector_codes import codebooks_sha256, vector_codes
 
 #: Vocabulary files of the public tokenizers on this machine; a parameter of the operators.
-TIKTOKEN, JSON = (public_tokenizers.path(n) for n in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json"))
+TIKTOKEN, JSON, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "word_bpe_49k.json"))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,4 +86,21 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
-QUERIES = {q.__name__: q for q in (op1_substring_dedup, op2_pitman_yor, op3_chroma, op4_toxicity, op5_byte_bpe, op6_quality_rules, op7_token_counts, op8_language_id, op9_mixing, op10_near_dedup)}
\ No newline at end of file
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a conv_id belong to no conversation."""
+    turns, lengths = with_shared_heads(numbered(table(spark, sf_dir, "conversations")), group=5, heads=9)
+    return prefix_trie(turns, lengths)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = vector_codes(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), folder, WORDS, end=2)
+    return file_documents(spark, folder)
+
+
+QUERIES = {q.__name__: q for q in (op1_substring_dedup, op2_pitman_yor, op3_chroma, op4_toxicity, op5_byte_bpe, op6_quality_rules, op7_token_counts, op8_language_id, op9_mixing, op10_near_dedup, op11_prefix_trie, op12_vector_codes, op13_token_files)}

@@ -19,4 +19,46 @@ u AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
 reach(node, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.node, u.b FROM reach JOIN u ON reach.seen = u.a),
 c AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
 SELECT c.node AS doc_id, coalesce(n, 0)::bigint AS n_shingles, component AS component_id, component = c.node AS kept FROM c LEFT JOIN n ON n.doc_id = c.node"""
-ORACLE_SQL = {"op1_substring_dedup": OP1, "op10_near_dedup": OP10}
+
+#: CRC-32 of the decimal digits of conv_id, bit by bit.
+CRC = "xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(conv_id::varchar, ''), lambda c: [ascii(c)::bigint, 0, 0, 0, 0, 0, 0, 0]))), lambda s, b: xor(xor(s, b) >> 1, 3988292384 * (xor(s, b) & 1))), 4294967295)"
+
+OP11 = f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY i) AS w FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, w, {CRC} % 9 AS h FROM o),
+c AS MATERIALIZED (SELECT h.conv_id, coalesce(b.w[1:h.h], []) || h.w[h.h + 1:] AS w FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 5),
+m AS MATERIALIZED (SELECT conv_id, d, len(w) = d AS last, sha256(w[1:d]::varchar) AS k, CASE WHEN d > 0 THEN sha256(w[1:d - 1]::varchar) END AS p, CASE WHEN d > 0 THEN strlen(w[d].text) ELSE 0 END AS n_bytes FROM (SELECT conv_id, w, unnest(range(0, len(w) + 1)) AS d FROM c)),
+n AS MATERIALIZED (SELECT d, k, any_value(p) AS p, any_value(n_bytes) AS n_bytes, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CASE WHEN last THEN conv_id::varchar END, ',' ORDER BY conv_id), '') AS ends FROM m GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, p AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+f AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (d, k)),
+s AS (SELECT m.d, m.k, sum((f.n_convs - 1) * f.n_bytes) AS saved, count(*) FILTER (f.n_children = 0) AS leaves FROM m JOIN f ON f.conv_id = m.conv_id AND f.d >= m.d GROUP BY ALL)
+SELECT f.conv_id, f.d::bigint AS depth, q.conv_id AS parent_conv_id, f.n_convs::bigint AS n_convs, f.n_children::bigint AS n_children, s.leaves::bigint AS n_leaves, s.saved::bigint AS saved_tokens, sha256(f.ends) AS ends_sha256 FROM f JOIN s USING (d, k) LEFT JOIN f q ON q.d = f.d - 1 AND q.k = f.p"""
+
+
+def op12(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Lloyd rounds written out one after another."""
+
+    def nearest(books: str) -> str:
+        gap = "list_sum(list_transform(list_zip(p.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint"
+        return f"SELECT vec_id, p.part, min({{'gap': gap, 'entry': entry}}) AS best FROM (SELECT p.vec_id, p.part, b.entry, {gap} AS gap FROM p JOIN {books} b ON b.part = p.part) p GROUP BY ALL"
+
+    steps = [
+        "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) AS x FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS MATERIALIZED (SELECT vec_id, part, x[part * len(x) // {parts} + 1:(part + 1) * len(x) // {parts}] AS x FROM v, range({parts}) r(part))",
+        f"e0 AS (SELECT part, n - 1 AS entry, x AS c FROM (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) AS n FROM p) WHERE n <= {entries})",
+    ]
+    for r in range(rounds):
+        steps += [
+            f"a{r} AS MATERIALIZED ({nearest(f'e{r}')})",
+            f"m{r} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (SELECT part, best.entry AS entry, i, sum(x)::bigint AS s, count(*) AS n FROM (SELECT p.part, best, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM p JOIN a{r} USING (vec_id, part)) GROUP BY ALL) GROUP BY ALL)",
+            f"e{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{r}.c, e{r}.c) AS c FROM e{r} LEFT JOIN m{r} USING (part, entry))",
+        ]
+    steps += [
+        f"a{rounds} AS ({nearest(f'e{rounds}')})",
+        f"d AS (SELECT vec_id, label, string_agg(lower(printf('%02x', best.entry)), '' ORDER BY part) AS code, sum(best.gap)::bigint AS error FROM a{rounds} JOIN v USING (vec_id) GROUP BY ALL)",
+        f"k AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM e{rounds})",
+    ]
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::bigint AS label_error, codebooks_sha256 FROM d, k"
+
+
+ORACLE_SQL = {"op1_substring_dedup": OP1, "op10_near_dedup": OP10, "op11_prefix_trie": OP11, "op12_vector_codes": op12()}
