@@ -1,8 +1,7 @@
-"""Argument skeletons of texts as Column expressions: five optional stages, found by labels, headings or phrases.
+"""Argument skeletons of texts as Column expressions: five optional stages, found by labels, headings and phrases.
 
-A text is marked once by a regular expression and split at its marks; what follows a mark is
-the body of the mark's stage.  Inline labels and heading lines differ in their expression and in the
-length of bodies only.  Stages are an array of five strings in the order of `ORDER`, null where missing.
+A text is marked at labels or heading lines and split at its marks; what follows a mark is
+the body of the mark's stage.  Stages are an array of five strings in the order of `ORDER`, null where missing.
 """
 
 from __future__ import annotations
@@ -16,12 +15,17 @@ from . import text as T
 
 ORDER = ("OBS", "HYP", "PRED", "EVID", "CONC")
 
-# Labels of structured abstracts, section headings and the stages they open; methods open none.
-LABEL = r"(?i)\b(Background|Introduction|Background\s*/?\s*Objectives?|Objectives?|Aims?|Design|Setting|Participants|Methods?|Methodology|Measurements?|Results?|Findings?|Main findings?|Outcomes?|Conclusions?|Discussion|Interpretation)\s*[:.]\s*"
-HEADING = r"(?im)^[ \t]*(?:[0-9]+\.?\s*)?(introduction|background|methods?|materials? and methods?|methodology|experimental (?:section|methods?|procedure|setup)|results?|findings?|results and discussion|discussion|conclusions?|discussion and conclusions?|implications?|summary|synthesis)[ \t]*$"
-OBSERVED = "background introduction objective objectives aim aims setting participants"
-EVIDENCE = "result results finding findings outcome outcomes main"
-CONCLUDED = "conclusion conclusions discussion interpretation implication implications summary synthesis"
+# Labels of structured abstracts, and the stages that some of them open.
+LABEL = r"(?i)(Background|Introduction|Background\s*/?\s*Objectives?|Objective[s]?|Aim[s]?|Design|Setting|Participants|Methods?|Methodology|Measurements?|Results?|Findings?|Main findings?|Outcomes?|Conclusions?|Discussion|Interpretation)\s*[:.]\s*"
+LABELLED = {
+    "OBS": ("background", "background/objectives", "introduction", "objective", "objectives", "aim", "aims", "setting", "participants"),
+    "EVID": ("results", "findings", "main findings", "outcomes"),
+    "CONC": ("conclusions", "conclusion", "discussion", "interpretation"),
+}
+
+# Heading lines, and the beginnings of those that open a stage.
+HEADING = r"(?i)^(?:introduction|background|introducit|[oó]n|methods?|material(?:s)? and methods?|methodology|experimental (?:section|methods?|procedure|setup)|results?|findings?|results and discussion|discussion|conclusions?|discussion and conclusions?|implications?|summary|synthesis|[0-9]+\.?\s*(?:introduction|background|methods?|results?|discussion|conclusion))$"
+HEADED = {"OBS": ("intro", "backg"), "EVID": ("result", "finding"), "CONC": ("discussion", "conclu", "summary", "implic")}
 
 # Phrases that announce a stage, in lower-cased sentences.
 PHRASES = {
@@ -35,27 +39,51 @@ PHRASES = {
 OPEN, CLOSE = "\u0001", "\u0002"
 
 
-def stage_of(label: Column) -> Column:
-    """The stage that a label or heading opens, by its first word, or null."""
-    first = F.regexp_extract(F.lower(label), "^([a-z]+)", 1)
-    return F.when(first.isin(*OBSERVED.split()), "OBS").when(first.isin(*EVIDENCE.split()), "EVID").when(first.isin(*CONCLUDED.split()), "CONC")
+def _first_bodies(found: Column) -> Column:
+    """The first body of each stage in an array of (stage, body)."""
 
+    def first(stage: str) -> Column:
+        return F.get(F.filter(found, lambda g: g["stage"] == stage), 0)["body"]
 
-def marked_bodies(text: Column, pattern: str, least: int, most: int) -> Column:
-    """Stages from marks: of each the first body of `least` characters, cut at `most`.
+    return F.array(*map(first, ORDER))
 
-    `text` should be a column of its own; a mark ends the body before it, whatever its own stage."""
-    clean = F.translate(F.coalesce(text, F.lit("")), OPEN + CLOSE, "  ")
-    pieces = F.split(F.regexp_replace(clean, pattern, f"{OPEN}$1{CLOSE}"), OPEN)
+
+def _pieces(marked: Column) -> Column:
+    """What stands behind each mark, as (mark, body, place, last)."""
+    pieces = F.split(marked, OPEN)
     pieces = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
-    found = F.transform(pieces, lambda p: F.struct(stage_of(F.substring_index(p, CLOSE, 1)).alias("stage"), F.substring(T.normal_space(F.substring_index(p, CLOSE, -1)), 1, most).alias("body")))
-    good = F.filter(found, lambda f: f["stage"].isNotNull() & (F.length(f["body"]) >= least))
+    return F.transform(pieces, lambda p: F.struct(F.substring_index(p, CLOSE, 1).alias("mark"), F.substring_index(p, CLOSE, -1).alias("body")))
 
-    def first(stage: str) -> Column:
-        return F.get(F.filter(good, lambda g: g["stage"] == stage), 0)["body"]
 
-    stages = F.array(*map(first, ORDER))
-    return F.when(F.size(pieces) >= 2, stages).otherwise(F.array(*[F.lit(None).cast("string")] * len(ORDER)))
+def _unmarked(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), OPEN + CLOSE, "  ")
+
+
+def labelled(text: Column, least: int = 20, most: int = 900) -> Column:
+    """Stages from inline labels, two at least: of each the first body of `least` characters (the last label's may be shorter), cut at `most`.
+
+    A label is one wherever it stands, if a colon or stop follows; methods and unknown labels only end the body before."""
+    pieces = _pieces(F.regexp_replace(T.normal_space(_unmarked(text)), LABEL, f"{OPEN}$1{CLOSE}"))
+
+    def stage(mark: Column) -> Column:
+        return reduce(lambda c, s: c.when(F.lower(mark).isin(*LABELLED[s]), s), list(LABELLED)[1:], F.when(F.lower(mark).isin(*LABELLED["OBS"]), "OBS"))
+
+    found = F.transform(pieces, lambda p, i: F.struct(stage(p["mark"]).alias("stage"), F.substring(F.regexp_replace(p["body"], "^[ :]+|[ :]+$", ""), 1, most).alias("body"), (i + 1 == F.size(pieces)).alias("last")))
+    good = F.filter(found, lambda f: (F.length(f["body"]) >= least) | f["last"])
+    return F.when(F.size(pieces) >= 2, _first_bodies(good)).otherwise(F.array(*[F.lit(None).cast("string")] * len(ORDER)))
+
+
+def headed(text: Column, least: int = 121, most: int = 1500) -> Column:
+    """Stages from heading lines: of each the first body of `least` characters, its lines joined by spaces and cut at `most`."""
+    lines = F.transform(F.split(_unmarked(text), "\n"), lambda x: F.regexp_replace(x, "^\\s+|\\s+$", ""))
+
+    def stage(line: Column) -> Column:
+        starts = {s: reduce(lambda c, b: c | line.startswith(b), beginnings, F.lit(False)) for s, beginnings in HEADED.items()}
+        return reduce(lambda c, s: c.when(starts[s], s), list(starts)[1:], F.when(starts["OBS"], "OBS")).otherwise("")
+
+    marked = F.transform(lines, lambda x: F.when((F.length(x) < 90) & x.rlike(HEADING), F.concat(F.lit(OPEN), stage(F.lower(x)), F.lit(CLOSE))).otherwise(x))
+    found = F.transform(_pieces(F.array_join(F.filter(marked, lambda x: x != ""), " ")), lambda p: F.struct(p["mark"].alias("stage"), F.substring(F.trim(p["body"]), 1, most).alias("body")))
+    return _first_bodies(F.filter(found, lambda f: F.length(f["body"]) >= least))
 
 
 def sentences(text: Column, limit: int | None = None) -> Column:
@@ -65,15 +93,18 @@ def sentences(text: Column, limit: int | None = None) -> Column:
     return F.filter(F.split(flat, "(?<=[.!?])\\s+(?=[A-Z]|[0-9]|[{\\\\\\[])"), lambda s: s != "")
 
 
-def announced(parts: Column, least: int = 45, most: int = 400) -> Column:
-    """Stages from the first longer sentence with a phrase: evidence and conclusion after the first third, the others within it."""
-    third = F.greatest(F.ceil(F.size(parts) / 3), F.lit(1))
+def announced(parts: Column, least: int = 46, most: int = 400) -> Column:
+    """Stages from the first sentence of `least` characters with a phrase, cut at `most`.
+
+    Observations and hypotheses are looked for in the first third of the sentences and the one behind it, evidence and
+    conclusions from the end of the first third on."""
+    third = F.greatest(F.lit(1), F.floor(F.size(parts) / 3))
 
     def first(stage: str) -> Column:
         if stage not in PHRASES:
             return F.lit(None).cast("string")
         late = stage in ("EVID", "CONC")
-        hit = F.filter(parts, lambda s, i: ((i >= third) if late else (i < third)) & (F.length(s) > least) & F.lower(s).rlike(PHRASES[stage]))
+        hit = F.filter(parts, lambda s, i: ((i >= third) if late else (i <= third)) & (F.length(s) >= least) & F.lower(s).rlike(PHRASES[stage]))
         return F.substring(F.get(hit, 0), 1, most)
 
     return F.array(*[first(s) for s in ORDER])
@@ -82,20 +113,23 @@ def announced(parts: Column, least: int = 45, most: int = 400) -> Column:
 def skeletons(docs: DataFrame, text_col: str = "text", least: int = 3) -> DataFrame:
     """Add strategy, stages (how many) and skeleton ([STAGE] body lines, or null), from the whole text.
 
-    The first strategy with `least` stages counts (labels, headings, phrases), else the one with most, else none.
-    A missing observation is the first sentence over 40 characters of the first four, cut at 200.
+    Stages come from labels; if these are fewer than `least`, headings replace and add stages, and if there still are
+    fewer, phrases add what is missing.  The strategy is "headings" if two stages or more came from them, else "labels" if any did,
+    else "phrases" if any did, else "none".  A missing observation is the first sentence over 40 characters of the first
+    four, cut at 200.  LaTeX should be stripped before.
     """
     text = F.col(text_col)
-    found = {"labels": marked_bodies(T.normal_space(text), LABEL, 20, 900), "headings": marked_bodies(text, HEADING, 121, 1500), "phrases": announced(F.col("__parts"))}
-    rows = docs.withColumn("__parts", sentences(F.coalesce(text, F.lit("")))).withColumns({f"__{n}": e for n, e in found.items()})
-    count = {n: F.size(F.array_compact(F.col(f"__{n}"))) for n in found}
-    most = F.greatest(*count.values())
-    enough = reduce(lambda c, n: c.when(count[n] >= least, n), list(found)[1:], F.when(count["labels"] >= least, "labels"))
-    name = reduce(lambda c, n: c.when(count[n] == most, n), found, enough.when(most == 0, "none"))
-    rows = rows.withColumn("strategy", name)
-    chosen = reduce(lambda c, n: c.when(F.col("strategy") == n, F.col(f"__{n}")), found, F.when(F.col("strategy") == "none", F.array(*[F.lit(None).cast("string")] * len(ORDER))))
+    rows = docs.withColumn("__parts", sentences(F.coalesce(text, F.lit(""))))
+    rows = rows.withColumns({"__labels": labelled(text), "__headings": headed(text), "__phrases": announced(F.col("__parts"))})
+
+    def count(c: str) -> Column:
+        return F.size(F.array_compact(F.col(c)))
+
+    rows = rows.withColumn("__two", F.when(count("__labels") < least, F.zip_with("__headings", "__labels", lambda h, s: F.coalesce(h, s))).otherwise(F.col("__labels")))
+    rows = rows.withColumn("__three", F.when(count("__two") < least, F.zip_with("__two", "__phrases", lambda s, p: F.coalesce(s, p))).otherwise(F.col("__two")))
+    strategy = F.when((count("__labels") < least) & (count("__headings") >= 2), "headings").when(count("__labels") > 0, "labels")
+    strategy = strategy.when((count("__two") < least) & (count("__phrases") > 0), "phrases").otherwise("none")
     opening = F.substring(F.get(F.filter(F.slice("__parts", 1, 4), lambda s: F.length(s) > 40), 0), 1, 200)
-    stages = F.transform(chosen, lambda s, i: F.when((i == 0) & (F.col("strategy") != "none"), F.coalesce(s, opening)).otherwise(s))
-    lines = F.array_compact(F.zip_with(F.array(*[F.lit(f"[{s}] ") for s in ORDER]), stages, lambda a, b: F.concat(a, b)))
-    rows = rows.withColumn("__lines", lines)
-    return rows.select(*docs.columns, "strategy", F.size("__lines").alias("stages"), F.nullif(F.array_join("__lines", "\n"), F.lit("")).alias("skeleton"))
+    rows = rows.withColumn("__stages", F.transform("__three", lambda s, i: F.when(i == 0, F.coalesce(s, opening)).otherwise(s)))
+    lines = F.zip_with(F.array(*[F.lit(s) for s in ORDER]), "__stages", lambda n, s: F.when(s != "", F.concat(F.lit("["), n, F.lit("] "), F.trim(s))))
+    return rows.select(*docs.columns, strategy.alias("strategy"), count("__stages").alias("stages"), F.nullif(F.array_join(F.array_compact(lines), "\n"), F.lit("")).alias("skeleton"))

@@ -220,6 +220,17 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(last >= 0, made).otherwise(F.array().cast("array<string>"))
 
 
+def gram_hashes(words: Column, n: int) -> Column:
+    """Runs of n words as structs (a, b) of two 64-bit hashes, in order; no strings are built."""
+    last = F.size(words) - n
+
+    def hashes(i: Column) -> Column:
+        run = F.slice(words, i, n)
+        return F.struct(F.xxhash64(run).alias("a"), F.xxhash64(F.lit(1), run).alias("b"))
+
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(1), last + 1), hashes)).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
+
+
 def too_repetitive(text: Column, least_words: int = 15, least_share: float = 0.25) -> Column:
     """At least `least_words` words, and fewer different word pairs than `least_share` of all."""
     words = word_list(text)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ngrams, word_list
+from ..functions.text import gram_hashes, word_list
+from ..sources.shared import checkpointed
 
 
 def first_per_key(df: DataFrame, key: Column, order: Sequence[Column], keep_keyless: bool = False) -> DataFrame:
@@ -37,7 +39,7 @@ def shared_ngrams(docs: DataFrame, references: DataFrame, *, doc_id: str, doc_te
     def hashes(rows: DataFrame, text: str, *keep: str) -> DataFrame:
         # The words are a column of their own: inside the lambda they would be split again for each n-gram.
         words = rows.select(*keep, word_list(F.lower(text)).alias("w")).where(F.size("w") >= n)
-        return words.select(*keep, F.explode(F.array_distinct(ngrams(F.col("w"), n))).alias("g")).select(*keep, F.md5("g").alias("h"))
+        return words.select(*keep, F.explode(F.array_distinct(gram_hashes(F.col("w"), n))).alias("h"))
 
     known = hashes(references, ref_text).distinct()
     mine = hashes(docs, doc_text, doc_id)
@@ -66,27 +68,24 @@ def components(edges: DataFrame, nodes: DataFrame, checkpoint, max_rounds: int =
     raise RuntimeError("components did not converge")
 
 
-def greedy_keep(edges: DataFrame, nodes: DataFrame, checkpoint, max_rounds: int = 200) -> DataFrame:
-    """(node, kept) of the sequential rule "keep a node unless a kept smaller neighbour is too similar"; edges are (a, b), a < b.
+def greedy_keep(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, kept) of the sequential rule "keep a node unless a kept neighbour comes before it"; edges are (a, b), a before b.
 
-    In each round the nodes without an undecided smaller neighbour are kept and their larger neighbours are dropped, with all
-    their edges, until no edge is left.  No component or neighbourhood is held by one task.
+    In each round the nodes without an undecided neighbour before them are kept and their neighbours are dropped, with
+    all their edges, until no edge is left.  Every round decides a node, so it ends; if the order is random, a few
+    rounds do (a logarithm), while a chain that is linked in order takes half as many as it has nodes.  No component or
+    neighbourhood is held by one task.
     """
-    left, gone = checkpoint(edges.select("a", "b").distinct()), None
-    for _ in range(max_rounds):
-        if not left.limit(1).count():
-            break
+    left, gone = checkpointed(edges.select("a", "b").distinct()), []
+    while left.limit(1).count():
         first = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        drop = checkpoint(left.join(first, "a", "left_semi").select(F.col("b").alias("node")).distinct())
-        gone = checkpoint(drop if gone is None else gone.unionByName(drop))
+        drop = checkpointed(left.join(first, "a", "left_semi").select(F.col("b").alias("node")).distinct())
+        gone.append(drop)
         for end in ("a", "b"):
             left = left.join(drop.withColumnRenamed("node", end), end, "left_anti")
-        left = checkpoint(left.select("a", "b"))
-    else:
-        raise RuntimeError("the nodes did not settle")
-    if gone is None:
-        return nodes.select("node", F.lit(True).alias("kept"))
-    return nodes.join(gone.withColumn("gone", F.lit(True)), "node", "left").select("node", F.col("gone").isNull().alias("kept"))
+        left = checkpointed(left.select("a", "b"))
+    dropped = reduce(DataFrame.unionByName, gone, nodes.select("node").limit(0)).withColumn("gone", F.lit(True))
+    return nodes.join(dropped, "node", "left").select("node", F.col("gone").isNull().alias("kept"))
 
 
 def cap_degrees(edges: DataFrame, cap: int, checkpoint, max_rounds: int = 100) -> DataFrame:

@@ -8,11 +8,16 @@ and a thousand-fold table needs more tasks, not larger ones.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
+from .dedup import greedy_keep
+
 
 def _dealt(df: DataFrame, blocks: int, others: int, side: str, mine: str, other: str) -> DataFrame:
     """Each row in its own block, once for each block of the other side; every column named for its side."""
@@ -50,11 +55,27 @@ def top_k(left: DataFrame, right: DataFrame, k: int, *, least: float | None = No
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Which edges (u, v) among n nodes make a forest with the same components.
+
+    In each round every component takes one edge to a component with a smaller label, which cannot close a circle; then labels are followed to their ends.
+    """
+    label, kept = np.arange(n), []
+    while len(open_ := np.flatnonzero(label[u] != label[v])):
+        low, high = np.minimum(label[u[open_]], label[v[open_]]), np.maximum(label[u[open_]], label[v[open_]])
+        own, first = np.unique(high, return_index=True)
+        kept.append(open_[first])
+        label[own] = low[first]
+        while (label != label[label]).any():
+            label = label[label]
+    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+
+
 def links(vectors: DataFrame, least: float, *, block_rows: int = 4096, connect: bool = False) -> DataFrame:
     """(a, b, sim), a < b: all pairs of `vectors` (id, vec) with a cosine of `least` or more; no neighbour list is cut.
 
-    With `connect`, each pair of blocks gives only links that join what it had not joined yet, strongest first: at most
-    one fewer than its rows, with the same connected components as all of them.
+    With `connect`, each pair of blocks gives only the links of a forest: at most one fewer than its rows, with the
+    same connected components as all of them.
     """
     blocks = max(1, -(-vectors.count() // block_rows))
     left, right = (_dealt(vectors, blocks, blocks, side, *keys) for side, keys in (("l", "xy"), ("r", "yx")))
@@ -69,25 +90,75 @@ def links(vectors: DataFrame, least: float, *, block_rows: int = 4096, connect:
         i, j = np.nonzero((sims >= least) & ((x[:, None] < y) if p["l_x"].iloc[0] == p["l_y"].iloc[0] else (x[:, None] != y)))
         sim = sims[i, j]
         if connect:
-            parent: dict[int, int] = {}
-
-            def root(k: int) -> int:
-                while parent.setdefault(k, k) != k:
-                    parent[k] = k = parent[parent[k]]
-                return k
-
-            keep = []
-            for k in np.argsort(-sim, kind="stable").tolist():
-                u, v = root(int(x[i[k]])), root(int(y[j[k]]))
-                if u != v:
-                    parent[u] = v
-                    keep.append(k)
+            ids, ends = np.unique(np.concatenate((x[i], y[j])), return_inverse=True)
+            keep = forest(ends[: len(i)], ends[len(i) :], len(ids))
             i, j, sim = i[keep], j[keep], sim[keep]
         return pd.DataFrame({"a": np.minimum(x[i], y[j]), "b": np.maximum(x[i], y[j]), "sim": sim})
 
     return left.groupBy("l_x", "l_y").cogroup(right.groupBy("r_x", "r_y")).applyInPandas(find, "a long, b long, sim double")
 
 
+def _within(vectors: DataFrame, others: DataFrame, least: float, block_rows: int) -> DataFrame:
+    """(node): the ids of `others` with a cosine of `least` or more to any of `vectors`; one row for each and pair of blocks at most."""
+    nl, nr = (max(1, -(-side.count() // block_rows)) for side in (vectors, others))
+    a, b = _dealt(vectors, nl, nr, "l", "x", "y"), _dealt(others, nr, nl, "r", "y", "x")
+
+    def find(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(q):
+            return pd.DataFrame({"node": []}).astype("int64")
+        m, n = (_unit(s) for s in (p["l_vec"], q["r_vec"]))
+        return pd.DataFrame({"node": q["r_id"][((n @ m.T) >= least).any(1)]})
+
+    return a.groupBy("l_x", "l_y").cogroup(b.groupBy("r_x", "r_y")).applyInPandas(find, "node long").distinct()
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    m = np.stack([np.asarray(v, np.float64) for v in vectors])
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def greedy_representatives(vectors: DataFrame, least: float, *, first: int = 2048, block_rows: int = 4096) -> DataFrame:
+    """(node, kept) for `vectors` (id, vec): in a random order (a hash of the id), a vector is kept unless it has a cosine of `least` or more to a kept one before it.
+
+    The order is worked off in batches that double.  What is left of the order after a prefix has few neighbours among itself, even
+    in a dense group, because a kept vector takes its neighbours with it; so a batch's own links are few, and what is
+    dropped otherwise is a row for each vector, not for each pair.  One task decides the first batch of about `first` rows.
+    Rows with a null id or vector are left out.
+    """
+    rows = vectors.where("id is not null and vec is not null").select("id", "vec", F.shiftrightunsigned(F.xxhash64("id"), 1).alias("h"))
+    rows = checkpointed(rows)
+    n = rows.count()
+
+    def solve(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["h", "id"])
+        near, free = _unit(p["vec"]), np.ones(len(p), bool)
+        for i in range(len(p)):
+            if free[i]:
+                free[i + 1 :] &= near[i + 1 :] @ near[i] < least
+        return p.loc[free, ["id"]]
+
+    left, kept, bound = rows, [], 2**63 * first // max(n, 1)
+    while True:
+        now = left.where(F.col("h") < min(bound, 2**63 - 1)) if bound < 2**63 else left
+        if not kept:
+            chosen = now.groupBy().applyInPandas(solve, "id long")
+        else:
+            pairs = links(now.select("id", "vec"), least, block_rows=block_rows)
+            order = now.select("id", F.struct("h", "id").alias("o"))
+            placed = pairs.join(order.toDF("a", "oa"), "a").join(order.toDF("b", "ob"), "b")
+            turned = placed.select(F.when(F.col("oa") < F.col("ob"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("b"))
+            chosen = greedy_keep(turned, now.select(F.col("id").alias("node"))).where("kept").select(F.col("node").alias("id"))
+        new = checkpointed(now.join(chosen, "id", "left_semi").select("id", "vec"))
+        kept.append(new.select(F.col("id").alias("node")))
+        if bound >= 2**63:
+            break
+        later = left.where(F.col("h") >= bound)
+        left = checkpointed(later.join(_within(new, later, least, block_rows).withColumnRenamed("node", "id"), "id", "left_anti"))
+        bound *= 2
+    chosen = reduce(DataFrame.unionByName, kept).withColumn("kept", F.lit(True))
+    return rows.select(F.col("id").alias("node")).join(chosen, "node", "left").select("node", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
 def leakage(docs: DataFrame, holdout: DataFrame, threshold: float, **options) -> DataFrame:
     """(src, dst, sim, leaked): the nearest holdout vector of each document."""
     return top_k(docs, holdout, 1, **options).select("src", "dst", "sim", (F.col("sim") > threshold).alias("leaked"))

@@ -222,8 +222,7 @@ def semantic_dedup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def semantic_dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vectors(spark, sf_dir)
-    return dedup.greedy_keep(similarity.links(v, 0.35), v.select(F.col("id").alias("node")), checkpoint(spark)).select(F.col("node").alias("vec_id"), "kept")
+    return similarity.greedy_representatives(vectors(spark, sf_dir), 0.35).select(F.col("node").alias("vec_id"), "kept")
 
 
 @query()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import skeleton as K
 from ..functions import structure as S
 from ..functions import text as T
 from ..operators import select, tokens
@@ -82,7 +83,29 @@ def stage_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *[F.trim(F.element_at(stages, n)).alias(n.lower()) for n in ("OBS", "EVID", "CONC")])
 
 
-@query()
+def _skeleton_sql() -> str:
+    """Skeletons by string lists: marks are put in, split at, and looked up by stage."""
+    none = "[NULL, NULL, NULL, NULL, NULL]::varchar[]"
+    words = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    label_stage = " ".join(f"WHEN lower(string_split(p, chr(2))[1]) IN ({words(v)}) THEN '{k}'" for k, v in K.LABELLED.items())
+    head_stage = " ".join(f"WHEN {' OR '.join(f"starts_with(lower(x), '{b}')" for b in v)} THEN '{k}'" for k, v in K.HEADED.items())
+    pick = lambda xs: "[" + ", ".join(f"list_filter({xs}, lambda f: f.stage = '{s}')[1].body" for s in K.ORDER) + "]"
+    phrase = lambda s: f"list_filter(parts, lambda x, i: i - 1 {'>=' if s in ('EVID', 'CONC') else '<='} greatest(1, len(parts) // 3) AND length(x) > 45 AND regexp_matches(lower(x), '{K.PHRASES[s]}'))[1][:400]" if s in K.PHRASES else "NULL"
+    some = lambda c: f"len(list_filter({c}, lambda s: s IS NOT NULL))"
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS flat FROM documents),
+p AS (SELECT doc_id, string_split(regexp_replace(flat, '{K.LABEL}', chr(1) || '\\1' || chr(2), 'g'), chr(1))[2:] AS labels,
+string_split(array_to_string(list_filter(list_transform(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')), lambda x: CASE WHEN length(x) < 90 AND regexp_matches(x, '{K.HEADING}') THEN chr(1) || (CASE {head_stage} ELSE '' END) || chr(2) ELSE x END), lambda x: x <> ''), ' '), chr(1))[2:] AS heads,
+list_filter(string_split(regexp_replace(flat, '([.!?]) ([A-Z0-9{{\\\\\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: s <> '') AS parts FROM t),
+f AS (SELECT doc_id, parts, list_filter(list_transform(labels, lambda p, i: {{'stage': CASE {label_stage} END, 'body': trim(string_split(p, chr(2))[2], ' :')[:900], 'last': i = len(labels)}}), lambda f: length(f.body) >= 20 OR f.last) AS l, len(labels) AS n,
+list_filter(list_transform(heads, lambda p: {{'stage': string_split(p, chr(2))[1], 'body': trim(string_split(p, chr(2))[2], ' ')[:1500]}}), lambda f: length(f.body) > 120) AS h FROM p),
+s AS (SELECT doc_id, parts, CASE WHEN n >= 2 THEN {pick("l")} ELSE {none} END AS a, {pick("h")} AS b, [{", ".join(map(phrase, K.ORDER))}]::varchar[] AS c FROM f),
+m AS (SELECT *, CASE WHEN {some("a")} < 3 THEN list_transform(a, lambda x, i: coalesce(b[i], x)) ELSE a END AS two FROM s),
+r AS (SELECT *, list_transform(CASE WHEN {some("two")} < 3 THEN list_transform(two, lambda x, i: coalesce(x, c[i])) ELSE two END, lambda x, i: CASE WHEN i = 1 THEN coalesce(x, list_filter(parts[:4], lambda s: length(s) > 40)[1][:200]) ELSE x END) AS st FROM m)
+SELECT doc_id, CASE WHEN {some("a")} < 3 AND {some("b")} >= 2 THEN 'headings' WHEN {some("a")} > 0 THEN 'labels' WHEN {some("two")} < 3 AND {some("c")} > 0 THEN 'phrases' ELSE 'none' END AS strategy, {some("st")}::int AS stages,
+nullif(array_to_string(list_filter(list_transform(st, lambda x, i: CASE WHEN x <> '' THEN '[' || [{words(K.ORDER)}][i] || '] ' || trim(x, ' ') END), lambda x: x IS NOT NULL), chr(10)), '') AS skeleton FROM r"""
+
+
+@query(_skeleton_sql())
 def skeleton_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.skeletons(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "strategy", "stages", "skeleton")
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from corpusmill.functions import labels as L
 from corpusmill.functions import stats
+from corpusmill.functions import skeleton as K
 from corpusmill.functions import structure as S
 from corpusmill.functions import text as T
 from corpusmill.operators import dedup, select, similarity, tokens
@@ -109,17 +110,57 @@ def test_tagged_stages(spark):
     assert one(spark, S.serialise_stages(F.create_map(F.lit("CONC"), F.lit("c"), F.lit("OBS"), F.col("t"))), t="o") == "[OBS] o\n[CONC] c"
 
 
-def test_skeleton_strategies(spark):
+def plain_skeleton(text):
+    """Stages of a text by loops: labels, then headings over them, then phrases where they lack."""
+    import re
+
+    flat = " ".join((text or "").split())
+    parts = [p for p in re.split(r"(?<=[.!?])\s+(?=[A-Z]|[0-9]|[{\\[])", flat) if p]
+    stages, strategy = {}, "none"
+    marks = list(re.finditer(K.LABEL, flat))
+    for i, m in enumerate(marks if len(marks) > 1 else []):
+        body = flat[m.end() : marks[i + 1].start() if i + 1 < len(marks) else None].strip(" :")[:900]
+        stage = next((s for s, names in K.LABELLED.items() if m[1].lower() in names), None)
+        if stage and (len(body) >= 20 or i + 1 == len(marks)):
+            stages.setdefault(stage, body)
+            strategy = "labels"
+    if len(stages) < 3:
+        found, now = {}, None
+        for line in map(str.strip, (text or "").split("\n")):
+            if len(line) < 90 and re.search(K.HEADING, line):
+                now = (next((s for s, b in K.HEADED.items() if line.lower().startswith(b)), None), [])
+                found.setdefault(now[0], []).append(now[1])
+            elif line and now:
+                now[1].append(line)
+        bodies = {s: next((b for x in found[s] if len(b := " ".join(x)[:1500]) > 120), None) for s in found if s}
+        bodies = {s: b for s, b in bodies.items() if b}
+        stages |= bodies
+        strategy = "headings" if len(bodies) > 1 else strategy
+    if len(stages) < 3:
+        third = max(1, len(parts) // 3)
+        hits = {s: next((p[:400] for p in (parts[third:] if s in ("EVID", "CONC") else parts[: third + 1]) if len(p) > 45 and re.search(K.PHRASES[s], p.lower())), None) for s in K.PHRASES}
+        strategy = "phrases" if any(hits.values()) and strategy == "none" else strategy
+        stages = {s: h for s, h in hits.items() if h} | stages
+    if "OBS" not in stages and (first := [p for p in parts[:4] if len(p) > 40]):
+        stages["OBS"] = first[0][:200]
+    return strategy, len(stages), "\n".join(f"[{s}] {stages[s].strip()}" for s in K.ORDER if stages.get(s)) or None
+
+
+def test_skeletons(spark):
     labels = "Background: we looked at the long river basin. Methods: none. Results: the fish grew by ten percent. Conclusions: rivers matter to the fish."
-    headings = "Introduction\n" + "words about it " * 12 + "\nResults\nresults were striking in all plots " + "numbers about it " * 12 + "\n3. Discussion\n" + "thoughts about it " * 12
+    headings = "Introduction\n" + "words about it " * 12 + "\nResults\nresults were striking in all plots " + "numbers about it " * 12 + "\nDiscussion\n" + "thoughts about it " * 12 + "\n3. Discussion\nnot read"
     phrases = "In this study we looked at many rivers over time. We expect that rivers will change with the climate. " + "Filler sentence that says very little about anything at all. " * 4 + "We found that rivers did change with the climate. We conclude that rivers follow the climate closely."
     late = "Plain sentence that goes on for quite a while here. " * 200 + "Aim: to see what is found late in a text. Results: it was found all the same. Conclusion: whole texts are read."
-    df = spark.createDataFrame(list(enumerate([labels, headings, phrases, "", None, late])), "i int, text string")
-    got = {r.i: r for r in S.skeletons(df).collect()}
-    assert [got[i].strategy for i in range(6)] == ["labels", "headings", "phrases", "none", "none", "labels"]
-    assert got[0].skeleton == "[OBS] we looked at the long river basin.\n[EVID] the fish grew by ten percent.\n[CONC] rivers matter to the fish."
-    assert [line[:8] for line in got[1].skeleton.split("\n")] == ["[OBS] wo", "[EVID] r", "[CONC] t"] and got[2].stages == 4 and got[3].stages == 0 and got[3].skeleton is None
-    assert got[5].stages == 3
+    merged = "Background: we looked at the long river basin. Results: the fish grew by ten percent.  Taken together we conclude that rivers matter to all of the fish in them."
+    single = "Background: we looked at the long river basin. Result: opens nothing at all here. Outcomes: short"
+    over = labels.replace("Conclusions: ", "") + "\nResults\n" + "replaced by a heading " * 9 + "\nsummary\n" + "and ended by another " * 9
+    texts = [labels, headings, phrases, "", None, late, merged, single, over, headings.upper(), "Methods\n" + "x " * 99, "Aim: \u0001 odd \u0002 marks in a long text. Results. short"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: (r.strategy, r.stages, r.skeleton) for r in S.skeletons(df).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == plain_skeleton((t or "").replace("\u0001", " ").replace("\u0002", " ")), i
+    assert [got[i][0] for i in range(9)] == ["labels", "headings", "phrases", "none", "none", "labels", "labels", "labels", "headings"]
+    assert got[6][1] == 3 and got[7][2].split("\n") == ["[OBS] we looked at the long river basin.", "[EVID] short"]
 
 
 def test_sentences_of_whole_texts(spark):
