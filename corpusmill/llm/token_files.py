@@ -20,6 +20,7 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from .wordhash import runs
 MAGIC = b"TWM1"
 HEAD = struct.Struct("<4sqqq")
 #: Words that a task remembers, words that the library gets at once, and bytes of texts handled together.
-MEMO_WORDS, CALL_WORDS, RUN_BYTES = 1 << 20, 128, 1 << 22
+MEMO_WORDS, CALL_WORDS, RUN_BYTES = 3 << 19, 128, 1 << 22
 
 
 class WordEncoder:
@@ -45,54 +46,69 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tool = Tokenizer.from_file(path)
-        self.tool.no_padding()
-        self.tool.no_truncation()
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tool, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for tool in (self.tool, self.plain):
+            tool.no_padding()
+            tool.no_truncation()
+        # Small ASCII letters are not changed or cut by the vocabulary's rules, so its model alone is asked for them.
+        self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.plain.model._resize_cache(0)
         self.closes = np.zeros(max(self.tool.get_vocab().values()) + 1, bool)
         for token, i in self.tool.get_vocab().items():
             self.closes[i] = token.endswith("</w>")
+        probe = ["abcdefghijklm nopqrstuvwxyz the unlikeliest of words"]
+        if self.encoded(self.plain, probe) != self.encoded(self.tool, probe):
+            raise ValueError("this vocabulary changes or cuts plain words")
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
         self.flat, self.starts = array("I"), array("q", [0])
 
-    def add(self, word: bytes, ids: Iterable[int]) -> None:
-        self.number[word] = len(self.starts) - 1
-        self.flat.extend(ids)
-        self.starts.append(len(self.flat))
-
-    def known(self, word: bytes) -> array:
-        i = self.number[word]
-        return self.flat[self.starts[i] : self.starts[i + 1]]
-
-    def library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
+    def encoded(self, tool, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tool.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: Iterable[bytes]) -> None:
         """Add words that are not known yet.
 
-        ASCII letters are one piece, the same in both cases: many go in one call, each ending at the id that
-        closes a word.  A stop or comma behind them is a piece of its own.  All others go one by one.
+        Letters are one piece; many words go in one call, each ending at the id that closes a word.  ASCII letters
+        are the same in both cases, and the model alone is asked for them.  A stop or comma behind letters is a piece of
+        its own.  All other words go one by one.
         """
-        new = [(w, _letters(w)) for w in words if w not in self.number]
-        plain = [c for c in {c for _, c in new if c} if c not in self.number]
-        calls = [plain[a : a + CALL_WORDS] for a in range(0, len(plain), CALL_WORDS)]
-        for call, ids in zip(calls, self.library([b" ".join(c).decode() for c in calls]), strict=True):
-            ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
-            if len(ends) != len(call):
-                raise ValueError("this vocabulary does not close each word")
-            for word, a, b in zip(call, [0, *ends], ends, strict=False):
-                self.add(word, ids[a:b])
-        tails = {t: self.library([t.decode()])[0] for t in (b".", b",")}
+        number, flat, starts = self.number, self.flat, self.starts
+        new = [(w, _letters(w)) for w in words]
+        cores = [c for c in {c for _, c in new if c} if c not in number]
+        odd: list[bytes] = []
+        for tool, some in ((self.plain, [c for c in cores if c.isascii()]), (self.tool, [c for c in cores if not c.isascii()])):
+            calls = [some[a : a + CALL_WORDS] for a in range(0, len(some), CALL_WORDS)]
+            for call, ids in zip(calls, self.encoded(tool, [b" ".join(c).decode() for c in calls]), strict=True):
+                ends = np.flatnonzero(self.closes[ids]) + 1
+                if len(ends) != len(call):  # small letters that are more than one letter
+                    odd += call
+                    continue
+                number.update(zip(call, range(len(starts) - 1, len(starts) - 1 + len(call)), strict=True))
+                starts.extend((ends + len(flat)).tolist())
+                flat.extend(ids)
+        for word, ids in zip(odd, self.encoded(self.tool, [w.decode() for w in odd]), strict=True):
+            number[word] = len(starts) - 1
+            flat.extend(ids)
+            starts.append(len(flat))
+        tails = {t: array("I", self.encoded(self.tool, [t.decode()])[0]) for t in (b".", b",")}
         for word, core in new:
-            if core and word not in self.number:
-                self.add(word, self.known(core) + array("I", tails.get(word[-1:], ())))
+            if core and word not in number:
+                i = number[core]
+                number[word] = len(starts) - 1
+                flat.extend(flat[starts[i] : starts[i + 1]])
+                if word[-1:] in tails:
+                    flat.extend(tails[word[-1:]])
+                starts.append(len(flat))
         other = [w for w, core in new if not core]
-        for word, ids in zip(other, self.library([w.decode() for w in other]), strict=True):
-            self.add(word, ids)
+        for word, ids in zip(other, self.encoded(self.tool, [w.decode() for w in other]), strict=True):
+            number[word] = len(starts) - 1
+            flat.extend(ids)
+            starts.append(len(flat))
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each closed by `end`, end to end, and the size of each."""
@@ -100,18 +116,22 @@ class WordEncoder:
         every = [w for own in words for w in own]
         if len(self.number) > MEMO_WORDS:
             self.clear()
-        self.learn(set(every))
+        kinds = np.fromiter(map(self.number.get, every, repeat(-1)), np.int64, len(every))
+        missing = np.flatnonzero(kinds < 0).tolist()
+        self.learn({every[i] for i in missing})
+        kinds[missing] = [self.number[every[i]] for i in missing]
         ids, starts = np.append(np.frombuffer(self.flat, np.uint32), np.uint32(end)), np.frombuffer(self.starts, np.int64)
-        kinds = np.fromiter(map(self.number.__getitem__, every), np.int64, len(every))
         stops = np.cumsum([len(own) for own in words])
         out, at = spread(ids, starts, np.append(np.diff(starts), 1), np.insert(kinds, stops, len(starts) - 1))
         return out, np.diff(at[stops + np.arange(1, len(texts) + 1)], prepend=0)
 
 
 def _letters(word: bytes) -> bytes | None:
-    """The word in small letters if it is ASCII letters, with one stop or comma at most behind them."""
+    """The word if it is letters, with one stop or comma at most behind them, which goes; ASCII letters become small ones."""
     core = word[:-1] if word[-1:] in (b".", b",") else word
-    return core.lower() if core.isalpha() else None
+    if core.isalpha():
+        return core.lower()
+    return core if not core.isascii() and core.decode().isalpha() else None
 
 
 @lru_cache(1)
@@ -141,7 +161,7 @@ class ShardFile:
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end: int = 2, shard_ids: int = 1 << 19, partitions: int | None = None) -> None:
-    """Write the ids of all texts in ascending order of ids (null first, equal ids by text), each text closed by `end`.
+    """Write the ids of all texts in ascending order of ids (null first, equal ids by a hash of the text), each text closed by `end`.
 
     `tokenizer` is a file of the tokenizers library whose vocabulary drops white space.  A null text is an empty
     one.  Repeated rows are all written.  A very long text makes a longer shard.  An empty table makes no shards.
@@ -174,8 +194,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, id_col: s
             yield close()
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    dealt = source.repartitionByRange(partitions or shuffle_partitions(docs.sparkSession), F.col("id").asc_nulls_first(), "text")
-    files = dealt.sortWithinPartitions(F.col("id").asc_nulls_first(), "text").mapInArrow(run, "file binary")
+    # The order is sampled on the driver, so it holds a hash and not the text.
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
+    dealt = source.repartitionByRange(partitions or shuffle_partitions(docs.sparkSession), *order)
+    files = dealt.sortWithinPartitions(*order).mapInArrow(run, "file binary")
     # The text sink writes a string's bytes as they are; one record for each file.
     files.select(F.col("file").cast("string")).write.option("maxRecordsPerFile", 1).text(folder)
 
