@@ -34,12 +34,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest id of each group of near copies (five-word shingles, similarity 0.8).
 
-    Of rows that repeat an id the one with the smallest text stays.  Texts without words are copies of nothing,
-    nor are rows with a null id, which all stay.
+    Rows that repeat an id are one document: it links with the copies of any of its texts, and if it stays each of its
+    different texts does, once.  Texts without words are copies of nothing, nor are rows with a null id, which all stay.
+    An empty table stays empty; other columns pass.
     """
     kept = near_dedup(docs, width=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = F.min_by(F.struct(*docs.columns), F.struct("text", "lang", "source")).alias("row")
-    rows = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(one).select("row.*")
+    one = F.min_by(F.struct(*docs.columns), F.struct("lang", "source")).alias("row")
+    rows = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id", F.sha2("text", 256)).agg(one).select("row.*")
     return rows.unionByName(docs.where("doc_id is null"))
 
 
@@ -56,11 +57,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each document as often as the mix has it, three times at most.
 
     Texts without words are never taken.  Rows that agree in id, source and size get equal copies; a null id is an id.
+    Other columns pass, whatever their names; an empty table stays empty.
     """
     mix = mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "copies").distinct()
     size = F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
-    rows = docs.withColumn("__size", size).join(mix, F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("__size") == F.col("m_size")))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("of"), size.alias("size"))
+    taken = rows.join(mix, rows.id.eqNullSafe(mix.m_id) & rows.of.eqNullSafe(mix.m_source) & (rows.size == mix.m_size))
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
