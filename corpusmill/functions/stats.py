@@ -66,6 +66,16 @@ def point_verdict(acc: Column, p: Column, slope: Column, final: Column, *, go: f
     return F.when(~final, "DIAGNOSTIC").when((acc >= hit) & significant, "HIT").when((acc > ref) & (slope > 0) & significant, "EXTEND").when((acc <= go) & ~significant, "FALSIFY").otherwise("NO-GO")
 
 
+def battery_reading(acc: dict[str, Column], p: dict[str, Column], least: float = 0.55, alpha: float = 0.05) -> Column:
+    """What four levels say together: the content (L3), the order of stages (L2), or the topic alone (L0, L1) is told apart, or nothing is."""
+
+    def signal(level: str) -> Column:
+        return F.coalesce((acc[level] > least) & (p[level] < alpha), F.lit(False))
+
+    topic = F.coalesce(acc["L0"] > least, F.lit(False)) | F.coalesce(acc["L1"] > least, F.lit(False))
+    return F.when(signal("L3"), "INFERENTIAL_SIGNAL").when(signal("L2"), "STAGE_GRAMMAR").when(topic, "TOPICAL_SHORTCUT").otherwise("STRONG_FALSIFY")
+
+
 def fitness(logic: Column, number: Column, negation: Column) -> Column:
     """Half the logic accuracy and half the worse of the two probes; a missing probe does not count."""
     return 0.5 * logic + 0.5 * F.least(number, negation)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .order import running_total
+from .tokens import cut_rows
 
 
 def closed(rows: DataFrame, end: int) -> DataFrame:
@@ -22,18 +23,8 @@ def flat_rows(rows: DataFrame, order: Sequence[Column], length: int, parts: int
     Documents cross the borders of rows and of tasks.  A document's offset is a distributed running total; its tokens
     go to the rows they fall in, so that no task has more of the stream than its documents.
     """
-    placed = running_total(rows.select(*rows.columns), order, F.size("ids"), "__at", parts).where(F.size("ids") > 0)
-    first, last = F.floor(F.col("__at") / length), F.floor((F.col("__at") + F.size("ids") - 1) / length)
-
-    def piece(row: Column) -> Column:
-        start = F.greatest(F.lit(0).cast("long"), row * length - F.col("__at"))
-        stop = F.least(F.size("ids").cast("long"), (row + 1) * length - F.col("__at"))
-        return F.struct(row.alias("row"), (F.col("__at") + start).alias("at"), F.slice("ids", (start + 1).cast("int"), (stop - start).cast("int")).alias("ids"))
-
-    # Pieces are cut before rows are made of them, so that a long document is not copied for each.
-    pieces = placed.select(F.explode(F.transform(F.sequence(first, last), piece)).alias("p")).select("p.*")
-    whole = pieces.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("p"))  # `length` tokens at most
-    return whole.select("row", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids")).where(F.size("ids") == length)
+    placed = running_total(rows, order, F.size("ids"), "at", parts)
+    return cut_rows(placed, length).where(F.size("ids") == length)
 
 
 def batches(rows: DataFrame, order: Sequence[Column], batch: int, length: int, parts: int | None = None) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, word_list
-from .select import draw
+from .order import draw, ring
 
 #: Words and what they turn into, fixed values; both directions hold.
 SWAPS = [("increase", "decrease"), ("higher", "lower"), ("positive", "negative"), ("before", "after"), ("more", "less"), ("above", "below"), ("cause", "prevent"), ("warm", "cold"), ("dry", "wet"), ("always", "never")]
@@ -75,24 +75,21 @@ def mutations(rows: DataFrame, text_col: str, pairs=SWAPS) -> DataFrame:
 
 
 def mates(docs: DataFrame, by: list[str], seed: int) -> DataFrame:
-    """(doc_id, mate): another document of the group for each, by neighbouring random ranks."""
-    order = Window.partitionBy(*by).orderBy(draw(F.col("doc_id"), seed))
-    first = F.first("doc_id").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return docs.select("doc_id", F.coalesce(F.lead("doc_id").over(order), first).alias("mate")).where("doc_id <> mate")
+    """(doc_id, mate): another document of the group (of all, if `by` is empty) for each, the next one in a random order."""
+    return ring(docs.select("doc_id", *by), by, [draw(F.col("doc_id"), seed), F.col("doc_id")], "doc_id", "mate").where("doc_id <> mate")
 
 
 def levels(docs: DataFrame, parts: int = 3, seed: int = 1) -> DataFrame:
     """(doc_id, level, ctx, ok, bad) from documents (doc_id, source, text): the words of a text in `parts`; the second follows the first.
 
     The false continuation is that of any document (L0), of one of the same source (L1), or a later part of the same text (L2).
-    Any mate comes from hash shards, so that no window holds the table.
     """
     words = docs.select("doc_id", "source", word_list(F.col("text")).alias("w")).where(F.size("w") >= 4 * parts)
     n = F.floor(F.size("w") / parts).cast("int")
-    cut = words.select("doc_id", "source", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("shard"), *[F.slice("w", (n * i + 1).cast("int"), n).alias(name) for i, name in enumerate(("ctx", "ok", "later"))])
+    cut = words.select("doc_id", "source", *[F.slice("w", (n * i + 1).cast("int"), n).alias(name) for i, name in enumerate(("ctx", "ok", "later"))])
     base, other = cut.select("doc_id", "ctx", "ok", "later"), cut.select(F.col("doc_id").alias("mate"), F.col("ok").alias("bad"))
     out = base.select("doc_id", F.lit("L2").alias("level"), "ctx", "ok", F.col("later").alias("bad"))
-    for level, by in (("L0", ["shard"]), ("L1", ["source"])):
+    for level, by in (("L0", []), ("L1", ["source"])):
         pairs = mates(cut, by, seed).join(other, "mate").select("doc_id", F.lit(level).alias("level"), "bad")
         out = out.unionByName(pairs.join(base.drop("later"), "doc_id").select("doc_id", "level", "ctx", "ok", "bad"))
     return out

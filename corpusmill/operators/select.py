@@ -5,15 +5,13 @@ Every random order is the MD5 of an id and a seed, so that reruns and other engi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def draw(key: Column, seed: int | str) -> Column:
-    """A reproducible random key."""
-    return F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))
+from .order import draw, in_random_order, running_total
 
 
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
@@ -33,33 +31,25 @@ def top_fraction(df: DataFrame, by: Sequence[str], order: Sequence[Column], frac
 
 def mass_fraction(df: DataFrame, by: Sequence[str], order: Sequence[Column], mass: Column, fraction: float) -> DataFrame:
     """Rows in order until their mass reaches the fraction of the group's; the row that crosses is in."""
-    run = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("__m", mass).withColumn("__run", F.sum("__m").over(run)).withColumn("__all", F.sum("__m").over(Window.partitionBy(*by)))
-    return out.where(F.col("__run") - F.col("__m") < F.col("__all") * fraction).drop("__m", "__run", "__all")
+    placed = running_total(df.withColumn("__m", mass), order, F.col("__m"), "__before", by=by).withColumn("__by", F.struct(*by))
+    total = placed.groupBy("__by").agg(F.sum("__m").alias("__all"))
+    return placed.join(total, "__by").where(F.col("__before") < F.col("__all") * fraction).select(*df.columns)
 
 
 def proportional_quota(df: DataFrame, by: str, order: Sequence[Column], total: int, floor: int, ceiling_share: float) -> DataFrame:
-    """About `total` rows, each group in proportion to its size, between `floor` (or the group) and a share of the total."""
+    """Rows of each group in proportion to its size, between `floor` (or the group) and a share of the total; if these are more than `total`, the first `total` in order."""
     sizes = df.groupBy(by).agg(F.count("*").alias("__n"))
     all_ = Window.partitionBy()
     wish = F.floor(F.col("__n") * total / F.sum("__n").over(all_))
     quota = sizes.select(by, F.least("__n", F.least(F.greatest(wish, F.lit(floor)), F.lit(int(total * ceiling_share)))).alias("__quota"))
-    return ranked(df.join(quota, by), [by], order, "__rank").where("__rank <= __quota").drop("__rank", "__quota")
+    return ranked(df.join(quota, by), [by], order, "__rank").where("__rank <= __quota").drop("__rank", "__quota").orderBy(*order).limit(total)
 
 
 def split_exact(df: DataFrame, key: Column, share: float, seed: int) -> DataFrame:
-    """Add `part`: 'train' for exactly floor(n * share) rows, 'valid' for the others.
-
-    The rank is counted within 256 prefix ranges of the random key and shifted by the
-    counts of the ranges before, so that no task orders the whole table.
-    """
-    keyed = df.withColumn("__k", draw(key, seed)).withColumn("__p", F.substring("__k", 1, 2))
-    counts = keyed.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
-    rank = F.row_number().over(Window.partitionBy("__p").orderBy("__k"))
-    out = keyed.join(shift, "__p").withColumn("__rank", rank + F.col("__shift"))
-    return out.withColumn("part", F.when(F.col("__rank") <= F.floor(F.col("__all") * share), "train").otherwise("valid")).drop("__k", "__p", "__rank", "__shift", "__all")
+    """Add `part`: 'train' for exactly floor(n * share) rows, the first in a random order, 'valid' for the others."""
+    n = df.count()
+    placed = in_random_order(df, key, seed, "__place")
+    return placed.select(*df.columns, F.when(F.col("__place") < math.floor(n * share), "train").otherwise("valid").alias("part"))
 
 
 def stratified(df: DataFrame, by: Sequence[str], key: Column, n: int, seed: int) -> DataFrame:

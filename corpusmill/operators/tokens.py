@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import word_list
-from .select import draw
+from .order import in_random_order, running_total
 
 
 def word_lengths(docs: DataFrame) -> DataFrame:
@@ -28,30 +30,34 @@ def windows(rows: DataFrame, size: int, least: int = 4) -> DataFrame:
 
 
 def streams(rows: DataFrame, n: int, seed: int) -> DataFrame:
-    """Deal documents in random order to n streams, round robin; adds stream and rank.
-
-    Ranks are counted within 256 ranges of the random key and shifted, so no task orders all documents.
-    """
-    keyed = rows.withColumn("__k", draw(F.col("doc_id"), seed)).withColumn("__p", F.substring("__k", 1, 2))
-    counts = keyed.groupBy("__p").agg(F.count("*").alias("__n"))
-    shift = counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__shift"))
-    rank = F.row_number().over(Window.partitionBy("__p").orderBy("__k")) + F.col("__shift")
-    out = keyed.join(shift, "__p").withColumn("rank", rank).drop("__k", "__p", "__shift")
-    return out.withColumn("stream", (F.col("rank") - 1) % n)
+    """Deal documents in random order to n streams, round robin; adds stream and rank."""
+    placed = in_random_order(rows, F.col("doc_id"), seed, "rank")
+    return placed.withColumns({"rank": F.col("rank") + 1, "stream": F.col("rank") % n})
 
 
 def packed(rows: DataFrame, n: int, length: int, end: int, seed: int) -> DataFrame:
     """(stream, block, ids): streams cut into blocks of exactly `length`, each document closed by `end`, the last block padded.
 
-    A document's offset is a running sum within its stream; its tokens go to the blocks they fall in, so no stream is held whole.
+    A document's offset is a distributed running total within its stream; its tokens go to the blocks they fall in, so no stream is held whole.
     """
     dealt = streams(rows, n, seed).withColumn("ids", F.concat("ids", F.array(F.lit(end))))
-    run = Window.partitionBy("stream").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("at", F.coalesce(F.sum(F.size("ids")).over(run), F.lit(0)))
-    blocks = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / length), F.floor((F.col("at") + F.size("ids") - 1) / length))))
-    start = F.greatest(F.lit(0), F.col("block") * length - F.col("at"))
-    stop = F.least(F.size("ids"), (F.col("block") + 1) * length - F.col("at"))
-    parts = blocks.select("stream", "block", "rank", F.slice("ids", (start + 1).cast("int"), (stop - start).cast("int")).alias("ids"))
-    whole = parts.groupBy("stream", "block").agg(F.sort_array(F.collect_list(F.struct("rank", "ids"))).alias("p"))
-    ids = F.flatten(F.transform("p", lambda x: x["ids"]))
-    return whole.select("stream", "block", F.concat(ids, F.array_repeat(F.lit(end), F.lit(length) - F.size(ids))).alias("ids"))
+    placed = running_total(dealt, [F.col("rank")], F.size("ids"), "at", by=["stream"])
+    whole = cut_rows(placed, length, ["stream"])
+    return whole.select("stream", F.col("row").alias("block"), F.concat("ids", F.array_repeat(F.lit(end), F.lit(length) - F.size("ids"))).alias("ids"))
+
+
+def cut_rows(placed: DataFrame, length: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by, row, ids) from documents with `ids` and their offset `at`: tokens gathered by row of `length`; the last row may be shorter.
+
+    Pieces are cut before rows are made of them, so that a long document is not copied for each.
+    """
+    first, last = F.floor(F.col("at") / length), F.floor((F.col("at") + F.size("ids") - 1) / length)
+
+    def piece(row: Column) -> Column:
+        start = F.greatest(F.lit(0).cast("long"), row * length - F.col("at"))
+        stop = F.least(F.size("ids").cast("long"), (row + 1) * length - F.col("at"))
+        return F.struct(row.alias("row"), (F.col("at") + start).alias("at"), F.slice("ids", (start + 1).cast("int"), (stop - start).cast("int")).alias("ids"))
+
+    pieces = placed.where(F.size("ids") > 0).select(*by, F.explode(F.transform(F.sequence(first, last), piece)).alias("p")).select(*by, "p.*")
+    whole = pieces.groupBy(*by, "row").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("p"))  # `length` tokens at most
+    return whole.select(*by, "row", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))

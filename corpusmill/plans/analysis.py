@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dedup, select, similarity
+from ..operators import dedup, order, select, similarity
 from ..sources.io import build_report, table
 from .registry import query
 
@@ -123,11 +123,12 @@ def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.split_exact(table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id"), 0.95, 42)
 
 
-@query("""WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source), q AS (SELECT source, least(n, least(greatest(floor(n * 300 / sum(n) OVER ()), 5), 100)) AS quota FROM s)
-SELECT doc_id, d.source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || ':3')) AS r FROM documents) d JOIN q USING (source) WHERE r <= quota""")
+@query("""WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source), q AS (SELECT source, least(n, least(greatest(floor(n * 200 / sum(n) OVER ()), 12), 66)) AS quota FROM s)
+SELECT doc_id, d.source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || ':3')) AS r FROM documents) d JOIN q USING (source) WHERE r <= quota ORDER BY md5(doc_id || ':3') LIMIT 200""")
 def proportional_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hundred documents; the floor of twelve for each source makes more, so the whole is trimmed."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return select.proportional_quota(docs, "source", [select.draw(F.col("doc_id"), 3)], 300, 5, 1 / 3).select("doc_id", "source")
+    return select.proportional_quota(docs, "source", [select.draw(F.col("doc_id"), 3)], 200, 12, 1 / 3).select("doc_id", "source")
 
 
 @query("""WITH p AS (SELECT doc_id, contains(text, chr(10)) AS structured, row_number() OVER (PARTITION BY contains(text, chr(10)) ORDER BY md5(doc_id || ':9')) AS r FROM documents),
@@ -144,12 +145,9 @@ def dual_reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents) WHERE (r - 1) % 25 = 0")
 def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 25th row in id order; ranks come from counts of id ranges, so that no task holds all rows."""
-    docs = table(spark, sf_dir, "documents").select("doc_id").withColumn("bin", F.floor(F.col("doc_id") / 4096))
-    counts = docs.groupBy("bin").agg(F.count("*").alias("n"))
-    shift = counts.select("bin", F.coalesce(F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
-    rank = F.row_number().over(Window.partitionBy("bin").orderBy("doc_id"))
-    return docs.join(shift, "bin").withColumn("r", rank + F.col("shift")).where("(r - 1) % 25 = 0").select("doc_id")
+    """Every 25th row in id order."""
+    placed = order.running_total(table(spark, sf_dir, "documents").select("doc_id"), [F.col("doc_id")], F.lit(1), "place")
+    return placed.where("place % 25 = 0").select("doc_id")
 
 
 @query("""WITH d AS (SELECT doc_id, length(text) // 4 AS t FROM documents), k AS (SELECT floor(20000 / avg(t)) AS k FROM d)
@@ -161,10 +159,13 @@ def token_budget_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.orderBy(select.draw(F.col("doc_id"), 21)).limit(k)
 
 
-@query("""SELECT doc_id, c AS copy FROM documents, range(1, 4) r(c) WHERE lang = 'es' UNION ALL SELECT doc_id, 1 FROM documents WHERE lang <> 'es'""")
+@query("""WITH k AS (SELECT ceil(round(0.3 / 0.7 * count(*) FILTER (lang <> 'es')) / count(*) FILTER (lang = 'es'))::bigint AS k FROM documents)
+SELECT doc_id, unnest(range(1, CASE WHEN lang = 'es' THEN k ELSE 1 END + 1)) AS copy FROM documents, k""")
 def upsample_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many copies of the Spanish documents as give them three tenths of the mix."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    last = F.when(F.col("lang") == "es", 3).otherwise(1).cast("long")
+    n = docs.agg(F.count_if(F.col("lang") != "es").alias("base"), F.count_if(F.col("lang") == "es").alias("extra")).first()
+    last = F.when(F.col("lang") == "es", select.copies_for_share(n.base, n.extra, 0.3)).otherwise(1).cast("long")
     return docs.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), last)).alias("copy"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import text as T
-from ..operators import dedup, select
+from ..operators import dedup, order, select
 from ..sources.io import table
 from .registry import query
 
@@ -98,11 +98,26 @@ def lang_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang", T.language_vote(F.col("text")).alias("vote"))
 
 
-@query("""WITH c AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'CC BY' WHEN 1 THEN 'CC BY-NC' WHEN 2 THEN 'CC0' WHEN 3 THEN 'CC BY-ND' WHEN 4 THEN NULL ELSE 'Other' END AS code FROM pages)
-SELECT CASE WHEN code IS NULL THEN 'unknown' WHEN regexp_matches(lower(code), 'nc|nd') THEN 'train' WHEN regexp_matches(lower(code), 'cc0|cc[- ]?by') THEN 'open' ELSE 'unknown' END AS class, count(*) AS pages FROM c GROUP BY 1""")
+_CODE = "CASE WHEN regexp_matches({0}, '\\b(CC0|CC BY)') THEN regexp_extract({0}, '\\b(CC0|CC BY(?:-(?:NC|ND|SA))*)', 1) WHEN regexp_matches({0}, '\\bMIT License') THEN 'MIT' WHEN contains({0}, 'Apache License') THEN 'Apache-2.0' WHEN regexp_matches({0}, 'GNU General Public License|\\bGPL') THEN 'GPL' WHEN regexp_matches({0}, '(?i)public domain') THEN 'public domain' END"
+_CLASS = "CASE WHEN code IS NULL THEN 'unknown' WHEN regexp_matches(lower(code), 'nc|nd') THEN 'train' WHEN regexp_matches(lower(code), 'cc0|cc[- ]?by|public domain|mit|apache') THEN 'open' ELSE 'unknown' END"
+
+
+@query(f"SELECT source, {_CLASS} AS class, count(*) AS docs FROM (SELECT source, {_CODE.format('text')} AS code FROM documents) GROUP BY 1, 2")
 def license_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = F.element_at(F.array(*[F.lit(c) for c in ("CC BY", "CC BY-NC", "CC0", "CC BY-ND", None, "Other")]), (F.col("page_id") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "pages").groupBy(L.license_class(codes).alias("class")).agg(F.count("*").alias("pages"))
+    """Documents of each source by the class of the licence that their texts name."""
+    return table(spark, sf_dir, "documents").groupBy("source", L.license_class(L.license_code(F.col("text"))).alias("class")).agg(F.count("*").alias("docs"))
+
+
+@query(f"""WITH l AS (SELECT page_id, try_cast(nullif(regexp_extract(url, '/([0-9]+)(?:[?#]|$)', 1), '') AS bigint) AS article, {_CODE.format('html')} AS code FROM pages), p AS (SELECT page_id, code FROM l WHERE code IS NOT NULL),
+a AS (SELECT article, min_by(code, page_id) AS code FROM l WHERE code IS NOT NULL AND article IS NOT NULL GROUP BY article)
+SELECT source, {_CLASS} AS class, count(*) AS docs FROM (SELECT source, CASE WHEN source < 'src15' THEN p.code ELSE a.code END AS code FROM documents d LEFT JOIN p ON p.page_id = d.doc_id LEFT JOIN a ON a.article = d.doc_id) GROUP BY 1, 2""")
+def provenance_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence classes from a table with two keys: some sources look up the page's id, the others the article number in its address."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "/([0-9]+)(?:[?#]|$)", 1).try_cast("long").alias("article"), L.license_code(F.col("html")).alias("code")).where("code is not null")
+    by_page = pages.select(F.col("page_id").alias("doc_id"), F.col("code").alias("c1"))
+    by_article = pages.where("article is not null").groupBy(F.col("article").alias("doc_id")).agg(F.min_by("code", "page_id").alias("c2"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source").join(by_page, "doc_id", "left").join(by_article, "doc_id", "left")
+    return docs.groupBy("source", L.license_class(F.when(F.col("source") < "src15", F.col("c1")).otherwise(F.col("c2"))).alias("class")).agg(F.count("*").alias("docs"))
 
 
 @query("SELECT source, count(*) AS n, sum(length(text) // 4)::bigint AS tokens FROM documents WHERE source IN ('src0', 'src3', 'src7') AND NOT (lang = 'es' OR source LIKE 'src1%') GROUP BY source")
@@ -218,5 +233,8 @@ def repetition_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, source, count(*) OVER (PARTITION BY source) AS in_source, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS rank FROM documents")
 def rank_in_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks and sizes of groups of any size: ranks are distributed running counts, sizes are counted and joined back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("n"))
-    return select.ranked(docs.withColumn("in_source", F.count("*").over(Window.partitionBy("source"))), ["source"], [F.col("n").desc(), F.col("doc_id")]).select("doc_id", "source", "in_source", "rank")
+    placed = order.running_total(docs, [F.col("n").desc(), F.col("doc_id")], F.lit(1), "place", by=["source"])
+    sizes = docs.groupBy(F.col("source").alias("of")).agg(F.count("*").alias("in_source"))
+    return placed.join(sizes, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "in_source", (F.col("place") + 1).cast("int").alias("rank"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import skeleton as K
 from ..functions import structure as S
 from ..functions import text as T
-from ..operators import select, tokens
+from ..operators import pairs, select, tokens
 from ..sources.io import table
 from .registry import query
 
@@ -110,6 +110,15 @@ def skeleton_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.skeletons(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "strategy", "stages", "skeleton")
 
 
+@query(f"""WITH k AS ({_skeleton_sql()}) SELECT lang, strategy, count(*) AS docs, round(avg(CASE WHEN stages >= 2 THEN 1.0 ELSE 0.0 END), 6)::double AS two_or_more, round(avg(CASE WHEN stages >= 3 THEN 1.0 ELSE 0.0 END), 6)::double AS three_or_more,
+count(*) FILTER (stages = 0) AS none, count(*) FILTER (stages = 1) AS one FROM k JOIN documents USING (doc_id) GROUP BY 1, 2""")
+def skeleton_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strategies and coverage of skeletons by language."""
+    rows = S.skeletons(table(spark, sf_dir, "documents").select("lang", "text"))
+    share = lambda n: F.round(F.avg((F.col("stages") >= n).cast("double")), 6)
+    return rows.groupBy("lang", "strategy").agg(F.count("*").alias("docs"), share(2).alias("two_or_more"), share(3).alias("three_or_more"), F.count_if(F.col("stages") == 0).alias("none"), F.count_if(F.col("stages") == 1).alias("one"))
+
+
 @query("""SELECT event_id, json_extract_string(props, '$.page') AS page, try_cast(json_extract_string(props, '$.ref') AS bigint) AS ref, props IS NOT NULL AND json_valid(props) AS ok FROM events""")
 def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
@@ -119,11 +128,8 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH w AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || ':1')) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM documents)
 SELECT a.doc_id, b.doc_id AS mate FROM w a JOIN w b ON a.source = b.source AND b.r = (a.r + 1) % a.n WHERE a.n > 1""")
 def random_mate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Another document of the same source for each, by neighbouring random ranks: one window, no pairs."""
-    order = Window.partitionBy("source").orderBy(select.draw(F.col("doc_id"), 1))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    first = F.first("doc_id").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return docs.select("doc_id", F.coalesce(F.lead("doc_id").over(order), first).alias("mate")).where("doc_id <> mate")
+    """Another document of the same source for each, the next one in a random order."""
+    return pairs.mates(table(spark, sf_dir, "documents"), ["source"], 1)
 
 
 _IDS = "list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), lambda x: length(x)::int)"
@@ -147,6 +153,14 @@ def pack_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.groupBy("stream").agg(F.count("*").alias("docs"), F.sum(F.size("ids") + 1).alias("tokens"), F.min_by("doc_id", "rank").alias("first_doc"))
 
 
+@query(f"""WITH d AS (SELECT doc_id, list_append({_IDS}, -1) AS ids, (row_number() OVER (ORDER BY md5(doc_id || ':8')) - 1) % 8 AS stream, row_number() OVER (ORDER BY md5(doc_id || ':8')) AS r FROM documents),
+t AS (SELECT stream, id, row_number() OVER (PARTITION BY stream ORDER BY r, i) - 1 AS pos FROM (SELECT stream, r, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM d))
+SELECT stream, block, ids || list_transform(range(128 - len(ids)), lambda x: -1) AS ids FROM (SELECT stream, pos // 128 AS block, list(id ORDER BY pos) AS ids FROM t GROUP BY ALL)""")
+def packed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt to eight streams in random order, as blocks of exactly 128 tokens."""
+    return tokens.packed(tokens.word_lengths(table(spark, sf_dir, "documents")), 8, 128, -1, 8)
+
+
 @query()
 def toolcall_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on calls built from events, every third of them damaged."""

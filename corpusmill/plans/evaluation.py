@@ -35,13 +35,6 @@ def binomial_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wins(spark, sf_dir).select("item", F.round(stats.binomial_tail(F.col("k"), F.col("n")), 6).alias("p"))
 
 
-@query()
-def battery_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = wins(spark, sf_dir).withColumn("acc", F.col("k") / F.col("n")).withColumn("p", stats.binomial_tail(F.col("k"), F.col("n")))
-    verdict = stats.point_verdict(F.col("acc"), F.col("p"), F.lit(0.01), F.col("item") % 5 != 0, go=0.45, hit=0.55, ref=0.5)
-    return w.select("item", F.round("acc", 6).alias("acc"), stats.stars(F.col("p")).alias("stars"), verdict.alias("verdict"))
-
-
 @query("""WITH r AS (SELECT o_orderpriority || '-s' || (o_orderkey % 3) AS run, avg(o_totalprice) AS logic, avg(o_totalprice) FILTER (o_orderstatus = 'F') AS number, avg(o_totalprice) FILTER (o_orderstatus = 'O') AS negation, count(*) AS n FROM orders GROUP BY 1),
 f AS (SELECT regexp_replace(run, '-s\\d+$', '') AS model, 0.5 * logic + 0.5 * least(number, negation) AS fitness, n FROM r)
 SELECT model, count(*) AS replicas, round(avg(fitness), 2) AS fitness, round(stddev_pop(fitness), 2) AS sd, max(n) AS n FROM f GROUP BY model""")
@@ -84,20 +77,49 @@ def curriculum_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("step", "s.span", F.round("s.fraction", 6).alias("fraction"))
 
 
-@query("""SELECT source, template, n, round(n / sum(n) OVER (PARTITION BY source), 6)::double AS share, n / sum(n) OVER (PARTITION BY source) > 0.05 AS over_limit FROM (SELECT source, left(text, 12) AS template, count(*) AS n FROM documents GROUP BY 1, 2)""")
+@query("""SELECT source, template, n, round(n / sum(n) OVER (PARTITION BY source), 6)::double AS share, n / sum(n) OVER (PARTITION BY source) > 0.05 AS over_limit FROM (SELECT source, md5(regexp_replace(text, '[0-9]+', '#', 'g')) AS template, count(*) AS n FROM documents GROUP BY 1, 2)""")
 def mould_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of each text opening among the documents of its source, and whether one opening makes up too much."""
-    from pyspark.sql import Window
-
-    n = table(spark, sf_dir, "documents").groupBy("source", F.substring("text", 1, 12).alias("template")).agg(F.count("*").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("source"))
-    return n.select("source", "template", "n", F.round(share, 6).alias("share"), (share > 0.05).alias("over_limit"))
+    """Share of each mould (a text whose numbers are left open) among the documents of its source, and whether one makes up too much."""
+    n = table(spark, sf_dir, "documents").groupBy("source", F.md5(F.regexp_replace("text", "[0-9]+", "#")).alias("template")).agg(F.count("*").alias("n"))
+    total = n.groupBy(F.col("source").alias("of")).agg(F.sum("n").alias("all"))
+    share = F.col("n") / F.col("all")
+    return n.join(total, F.col("source").eqNullSafe(F.col("of"))).select("source", "template", "n", F.round(share, 6).alias("share"), (share > 0.05).alias("over_limit"))
 
 
-@query("SELECT op, round(avg(CASE WHEN abs(expected - CASE op WHEN 'total' THEN a + b WHEN 'ratio' THEN a / b ELSE a - b END) < 1e-6 THEN 1.0 ELSE 0.0 END), 6)::double AS forced, count(*) AS n FROM (SELECT CASE l_orderkey % 3 WHEN 0 THEN 'total' WHEN 1 THEN 'ratio' ELSE 'difference' END AS op, l_extendedprice AS a, l_quantity AS b, CASE l_orderkey % 3 WHEN 0 THEN l_extendedprice + l_quantity WHEN 1 THEN l_extendedprice / l_quantity ELSE l_extendedprice - l_quantity * (1 + l_linenumber // 7) END AS expected FROM lineitem) GROUP BY op")
+@query("""WITH o AS (SELECT l_orderkey, count(*) AS n, max(l_linenumber) AS last, sum(l_extendedprice) AS total FROM lineitem GROUP BY 1),
+r AS (SELECT 'n_chars' AS op, n_chars = length(text) AS forced FROM documents UNION ALL SELECT 'lines', n = last FROM o UNION ALL SELECT 'total', abs(total - o_totalprice) < 0.01 FROM o JOIN orders ON o_orderkey = l_orderkey)
+SELECT op, round(avg(CASE WHEN forced THEN 1.0 ELSE 0.0 END), 6)::double AS forced, count(*) AS n FROM r GROUP BY op""")
 def forcedness_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often an answer follows from the operation and the inputs that go with it."""
-    a, b, k = F.col("l_extendedprice"), F.col("l_quantity"), F.col("l_orderkey") % 3
-    rows = table(spark, sf_dir, "lineitem").select(F.when(k == 0, "total").when(k == 1, "ratio").otherwise("difference").alias("op"), a.alias("a"), b.alias("b"), F.when(k == 0, a + b).when(k == 1, a / b).otherwise(a - b * (1 + F.floor(F.col("l_linenumber") / 7))).alias("expected"))
-    again = F.when(F.col("op") == "total", F.col("a") + F.col("b")).when(F.col("op") == "ratio", F.col("a") / F.col("b")).otherwise(F.col("a") - F.col("b"))
-    return rows.groupBy("op").agg(F.round(F.avg((F.abs(F.col("expected") - again) < 1e-6).cast("double")), 6).alias("forced"), F.count("*").alias("n"))
+    """How often a stored value follows from what it is said to be made of: characters of a text, lines and total of an order."""
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.max("l_linenumber").alias("last"), F.sum("l_extendedprice").alias("total"))
+    checks = table(spark, sf_dir, "documents").select(F.lit("n_chars").alias("op"), (F.col("n_chars") == F.length("text")).alias("forced"))
+    checks = checks.unionByName(orders.select(F.lit("lines").alias("op"), (F.col("n") == F.col("last")).alias("forced")))
+    paid = orders.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    checks = checks.unionByName(paid.select(F.lit("total").alias("op"), (F.abs(F.col("total") - F.col("o_totalprice")) < 0.01).alias("forced")))
+    return checks.groupBy("op").agg(F.round(F.avg(F.col("forced").cast("double")), 6).alias("forced"), F.count("*").alias("n"))
+
+
+_TAIL = "f AS (SELECT i, sum(CASE WHEN i = 0 THEN 0 ELSE ln(i) END) OVER (ORDER BY i) AS lf FROM range(0, (SELECT max(n) + 1 FROM w)::bigint) r(i)), t AS (SELECT w.*, unnest(range(k, n + 1)) AS i FROM w), q AS (SELECT {0}, n, k, least(1, sum(exp(a.lf - b.lf - c.lf + n * ln(0.5)))) AS p FROM t JOIN f a ON a.i = n JOIN f b ON b.i = t.i JOIN f c ON c.i = n - t.i GROUP BY ALL)"
+_STARS = "CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END"
+
+
+@query(f"""WITH w AS ({_WIN}), {_TAIL.format("item")}
+SELECT item, round(k / n, 6) AS acc, {_STARS} AS stars, CASE WHEN item % 5 = 0 THEN 'DIAGNOSTIC' WHEN k / n >= 0.55 AND p < 0.05 THEN 'HIT' WHEN k / n > 0.5 AND p < 0.05 THEN 'EXTEND' WHEN k / n <= 0.45 AND p >= 0.05 THEN 'FALSIFY' ELSE 'NO-GO' END AS verdict FROM q""")
+def battery_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = wins(spark, sf_dir).withColumn("acc", F.col("k") / F.col("n")).withColumn("p", stats.binomial_tail(F.col("k"), F.col("n")))
+    verdict = stats.point_verdict(F.col("acc"), F.col("p"), F.lit(0.01), F.col("item") % 5 != 0, go=0.45, hit=0.55, ref=0.5)
+    return w.select("item", F.round("acc", 6).alias("acc"), stats.stars(F.col("p")).alias("stars"), verdict.alias("verdict"))
+
+
+@query(f"""WITH w AS (SELECT l_suppkey AS run, 'L' || (l_linenumber - 1) AS level, count(*) AS n, count(*) FILTER (l_discount > 0.045) AS k FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2), {_TAIL.format("run, level")},
+r AS (SELECT run, CASE WHEN coalesce(bool_or(level = 'L3' AND k / n > 0.55 AND p < 0.05), false) THEN 'INFERENTIAL_SIGNAL' WHEN bool_or(level = 'L2' AND k / n > 0.55 AND p < 0.05) THEN 'STAGE_GRAMMAR' WHEN bool_or(level IN ('L0', 'L1') AND k / n > 0.55) THEN 'TOPICAL_SHORTCUT' ELSE 'STRONG_FALSIFY' END AS reading FROM q GROUP BY run)
+SELECT run, level, n, round(k / n, 6) AS acc, round(p, 6) AS p, {_STARS} AS stars, reading FROM q JOIN r USING (run)""")
+def battery_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's lines as a run of four levels: accuracy and chance of each level, and what they say together."""
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4")
+    w = rows.groupBy(F.col("l_suppkey").alias("run"), F.concat(F.lit("L"), F.col("l_linenumber") - 1).alias("level")).agg(F.count("*").alias("n"), F.count_if(F.col("l_discount") > 0.045).alias("k"))
+    w = w.withColumn("acc", F.col("k") / F.col("n")).withColumn("p", stats.binomial_tail(F.col("k"), F.col("n")))
+    levels = ("L0", "L1", "L2", "L3")
+    at = {c: {v: F.max(F.when(F.col("level") == v, F.col(c))) for v in levels} for c in ("acc", "p")}
+    readings = w.groupBy("run").agg(stats.battery_reading(at["acc"], at["p"]).alias("reading"))
+    return w.join(readings, "run").select("run", "level", "n", F.round("acc", 6).alias("acc"), F.round("p", 6).alias("p"), stats.stars(F.col("p")).alias("stars"), "reading")
