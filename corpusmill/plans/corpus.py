@@ -200,6 +200,44 @@ def containment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sides.agg(n(F.col("a")).alias("left_rows"), n(F.col("b")).alias("right_rows"), n(F.col("a") & ~F.col("b")).alias("only_left"), n(F.col("b") & ~F.col("a")).alias("only_right"))
 
 
+_FOLD = f"translate(lower(title), '{T.ACCENTS[0]}', '{T.ACCENTS[1]}')"
+_FLAT = "trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ')"
+_KB = "CASE " + " ".join(f"WHEN bytes >= {1 << s} THEN format('{{:.1f}} {u}', round(bytes / {1 << s}, 1))" for u, s in (("GB", 30), ("MB", 20), ("KB", 10))) + " ELSE format('{} B', bytes) END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, text, strlen(text) AS bytes, split_part(text, chr(10), 1) AS title, substr(text, length(split_part(text, chr(10), 1)) + 2) AS body, {_FLAT} AS flat FROM documents)
+SELECT doc_id, md5(regexp_replace(regexp_replace(title || chr(10) || body, '^[ \\t\\n\\x0B\\f\\r]+', ''), '[ \\t\\n\\x0B\\f\\r]+$', '')) AS joined_md5, {_FOLD} AS folded, substr(regexp_replace(regexp_replace({_FOLD}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) AS slug,
+trim(regexp_replace(lower(title), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS question_key, CASE WHEN length(flat) <= 80 THEN flat WHEN contains(flat[:80], ' ') THEN regexp_replace(flat[:80], ' [^ ]*$', '') ELSE flat[:80] END AS cut, {_KB} AS size,
+try_cast(nullif(regexp_extract(text, '((?:19|20)[0-9]{{2}})', 1), '') AS int) AS year, coalesce(len(list_filter(list_transform(string_split(title, ','), lambda x: trim(x, ' ')), lambda x: x <> '')), 0)::int AS parts,
+CASE WHEN doc_id = 0 THEN 'h:' || {HASH_SQL} ELSE 'pmid:' || doc_id END AS canonical, upper(trim(source, ' ')) AS dedup, regexp_replace(regexp_replace(replace(regexp_extract(text, '[0-9][0-9.,]*', 0), ',', ''), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS number FROM d""")
+def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normal forms, cuts and keys of every document; its first line is the title."""
+    title = F.substring_index("text", "\n", 1)
+    d = table(spark, sf_dir, "documents").withColumns({"title": title, "body": F.substring("text", F.length(title) + 2, F.length("text"))})
+    title, text = F.col("title"), F.col("text")
+    none = F.lit(None).cast("string")
+    return d.select(
+        "doc_id", F.md5(T.title_abstract(title, F.col("body"))).alias("joined_md5"), T.fold_accents(title).alias("folded"), T.slug(title, 60).alias("slug"), T.question_key(title).alias("question_key"), T.truncate_at_space(text, 80).alias("cut"), T.human_size(F.octet_length(text)).alias("size"),
+        T.year_of(text, F.lit("")).alias("year"), F.size(T.split_list(title, ",")).alias("parts"), T.canonical_key(none, F.col("doc_id").cast("string"), none, none, text).alias("canonical"), T.dedup_key(F.col("source"), F.col("lang")).alias("dedup"), T.number_form(F.regexp_extract(text, "[0-9][0-9.,]*", 0)).alias("number"),
+    )
+
+
+@query("""WITH o AS (SELECT o_orderkey, year(o_orderdate) AS y, o_orderpriority FROM orders) SELECT (y // 10 * 10)::int AS decade, coalesce(try_cast(split_part(o_orderpriority, '-', 1) AS int), 1900) AS level, count(*) AS n, row_number() OVER (ORDER BY y // 10 * 10 DESC, coalesce(try_cast(split_part(o_orderpriority, '-', 1) AS int), 1900)) AS place FROM o GROUP BY y // 10 * 10, 2""")
+def decade_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by decade, latest first, and by the number that their priority begins with."""
+    rows = table(spark, sf_dir, "orders").groupBy(T.decade(F.year("o_orderdate")).alias("decade"), T.safe_year(F.substring_index("o_orderpriority", "-", 1)).alias("level")).agg(F.count("*").alias("n"))
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.col("decade").desc(), "level")))  # a row for each decade and level
+
+
+@query("""WITH w AS (SELECT source, lower(unnest(regexp_extract_all(text, '[\\p{L}]{4,}'))) AS word FROM documents), c AS (SELECT source, word, count(*) AS n FROM w GROUP BY ALL)
+SELECT source, word, n, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, word) AS r FROM c) WHERE r <= 5""")
+def most_common_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most common longer words of each source, a report: counts are combined in tasks and ranks limited before the exchange."""
+    words = table(spark, sf_dir, "documents").select("source", F.explode(F.regexp_extract_all("text", F.lit("[\\p{L}]{4,}"), F.lit(0))).alias("w"))
+    counts = words.groupBy("source", F.lower("w").alias("word")).agg(F.count("*").alias("n"))
+    return select.ranked(counts, ["source"], [F.col("n").desc(), F.col("word")], "rank").where("rank <= 5")
+
+
 @query("""WITH b AS (SELECT DISTINCT md5(array_to_string(w[i:i+7], ' ')) AS h FROM (SELECT w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 8)),
 d AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i+7], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) >= 8))
 SELECT doc_id, count(*) AS shared FROM d SEMI JOIN b USING (h) GROUP BY doc_id""")

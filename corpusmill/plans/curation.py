@@ -46,6 +46,13 @@ def grounded_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.grounded(S.turn_pairs(table(spark, sf_dir, "conversations")), 0.05).select("conv_id", "turn", F.round("recall", 6).alias("recall"), "nums", "outcome")
 
 
+@query(_GROUND + """ SELECT conv_id, count(*) AS answers, round(avg(recall), 6) AS recall, round(avg(CASE WHEN len(an) > 0 THEN nums::int END), 6)::double AS numbers_agree, count(*) FILTER (len(an) > 0) AS with_numbers FROM g GROUP BY conv_id""")
+def answer_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's user turns as answers to what the assistant says next: share of its content words, and of its numbers where it has any."""
+    rows = S.turn_pairs(table(spark, sf_dir, "conversations")).withColumn("agree", F.when(F.size(T.numbers(F.col("a"))) > 0, T.numbers_supported(F.col("a"), F.col("q")).cast("int")))
+    return rows.groupBy("conv_id").agg(F.count("*").alias("answers"), F.round(F.avg(T.recall(F.col("a"), F.col("q"))), 6).alias("recall"), F.round(F.avg("agree"), 6).alias("numbers_agree"), F.count("agree").alias("with_numbers"))
+
+
 @query(_GROUND + """, r AS (SELECT *, sum(CASE WHEN length(q) <= 400 AND length(a) BETWEEN 10 AND 2000 THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS bad FROM g),
 k AS (SELECT conv_id, count(*) AS turns, min_by(trim(regexp_replace(lower(q), '\\s+', ' ', 'g')), turn) AS key FROM r WHERE bad = 0 GROUP BY conv_id HAVING count(*) >= 2)
 SELECT conv_id, turns FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY conv_id) AS n FROM k) WHERE n = 1""")

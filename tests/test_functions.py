@@ -213,7 +213,7 @@ def test_components_and_greedy(spark):
     keep = lambda df: df.persist()
     labels = dedup.components(edges, nodes, keep)
     assert {r.node: r.component for r in labels.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7}
-    kept = {r.node for r in dedup.greedy_keep(edges, nodes, lambda df: df.checkpoint()).where("kept").collect()}
+    kept = {r.node for r in dedup.greedy_keep(edges, nodes).where("kept").collect()}
     assert kept == {1, 3, 4, 5, 7}
 
 
@@ -230,7 +230,7 @@ def test_links_and_greedy_equal_plain_loops(spark):
         if not any((j, i) in want for j in kept):
             kept.append(i)
     keep, nodes = (lambda x: x.checkpoint()), df.select(F.col("id").alias("node"))
-    assert sorted(r.node for r in dedup.greedy_keep(found, nodes, keep).where("kept").collect()) == kept
+    assert sorted(r.node for r in dedup.greedy_keep(found, nodes).where("kept").collect()) == kept
     few = similarity.links(df, 0.8, block_rows=30, connect=True).checkpoint()
     assert few.count() < len(want)
     assert sorted(map(tuple, dedup.components(few, nodes, keep).collect())) == sorted(map(tuple, dedup.components(found, nodes, keep).collect()))

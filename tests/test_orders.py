@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from corpusmill.functions import brackets, stats, taxonomy
+from corpusmill.functions import brackets, labels, stats, taxonomy
 from corpusmill.operators import curves, dedup, flat, holdout, matching, neighbours, order, rebinding, similarity
 from corpusmill.sources import atomic
 from corpusmill.sources.shared import new_folder
@@ -30,6 +30,20 @@ def test_running_total_odd_rows(spark):
     assert order.running_total(df.limit(0), [F.col("id")], F.col("size"), "before").count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_running_total_of_groups(spark, parts):
+    """One group has most rows; a null is a group."""
+    rows = [("big" if i % 10 else None if i % 20 else "small", i, i % 4) for i in range(400)]
+    got = order.running_total(spark.createDataFrame(rows, "g string, i int, size int").repartition(3), [F.col("i")], F.col("size"), "before", parts, by=["g"]).collect()
+    assert {(r.g, r.i): r.before for r in got} == {(g, i): sum(s for h, j, s in rows if h == g and j < i) for g, i, _ in rows}
+
+
+def test_ring(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 4), (None, 5), (None, 6)], "g string, i long")
+    assert dict(order.ring(df, ["g"], [F.col("i")], "i", "next").collect()) == {1: 2, 2: 3, 3: 1, 5: 6, 6: 5}
+    assert dict(order.ring(df, [], [F.col("i")], "i", "next").collect()) == {1: 2, 2: 3, 3: 4, 4: 5, 5: 6, 6: 1}
+
+
 def test_shuffles_do_not_depend_on_partitions(spark, tmp_path):
     places = [dict(order.in_random_order(rows_of(spark, 300, p), F.col("id"), 3, parts=p).select("id", "place").collect()) for p in (1, 4, 7)]
     assert places[0] == places[1] == places[2] and sorted(places[0].values()) == list(range(300)) and places[0] != {i: i for i in range(300)}
@@ -208,6 +222,23 @@ def test_verdict_values(spark):
     assert row.a > 0.05 and row.b < 0.01 and 600 <= row.n <= 650
 
 
+def test_battery_reading(spark):
+    rows = [(0.6, 0.01, 0.6, 0.01, 0.6), (0.6, 0.2, 0.6, 0.01, 0.6), (0.5, 0.5, 0.5, 0.5, 0.56), (0.5, 0.5, 0.55, 0.01, 0.5), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "a3 double, p3 double, a2 double, p2 double, a0 double")
+    one = F.lit(None).cast("double")
+    reading = stats.battery_reading({"L3": F.col("a3"), "L2": F.col("a2"), "L1": one, "L0": F.col("a0")}, {"L3": F.col("p3"), "L2": F.col("p2"), "L1": one, "L0": one})
+    assert [r[0] for r in df.select(reading).collect()] == ["INFERENTIAL_SIGNAL", "STAGE_GRAMMAR", "TOPICAL_SHORTCUT", "STRONG_FALSIFY", "STRONG_FALSIFY"]
+
+
+def test_licences(spark):
+    texts = ["Licensed under CC BY-NC 4.0.", "x CC BY 4.0", "Released under the MIT License.", "Apache License, Version 2.0", "GNU General Public License", "CC0", "none named", None]
+    got = [tuple(r) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(labels.license_code(F.col("t")), labels.license_class(labels.license_code(F.col("t")))).collect()]
+    assert got == [("CC BY-NC", "train"), ("CC BY", "open"), ("MIT", "open"), ("Apache-2.0", "open"), ("GPL", "unknown"), ("CC0", "open"), (None, "unknown"), (None, "unknown")]
+    urls = ["http://creativecommons.org/licenses/by/4.0/", "https://creativecommons.org/licenses/by-nc-sa/4.0/", "http://arxiv.org/licenses/nonexclusive-distrib/1.0/", "https://creativecommons.org/publicdomain/zero/1.0/", "https://creativecommons.org/licenses/by-sa/4.0/", "", None]
+    got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(labels.license_url_class(F.col("u"))).collect()]
+    assert got == ["open", "train", "train", "open", "open", "unknown", "unknown"]
+
+
 def test_curve_verdicts(spark):
     points = [("up", s, a, 256) for s, a in enumerate([0.50, 0.52, 0.55, 0.57])] + [("hit", 5, 0.7, 256)] + [("flat", s, 0.5, 256) for s in range(69)] + [("flat", 70, 0.5273, 256), ("flat", 71, None, 256), ("down", 1, 0.62, 256), ("down", 2, 0.58, 256), ("down", 3, 0.56, 256)]
     df = spark.createDataFrame(points, "run string, step int, acc double, n long")
