@@ -59,9 +59,9 @@ def clean_whitespace(text: Column) -> Column:
 
 
 def last_index(text: Column, mark: str) -> Column:
-    """Zero-based place of the last `mark` (one character), or -1."""
-    back = F.locate(mark, F.reverse(text))
-    return F.when(back > 0, F.length(text) - back).otherwise(F.lit(-1))
+    """Zero-based place of the last `mark`, or -1."""
+    back = F.locate(mark[::-1], F.reverse(text))
+    return F.when(back > 0, F.length(text) - back - len(mark) + 1).otherwise(F.lit(-1))
 
 
 def truncate_at_newline(text: Column, limit: int, share: float = 0.8) -> Column:

@@ -33,17 +33,17 @@ def duplicate_counts(df: DataFrame, key: Column) -> DataFrame:
 def shared_ngrams(docs: DataFrame, references: DataFrame, *, doc_id: str, doc_text: str, ref_text: str, n: int = 8) -> DataFrame:
     """(doc_id, shared): documents with an n-gram of any reference, and how many different ones.
 
-    The references' n-grams are distinct before the join, which carries only hashes of the documents' n-grams.
+    The join carries two hashes of each n-gram; only what both sides have is made distinct.
     """
 
     def hashes(rows: DataFrame, text: str, *keep: str) -> DataFrame:
         # The words are a column of their own: inside the lambda they would be split again for each n-gram.
         words = rows.select(*keep, word_list(F.lower(text)).alias("w")).where(F.size("w") >= n)
-        return words.select(*keep, F.explode(F.array_distinct(gram_hashes(F.col("w"), n))).alias("h"))
+        return words.select(*keep, F.explode(gram_hashes(F.col("w"), n)).alias("g")).select(*keep, "g.a", "g.b")
 
     known = hashes(references, ref_text).distinct()
     mine = hashes(docs, doc_text, doc_id)
-    return mine.join(known, "h", "left_semi").groupBy(doc_id).agg(F.count("*").alias("shared"))
+    return mine.join(known, ["a", "b"], "left_semi").distinct().groupBy(doc_id).agg(F.count("*").alias("shared"))
 
 
 def canonical_edges(edges: DataFrame) -> DataFrame:

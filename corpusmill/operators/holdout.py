@@ -11,38 +11,34 @@ from .dedup import components
 
 
 def shared_passages(items: DataFrame, docs: DataFrame, *, item: str, item_text: str, doc: str, doc_text: str, n: int = 8) -> tuple[DataFrame, DataFrame]:
-    """((item, gram), (doc, gram)): the n-grams of words that items and documents have in common, as hashes."""
+    """((item, a, b), (doc, a, b)): the n-grams of words that items and documents have in common, each as two hashes."""
+    gram = ["a", "b"]
 
     def grams(rows: DataFrame, key: str, text: str) -> DataFrame:
         words = rows.select(F.col(key).alias("id"), word_list(F.lower(text)).alias("w")).where(F.size("w") >= n)
-        return words.select("id", F.explode(F.array_distinct(gram_hashes(F.col("w"), n))).alias("gram"))
+        return words.select("id", F.explode(gram_hashes(F.col("w"), n)).alias("g")).select("id", "g.a", "g.b")
 
-    mine = checkpointed(grams(items, item, item_text))
-    theirs = checkpointed(grams(docs, doc, doc_text).join(mine.select("gram").distinct(), "gram", "left_semi"))
-    return mine.join(theirs.select("gram").distinct(), "gram", "left_semi").select("id", "gram"), theirs.select("id", "gram")
+    mine = checkpointed(grams(items, item, item_text).distinct())
+    theirs = checkpointed(grams(docs, doc, doc_text).join(mine.select(*gram).distinct(), gram, "left_semi").distinct())
+    return mine.join(theirs.select(*gram).distinct(), gram, "left_semi"), theirs
 
 
 def clean_holdout(items: DataFrame, docs: DataFrame, in_training: Column, *, item: str, item_text: str, doc: str, doc_text: str, n: int = 8) -> DataFrame:
     """(item, group, leaked): items that share passages, through documents however many, form a group, named by its smallest item.
 
-    A group leaks as a whole if any of its documents is in training.  Passages (n-grams) are nodes between items and
-    documents, so that a passage common to many makes a star, not all pairs.  Items without a common passage are
-    groups of their own.
+    A group leaks as a whole if any of its documents is in training.  A passage (n-gram) ties all that have it to its
+    smallest item, and a document its passages' items to the smallest of them; so the graph has items only, and a
+    passage or document that many share makes a star, not all pairs.  Items without a common passage are groups of their own.
     """
     mine, theirs = shared_passages(items, docs, item=item, item_text=item_text, doc=doc, doc_text=doc_text, n=n)
-
-    def node(kind: int, value: Column) -> Column:
-        return F.xxhash64(F.lit(kind), value)
-
-    gram = node(2, F.struct("gram.a", "gram.b"))
-    edges = mine.select(node(0, F.col("id")).alias("a"), gram.alias("b")).unionByName(theirs.select(node(1, F.col("id")).alias("a"), gram.alias("b")))
-    edges = checkpointed(edges)
-    of_items = items.select(F.col(item).alias("item"), node(0, F.col(item)).alias("node"))
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).unionByName(of_items.select("node")).distinct()
-    labels = components(edges, nodes, checkpointed)
-    training = docs.where(in_training).select(node(1, F.col(doc)).alias("node"))
-    bad = labels.join(training, "node", "left_semi").select("component").distinct().withColumn("leaked", F.lit(True))
-    grouped = checkpointed(of_items.join(labels, "node"))
-    first = grouped.groupBy("component").agg(F.min("item").alias("group"))
-    out = grouped.join(first, "component").join(bad, "component", "left")
-    return out.select(F.col("item").alias(item), "group", F.coalesce("leaked", F.lit(False)).alias("leaked"))
+    first = mine.groupBy("a", "b").agg(F.min("id").alias("first"))
+    links = checkpointed(theirs.join(first, ["a", "b"]).select("id", "first").distinct())
+    lowest = links.groupBy("id").agg(F.min("first").alias("low"))
+    edges = mine.join(first, ["a", "b"]).select(F.col("id").alias("a"), F.col("first").alias("b")).unionByName(links.join(lowest, "id").select(F.col("first").alias("a"), F.col("low").alias("b")))
+    nodes = items.select(F.col(item).alias("node")).distinct()
+    labels = checkpointed(components(edges.where("a <> b").distinct(), nodes, checkpointed))
+    training = docs.where(in_training).select(F.col(doc).alias("id"))
+    seen = links.join(training, "id", "left_semi").select(F.col("first").alias("node")).distinct()
+    bad = labels.join(seen, "node").select("component").distinct().withColumn("leaked", F.lit(True))
+    out = labels.join(bad, "component", "left")
+    return out.select(F.col("node").alias(item), F.col("component").alias("group"), F.coalesce("leaked", F.lit(False)).alias("leaked"))

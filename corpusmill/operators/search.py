@@ -16,10 +16,11 @@ def terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return listed.select("id", F.size("w").alias("size"), F.explode("w").alias("term")).groupBy("id", "term", "size").agg(F.count("*").alias("tf"))
 
 
-def search(docs: DataFrame, any_of: Sequence[str], *, all_of: Sequence[str] = (), phrase: str | None = None, id_col: str = "doc_id", text_col: str = "text", k: int = 50, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def search(docs: DataFrame, any_of: Sequence[str], *, all_of: Sequence[str] = (), phrase: str | None = None, id_col: str = "doc_id", text_col: str = "text", among: DataFrame | None = None, k: int = 50, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score) of the best k documents by BM25 over the terms of `any_of` (a trailing * makes a prefix).
 
-    `all_of` must all occur and `phrase` must stand in the text as it is, case aside.
+    `all_of` must all occur and `phrase` must stand in the text as it is, case aside.  With `among` (id), only these
+    documents are ranked, by scores over all.
     Only rows of wanted terms are kept before anything is shuffled; counts of documents and terms are one small aggregate.
     """
     wanted = [*any_of, *all_of]
@@ -37,4 +38,6 @@ def search(docs: DataFrame, any_of: Sequence[str], *, all_of: Sequence[str] = ()
     out = scored.groupBy("id").agg(F.sum(part).alias("score"), *every)
     for i in range(len(all_of)):
         out = out.where(f"has{i} = 1")
+    if among is not None:
+        out = out.join(among, "id", "left_semi")
     return out.select("id", "score").orderBy(F.round("score", 9).desc(), "id").limit(k)

@@ -24,4 +24,4 @@ def query(sql: str | None = None, name: str | None = None):
     return put
 
 
-from . import analysis, corpus, curation, evaluation, extras, incremental, matching, streams  # noqa: E402, F401
+from . import admission, analysis, corpus, curation, evaluation, extras, incremental, matching, streams  # noqa: E402, F401
