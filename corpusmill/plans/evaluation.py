@@ -104,16 +104,16 @@ _STARS = "CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 T
 
 
 @query(f"""WITH w AS ({_WIN}), {_TAIL.format("item")}
-SELECT item, round(k / n, 6) AS acc, {_STARS} AS stars, CASE WHEN item % 5 = 0 THEN 'DIAGNOSTIC' WHEN k / n >= 0.55 AND p < 0.05 THEN 'HIT' WHEN k / n > 0.5 AND p < 0.05 THEN 'EXTEND' WHEN k / n <= 0.45 AND p >= 0.05 THEN 'FALSIFY' ELSE 'NO-GO' END AS verdict FROM q""")
+SELECT item, n, k, {_STARS} AS stars, CASE WHEN item % 5 = 0 THEN 'DIAGNOSTIC' WHEN k / n >= 0.55 AND p < 0.05 THEN 'HIT' WHEN k / n > 0.5 AND p < 0.05 THEN 'EXTEND' WHEN k / n <= 0.45 AND p >= 0.05 THEN 'FALSIFY' ELSE 'NO-GO' END AS verdict FROM q""")
 def battery_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = wins(spark, sf_dir).withColumn("acc", F.col("k") / F.col("n")).withColumn("p", stats.binomial_tail(F.col("k"), F.col("n")))
     verdict = stats.point_verdict(F.col("acc"), F.col("p"), F.lit(0.01), F.col("item") % 5 != 0, go=0.45, hit=0.55, ref=0.5)
-    return w.select("item", F.round("acc", 6).alias("acc"), stats.stars(F.col("p")).alias("stars"), verdict.alias("verdict"))
+    return w.select("item", "n", "k", stats.stars(F.col("p")).alias("stars"), verdict.alias("verdict"))
 
 
 @query(f"""WITH w AS (SELECT l_suppkey AS run, 'L' || (l_linenumber - 1) AS level, count(*) AS n, count(*) FILTER (l_discount > 0.045) AS k FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2), {_TAIL.format("run, level")},
 r AS (SELECT run, CASE WHEN coalesce(bool_or(level = 'L3' AND k / n > 0.55 AND p < 0.05), false) THEN 'INFERENTIAL_SIGNAL' WHEN bool_or(level = 'L2' AND k / n > 0.55 AND p < 0.05) THEN 'STAGE_GRAMMAR' WHEN bool_or(level IN ('L0', 'L1') AND k / n > 0.55) THEN 'TOPICAL_SHORTCUT' ELSE 'STRONG_FALSIFY' END AS reading FROM q GROUP BY run)
-SELECT run, level, n, round(k / n, 6) AS acc, round(p, 6) AS p, {_STARS} AS stars, reading FROM q JOIN r USING (run)""")
+SELECT run, level, n, k, round(p, 6) AS p, {_STARS} AS stars, reading FROM q JOIN r USING (run)""")
 def battery_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supplier's lines as a run of four levels: accuracy and chance of each level, and what they say together."""
     rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4")
@@ -122,4 +122,4 @@ def battery_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = ("L0", "L1", "L2", "L3")
     at = {c: {v: F.max(F.when(F.col("level") == v, F.col(c))) for v in levels} for c in ("acc", "p")}
     readings = w.groupBy("run").agg(stats.battery_reading(at["acc"], at["p"]).alias("reading"))
-    return w.join(readings, "run").select("run", "level", "n", F.round("acc", 6).alias("acc"), F.round("p", 6).alias("p"), stats.stars(F.col("p")).alias("stars"), "reading")
+    return w.join(readings, "run").select("run", "level", "n", "k", F.round("p", 6).alias("p"), stats.stars(F.col("p")).alias("stars"), "reading")
