@@ -1,45 +1,36 @@
-"""Generators of verifiable text: arithmetic, syllogisms, logic chains and damaged tool calls, from row numbers alone."""
+"""Verifiable statements from the facts of tables: arithmetic, contrasts, syllogisms, chains of equal validity, and damaged tool calls."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import in_random_order, running_total
+
 #: Operations: wording and result as an expression of a and b.
 OPERATIONS = {
-    "percent change": ("A count went from %d to %d. The percent change is", "round((b - a) * 100.0 / a, 2)"),
+    "percent change": ("A count went from %d to %d. The percent change is", "(b - a) * 100.0D / a"),
     "difference": ("One site has %d plants and another %d. The difference is", "abs(b - a)"),
-    "ratio": ("There are %d adults and %d young. Adults for each young:", "round(a / b, 2)"),
+    "ratio": ("There are %d adults and %d young. Adults for each young:", "a / b"),
     "mean": ("Two plots gave %d and %d seeds. The mean is", "(a + b) / 2"),
-    "rate": ("%d visits were seen in %d hours. Visits an hour:", "round(a / b, 2)"),
+    "rate": ("%d visits were seen in %d hours. Visits an hour:", "a / b"),
     "conversion": ("A path is %d km and %d m long. In metres:", "a * 1000 + b"),
     "points": ("Cover rose from %d to %d percent. In points:", "b - a"),
     "total": ("Nets held %d and %d fish. The total is", "a + b"),
-    "fraction": ("Of %2$d eggs, %1$d hatched. In percent:", "round(a * 100.0 / b, 2)"),
+    "fraction": ("%d of %d eggs hatched. In percent:", "a * 100.0D / b"),
     "remainder": ("%d leaves are put into groups of %d. Left over:", "a % b"),
 }
 
-THINGS = ("herons", "beetles", "ferns", "otters", "mosses", "newts", "larches", "voles")
-TRAITS = ("nocturnal", "rare", "aquatic", "social", "migratory", "evergreen")
-
-
-def pick(options: tuple[str, ...], salt: int, key: str = "id") -> Column:
-    """One of the options by the hash of the row number."""
-    return F.element_at(F.array(*[F.lit(o) for o in options]), (F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(len(options))) + 1).cast("int"))
-
-
-def number(low: int, high: int, salt: int) -> Column:
-    return (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(high - low + 1)) + low).cast("long")
-
 
-def arithmetic(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
-    """(id, op, a, b, text, expected)."""
-    rows = spark.range(n).withColumn("op", pick(tuple(OPERATIONS), seed)).withColumn("a", number(2, 90, seed + 1)).withColumn("b", number(3, 99, seed + 2))
+def arithmetic(rows: DataFrame) -> DataFrame:
+    """(id, op, a, b, text, expected) from rows (id, a, b) of positive whole numbers: each asks the operation that its id gives."""
+    names = list(OPERATIONS)
+    rows = rows.withColumn("op", F.element_at(F.array(*map(F.lit, names)), (F.pmod("id", F.lit(len(names))) + 1).cast("int")))
     text = expected = None
     for name, (wording, formula) in OPERATIONS.items():
         is_op = F.col("op") == name
         text = (F if text is None else text).when(is_op, F.format_string(wording, "a", "b"))
-        expected = (F if expected is None else expected).when(is_op, F.expr(f"cast({formula} as double)"))
+        expected = (F if expected is None else expected).when(is_op, F.round(F.expr(f"cast({formula} as double)"), 6))
     return rows.select("id", "op", "a", "b", text.alias("text"), expected.alias("expected"))
 
 
@@ -48,51 +39,50 @@ def recomputed(rows: DataFrame) -> Column:
     again = None
     for name, (_, formula) in OPERATIONS.items():
         again = (F if again is None else again).when(F.col("op") == name, F.expr(f"cast({formula} as double)"))
-    return F.abs(again - F.col("expected")) < 1e-9
+    return F.abs(again - F.col("expected")) < 1e-6
 
 
-def contrasts(spark: SparkSession, n: int, seed: int = 50) -> DataFrame:
-    """(id, family, text, opposite): statements that differ in direction, number or polarity alone."""
-    rows = spark.range(n).withColumn("family", pick(("direction", "number", "polarity"), seed)).withColumn("s", pick(THINGS, seed + 1)).withColumn("k", number(2, 60, seed + 2))
-    say = lambda a, b, c: F.when(F.col("family") == "direction", F.format_string(a, "s")).when(F.col("family") == "number", F.format_string(b, "s", "k" if c else F.col("k") * 3)).otherwise(F.format_string("The %s are " + ("" if c else "not ") + "present.", "s"))
-    return rows.select("id", "family", say("The %s increased.", "The %s number %d.", True).alias("text"), say("The %s decreased.", "The %s number %d.", False).alias("opposite"))
+def contrasts(facts: DataFrame) -> DataFrame:
+    """(id, family, text, opposite) from facts (id, name, kind, size, above): statements and others that differ in direction, number or polarity alone."""
+    turn = F.pmod("id", F.lit(3))
+    family = F.when(turn == 0, "direction").when(turn == 1, "number").otherwise("polarity")
 
+    def say(true: bool) -> Column:
+        above = F.col("above") if true else ~F.col("above")
+        direction = F.concat(F.lit("The price of the "), "name", F.lit(" is "), F.when(above, "above").otherwise("below"), F.lit(" the mean."))
+        count = F.concat(F.lit("The "), "name", F.lit(" has size "), (F.col("size") if true else F.col("size") * 3).cast("string"), F.lit("."))
+        polarity = F.concat(F.lit("The "), "name", F.lit(" is " if true else " is not "), "kind", F.lit("."))
+        return F.when(turn == 0, direction).when(turn == 1, count).otherwise(polarity)
 
-def syllogisms(spark: SparkSession, n: int, seed: int = 100) -> DataFrame:
-    """(id, family, text, valid): categorical, transitive, negated, and those from which nothing follows."""
-    rows = spark.range(n).withColumn("family", pick(("categorical", "transitive", "negation", "none"), seed)).withColumn("x", pick(THINGS[:3], seed + 1)).withColumn("y", pick(THINGS[3:6], seed + 2)).withColumn("t", pick(TRAITS, seed + 3))
-    text = (
-        F.when(F.col("family") == "categorical", F.format_string("All %s are %s. Some animals are %1$s. So some animals are %2$s.", "x", "t"))
-        .when(F.col("family") == "transitive", F.format_string("All %s are kept with %s. All %2$s are %s. So all %1$s are kept with what is %3$s.", "x", "y", "t"))
-        .when(F.col("family") == "negation", F.format_string("No %s are %s. These are %1$s. So these are not %2$s.", "x", "t"))
-        .otherwise(F.format_string("Some %s are %s. Some %s are %2$s. So nothing follows about %1$s and %3$s.", "x", "t", "y"))
-    )
-    return rows.select("id", "family", text.alias("text"), F.lit(True).alias("valid"))
-
+    return facts.select("id", family.alias("family"), say(True).alias("text"), say(False).alias("opposite"))
 
-def chains(spark: SparkSession, n: int, valid_share: float = 0.5, seed: int = 200) -> DataFrame:
-    """(id, text, valid): three-step chains, exactly floor(n * valid_share) of which are valid, at random places.
 
-    A multiplicative permutation of the row numbers places them, so nothing is sorted.
-    """
-    step = next(s for s in range(7919 + seed, 10**9, 2) if _coprime(s, n))
-    rows = spark.range(n).withColumn("valid", (F.col("id") * step) % n < int(n * valid_share))
-    rows = rows.withColumn("a", pick(THINGS[:4], seed)).withColumn("b", pick(THINGS[4:], seed + 1)).withColumn("t", pick(TRAITS, seed + 2))
-    end = F.when(F.col("valid"), F.format_string("So the %s are %s.", "a", "t")).otherwise(F.format_string("So the %s are not %s.", "a", "t"))
-    return rows.select("id", F.concat(F.format_string("[OBS] The %s eat what the %s leave.\n[EVID] What eats it is %s.\n[CONC] ", "a", "b", "t"), end).alias("text"), "valid")
+def syllogisms(facts: DataFrame) -> DataFrame:
+    """(id, family, text, valid) from facts (id, member, middle, whole, other): member is of middle, which is in whole and not in other."""
+    turn = F.pmod("id", F.lit(4))
+    text = (
+        F.when(turn == 0, F.format_string("All of %s is in %s. %s is of %1$s. So %3$s is in %2$s.", "middle", "whole", "member"))
+        .when(turn == 1, F.format_string("%s is of %s. %2$s is in %s. So %1$s is in %3$s.", "member", "middle", "whole"))
+        .when(turn == 2, F.format_string("Nothing of %s is in %s. %s is of %1$s. So %3$s is not in %2$s.", "middle", "other", "member"))
+        .otherwise(F.format_string("Some of %s is of %s. %s is in %1$s. So %3$s is of %2$s.", "whole", "middle", "member"))
+    )
+    family = F.when(turn == 0, "categorical").when(turn == 1, "transitive").when(turn == 2, "negation").otherwise("none")
+    return facts.select("id", family.alias("family"), text.alias("text"), (turn != 3).alias("valid"))
 
 
-def _coprime(a: int, b: int) -> bool:
-    while b:
-        a, b = b, a % b
-    return a == 1
+def chains(facts: DataFrame, valid_share: float = 0.5, seed: int = 200) -> DataFrame:
+    """(id, text, valid): three-step chains over facts as of `syllogisms`, exactly floor(n * valid_share) of which are valid, at random places."""
+    n = facts.count()
+    rows = in_random_order(facts, F.col("id"), seed).withColumn("valid", F.col("place") < int(n * valid_share))
+    end = F.when(F.col("valid"), F.col("whole")).otherwise(F.col("other"))
+    return rows.select("id", F.format_string("[OBS] %s is of %s.\n[EVID] %2$s is in %s.\n[CONC] So %1$s is in %s.", "member", "middle", "whole", end).alias("text"), "valid")
 
 
 def cap_moulds(rows: DataFrame, family: str, mould: str, share: float) -> DataFrame:
-    """At most that share of a family's rows from one mould; the first by id stay."""
-    w = Window.partitionBy(family, mould).orderBy("id")
-    out = rows.withColumn("__n", F.count("*").over(Window.partitionBy(family))).withColumn("__r", F.row_number().over(w))
-    return out.where(F.col("__r") <= F.greatest(F.lit(1), F.floor(F.col("__n") * share))).drop("__n", "__r")
+    """At most that share of a family's rows from one mould, one row at least; the first by id stay."""
+    sizes = rows.groupBy(F.col(family).alias("__of")).agg(F.count("*").alias("__n"))
+    placed = running_total(rows, [F.col("id")], F.lit(1), "__r", by=[family, mould]).join(sizes, F.col(family).eqNullSafe(F.col("__of")))
+    return placed.where(F.col("__r") < F.greatest(F.lit(1), F.floor(F.col("__n") * share))).select(*rows.columns)
 
 
 def repairs(calls: DataFrame, call: str = "call") -> DataFrame:

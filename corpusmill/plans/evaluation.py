@@ -70,10 +70,12 @@ def pairwise_win_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.round(F.avg((F.col("value") > 50).cast("double")), 6).alias("win_rate"), F.round(F.avg(F.col("value") - 50), 6).alias("mean_delta"), F.count("*").alias("n"))
 
 
-@query("""SELECT i::bigint AS step, CASE WHEN i < 2000 THEN round(16 + i / 2000.0 * 16) WHEN i < 5000 THEN round(32 + (i - 2000) / 3000.0 * 32) ELSE 64 END::int AS span,
-round(CASE WHEN i < 2000 THEN 0.3 + i / 2000.0 * 0.3 WHEN i < 5000 THEN 0.6 + (i - 2000) / 3000.0 * 0.35 ELSE 0.95 END, 6)::double AS fraction FROM range(0, 10001, 250) r(i)""")
+@query("""WITH e AS (SELECT DISTINCT event_id // 4 AS i FROM events) SELECT i AS step, CASE WHEN i < 500 THEN round(16 + i / 500.0 * 16) WHEN i < 1500 THEN round(32 + (i - 500) / 1000.0 * 32) ELSE 64 END::int AS span,
+round(CASE WHEN i < 500 THEN 0.3 + i / 500.0 * 0.3 WHEN i < 1500 THEN 0.6 + (i - 500) / 1000.0 * 0.35 ELSE 0.95 END, 6)::double AS fraction FROM e""")
 def curriculum_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spark.range(0, 10001, 250).withColumnRenamed("id", "step").withColumn("s", stats.curriculum(F.col("step"), [(0, 16, 0.3), (2000, 32, 0.6), (5000, 64, 0.95)]))
+    """The span and fraction to mask at each step, four events making a step."""
+    steps = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 4).alias("step")).distinct()
+    s = steps.withColumn("s", stats.curriculum(F.col("step"), [(0, 16, 0.3), (500, 32, 0.6), (1500, 64, 0.95)]))
     return s.select("step", "s.span", F.round("s.fraction", 6).alias("fraction"))
 
 

@@ -54,21 +54,63 @@ def swap_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.mutations(rows, "text").select("item_id", "kind", "mutated")
 
 
-@query()
+_ARITH = "SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity::bigint + 1 AS a, l_partkey % 97 + 3 AS b FROM lineitem"
+
+
+def _operations_sql() -> str:
+    """Wordings and results by the place of the operation."""
+    names = list(synth.OPERATIONS)
+    op = "CASE id % 10 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names)) + " END"
+    text = "CASE id % 10 " + " ".join(f"WHEN {i} THEN printf('{synth.OPERATIONS[n][0]}', a, b)" for i, n in enumerate(names)) + " END"
+    value = "CASE id % 10 " + " ".join(f"WHEN {i} THEN ({synth.OPERATIONS[n][1].replace('100.0D', '100.0::double')})::double" for i, n in enumerate(names)) + " END"
+    return f"SELECT id, {op} AS op, a, b, {text} AS text, round({value}, 6) AS expected, true AS forced FROM ({_ARITH})"
+
+
+@query(_operations_sql())
 def arith_cloze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = synth.arithmetic(spark, 2000)
+    """A question from each order line, with its answer and whether the answer follows."""
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_quantity").cast("long") + 1).alias("a"), (F.col("l_partkey") % 97 + 3).alias("b"))
+    rows = synth.arithmetic(lines)
     return rows.withColumn("forced", synth.recomputed(rows))
 
 
-@query("SELECT valid, count(*) AS n FROM (SELECT (i * 8119) % 1000 < 500 AS valid FROM range(1000) r(i)) GROUP BY 1")
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers, their nations, the regions of these, and the region that comes next."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    other = r.select(F.pmod(F.col("r_regionkey") + 4, F.lit(5)).alias("n_regionkey"), F.col("r_name").alias("other"))
+    places = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).join(other, "n_regionkey").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("middle"), F.col("r_name").alias("whole"), "other")
+    return table(spark, sf_dir, "customer").join(places, "c_nationkey").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("member"), "middle", "whole", "other")
+
+
+_FACTS = "SELECT c_custkey AS id, c_name AS member, n_name AS middle, r.r_name AS whole, o.r_name AS other FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region r ON r.r_regionkey = n_regionkey JOIN region o ON (o.r_regionkey + 4) % 5 = n_regionkey"
+
+
+@query(f"""WITH f AS ({_FACTS}), p AS (SELECT *, row_number() OVER (ORDER BY md5(id || ':200'), id) - 1 < floor(count(*) OVER () * 0.4) AS valid FROM f)
+SELECT id, '[OBS] ' || member || ' is of ' || middle || '.' || chr(10) || '[EVID] ' || middle || ' is in ' || whole || '.' || chr(10) || '[CONC] So ' || member || ' is in ' || CASE WHEN valid THEN whole ELSE other END || '.' AS text, valid FROM p""")
 def logic_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synth.chains(spark, 1000).groupBy("valid").agg(F.count("*").alias("n"))
+    """A chain for each customer; exactly two fifths of them are valid."""
+    return synth.chains(facts(spark, sf_dir), 0.4)
 
 
-@query()
+@query(f"""WITH f AS ({_FACTS}), s AS (SELECT id, CASE id % 4 WHEN 0 THEN 'categorical' WHEN 1 THEN 'transitive' WHEN 2 THEN 'negation' ELSE 'none' END AS family, CASE id % 4 WHEN 0 THEN 'All of ' || middle || ' is in ' || whole || '. ' || member || ' is of ' || middle || '. So ' || member || ' is in ' || whole || '.'
+WHEN 1 THEN member || ' is of ' || middle || '. ' || middle || ' is in ' || whole || '. So ' || member || ' is in ' || whole || '.' WHEN 2 THEN 'Nothing of ' || middle || ' is in ' || other || '. ' || member || ' is of ' || middle || '. So ' || member || ' is not in ' || other || '.'
+ELSE 'Some of ' || whole || ' is of ' || middle || '. ' || member || ' is in ' || whole || '. So ' || member || ' is of ' || middle || '.' END AS text, id % 4 <> 3 AS valid, middle FROM f),
+m AS (SELECT *, row_number() OVER (PARTITION BY family, middle ORDER BY id) AS r, count(*) OVER (PARTITION BY family) AS n FROM s) SELECT id, family, text, valid FROM m WHERE r <= greatest(1, floor(n * 0.03))""")
 def syllogisms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = synth.syllogisms(spark, 1000).unionByName(synth.contrasts(spark, 1000).select("id", "family", "text", F.lit(True).alias("valid")))
-    return synth.cap_moulds(rows.withColumn("mould", F.regexp_replace("text", "[0-9]+", "#")), "family", "mould", 0.05).drop("mould")
+    """Syllogisms about customers; no nation may make up more than three in a hundred of a family."""
+    f = facts(spark, sf_dir)
+    rows = synth.syllogisms(f).join(f.select("id", "middle"), "id")
+    return synth.cap_moulds(rows, "family", "middle", 0.03).drop("middle")
+
+
+@query("""SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'direction' WHEN 1 THEN 'number' ELSE 'polarity' END AS family, CASE p_partkey % 3 WHEN 0 THEN 'The price of the ' || p_name || ' is ' || CASE WHEN p_retailprice > m THEN 'above' ELSE 'below' END || ' the mean.' WHEN 1 THEN 'The ' || p_name || ' has size ' || p_size || '.' ELSE 'The ' || p_name || ' is ' || lower(p_type) || '.' END AS text,
+CASE p_partkey % 3 WHEN 0 THEN 'The price of the ' || p_name || ' is ' || CASE WHEN p_retailprice > m THEN 'below' ELSE 'above' END || ' the mean.' WHEN 1 THEN 'The ' || p_name || ' has size ' || p_size * 3 || '.' ELSE 'The ' || p_name || ' is not ' || lower(p_type) || '.' END AS opposite FROM part, (SELECT avg(p_retailprice) AS m FROM part)""")
+def contrast_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement about each part, and one that differs in a single point and is false."""
+    parts = table(spark, sf_dir, "part")
+    mean = parts.agg(F.avg("p_retailprice").alias("m"))  # one row
+    rows = parts.join(F.broadcast(mean), F.lit(True)).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lower("p_type").alias("kind"), F.col("p_size").alias("size"), (F.col("p_retailprice") > F.col("m")).alias("above"))
+    return synth.contrasts(rows)
 
 
 @query()

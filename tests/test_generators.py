@@ -34,13 +34,21 @@ def test_levels(spark):
 
 
 def test_arithmetic_follows(spark):
-    rows = synth.arithmetic(spark, 500)
+    rows = synth.arithmetic(spark.range(500).selectExpr("id", "id % 88 + 2 AS a", "id % 97 + 3 AS b"))
     assert rows.where(~synth.recomputed(rows)).count() == 0
     assert rows.select("op").distinct().count() == len(synth.OPERATIONS)
 
 
 def test_chains_are_exactly_balanced(spark):
-    assert synth.chains(spark, 501, 0.4).where("valid").count() == 200
+    facts = spark.range(501).selectExpr("id", "'m' || id AS member", "'nation' AS middle", "'here' AS whole", "'there' AS other")
+    rows = synth.chains(facts, 0.4)
+    assert rows.where("valid").count() == 200 and rows.where("valid = endswith(text, 'is in there.')").count() == 0
+    assert synth.chains(facts.limit(0), 0.4).count() == 0
+
+
+def test_syllogisms(spark):
+    rows = synth.syllogisms(spark.range(8).selectExpr("id", "'m' AS member", "'n' AS middle", "'w' AS whole", "'o' AS other")).collect()
+    assert {r.family: r.valid for r in rows} == {"categorical": True, "transitive": True, "negation": True, "none": False}
 
 
 def test_mould_cap(spark):
@@ -49,7 +57,8 @@ def test_mould_cap(spark):
 
 
 def test_contrasts_differ(spark):
-    assert synth.contrasts(spark, 200).where("text = opposite").count() == 0
+    facts = spark.range(200).selectExpr("id", "'bolt' AS name", "'small' AS kind", "id + 1 AS size", "id % 2 = 0 AS above")
+    assert synth.contrasts(facts).where("text = opposite").count() == 0
 
 
 def test_search_conditions(spark):
