@@ -85,8 +85,10 @@ def cap_moulds(rows: DataFrame, family: str, mould: str, share: float) -> DataFr
     return placed.where(F.col("__r") < F.greatest(F.lit(1), F.floor(F.col("__n") * share))).select(*rows.columns)
 
 
-def repairs(calls: DataFrame, call: str = "call") -> DataFrame:
-    """Each call damaged in five ways, with what is wrong and the call itself as the answer."""
+def repairs(calls: DataFrame, prompt: Column, call: str = "call") -> DataFrame:
+    """Six documents for each call: one that asks for it, and five that show it damaged (kind says how) and answer with it."""
     c = F.col(call)
-    kinds = {"brace": F.regexp_replace(c, "\\}$", ""), "quote": F.regexp_replace(c, '"([a-z_]+)":', "$1:"), "comma": F.replace(c, F.lit(", "), F.lit(" ")), "name": F.regexp_replace(c, '("function": "\\w+)\\w"', '$1"'), "escape": F.replace(c, F.lit('"'), F.lit('\\"'))}
-    return calls.select(*calls.columns, F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("damaged")) for k, v in kinds.items()])).alias("r")).select(*calls.columns, "r.kind", "r.damaged")
+    damaged = {"brace": F.regexp_replace(c, "\\}$", ""), "quote": F.regexp_replace(c, '"([a-z_]+)":', "$1:"), "comma": F.replace(c, F.lit(", "), F.lit(" ")), "name": F.regexp_replace(c, '("function": "\\w+)\\w"', '$1"'), "escape": F.replace(c, F.lit('"'), F.lit('\\"'))}
+    rows = [F.struct(F.lit("generation").alias("kind"), F.concat(F.lit("[USER] "), prompt, F.lit("\n[ACTION] "), c).alias("document"))]
+    rows += [F.struct(F.lit(k).alias("kind"), F.concat(F.lit("[BROKEN] "), d, F.lit("\n[ACTION] "), c).alias("document")) for k, d in damaged.items()]
+    return calls.select(*calls.columns, F.explode(F.array(*rows)).alias("r")).select(*calls.columns, "r.*")

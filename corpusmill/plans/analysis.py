@@ -226,6 +226,9 @@ def semantic_dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.greedy_representatives(vectors(spark, sf_dir), 0.35).select(F.col("node").alias("vec_id"), "kept")
 
 
-@query()
+_COUNTS = "SELECT '{0}' AS dim, string_agg('{{\"value\":\"' || v || '\",\"n\":' || n || '}}', ',' ORDER BY v) AS counts FROM (SELECT coalesce({0}, '') AS v, count(*) AS n FROM documents GROUP BY 1)"
+
+
+@query(f"""SELECT '[' || string_agg('{{"dim":"' || dim || '","counts":[' || counts || ']}}', ',' ORDER BY dim) || ']' AS report FROM ({_COUNTS.format("lang")} UNION ALL {_COUNTS.format("source")})""")
 def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_report(table(spark, sf_dir, "documents"), ["lang", "source"])

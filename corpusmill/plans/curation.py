@@ -168,13 +168,12 @@ def packed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.packed(tokens.word_lengths(table(spark, sf_dir, "documents")), 8, 128, -1, 8)
 
 
-@query()
+@query("""SELECT event_id, event_type IN ('click', 'view') AS valid, CASE WHEN event_type <> 'error' THEN event_type END AS function, CASE event_type WHEN 'error' THEN 'function' WHEN 'signup' THEN 'required' WHEN 'purchase' THEN 'type' ELSE 'ok' END AS reason, CASE WHEN event_id % 3 = 0 THEN 'braces' ELSE '' END AS repairs FROM events""")
 def toolcall_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts on calls built from events, every third of them damaged."""
-    damaged = F.when(F.col("event_id") % 3 == 0, F.regexp_replace("call", "\\}\\}$", "")).otherwise(F.col("call"))
-    calls = table(spark, sf_dir, "events").select("event_id", F.format_string('{"function": "%s", "args": {"user": "%d"}}', "event_type", "user_id").alias("call"))
-    verdict = S.verify_calls({t: (["user"], []) for t in ("signup", "click", "view", "purchase")})
-    return calls.select("event_id", verdict(damaged).alias("v")).select("event_id", "v.*")
+    """Verdicts on each event's call by a table of functions, every third call without its last brace."""
+    call = F.concat(F.lit('{"function": "'), "event_type", F.lit('", "args": '), "props", F.when(F.col("event_id") % 3 == 0, "").otherwise("}"))
+    verdict = S.verify_calls({"click": ({"k": "integer"}, {}), "view": ({}, {"k": "number"}), "purchase": ({"k": "text"}, {}), "signup": ({"k": "number", "plan": "text"}, {})})
+    return table(spark, sf_dir, "events").select("event_id", verdict(call).alias("v")).select("event_id", "v.*")
 
 
 @query("""SELECT doc_id, regexp_matches(text, '  ') AS double_space, regexp_matches(text, '\\s[,.;:]') AS space_before, regexp_matches(text, '(?i)\\b(the the|a a|an an)\\b') AS doubled_article, regexp_matches(text, '(?i)\\ba [aeiou]') AS a_vowel, length(text) - length(replace(text, '(', '')) <> length(text) - length(replace(text, ')', '')) AS unbalanced FROM documents""")

@@ -43,7 +43,15 @@ def vocabulary_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("left_term", "right_term").agg(F.count("*").alias("docs"))
 
 
-@query()
+_RING = "SELECT x.doc_id, x.level, x.ctx, x.ok, y.ok AS bad FROM {0} x JOIN {0} y ON {1} AND y.r = (x.r + 1) % x.n WHERE x.n > 1"
+
+
+@query(f"""WITH w AS (SELECT doc_id, source, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents), p AS (SELECT doc_id, source, w, len(w) // 3 AS n FROM w WHERE len(w) >= 12),
+c AS (SELECT doc_id, source, w[1:n] AS ctx, w[n + 1:2 * n] AS ok, w[2 * n + 1:3 * n] AS later FROM p), a AS (SELECT 'L0' AS level, *, row_number() OVER (ORDER BY md5(doc_id || ':1'), doc_id) - 1 AS r, count(*) OVER () AS n FROM c),
+b AS (SELECT 'L1' AS level, *, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || ':1'), doc_id) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM c),
+l AS ({_RING.format("a", "true")} UNION ALL {_RING.format("b", "y.source IS NOT DISTINCT FROM x.source")} UNION ALL SELECT doc_id, 'L2', ctx, ok, later FROM c),
+j AS (SELECT level, len(list_intersect(list_distinct(ctx), list_distinct(ok))) / greatest(1, len(list_distinct(ctx || ok))) AS o, len(list_intersect(list_distinct(ctx), list_distinct(bad))) / greatest(1, len(list_distinct(ctx || bad))) AS d FROM l)
+SELECT level, count(*) AS pairs, round(avg(o), 6) AS to_ok, round(avg(d), 6) AS to_bad, round(avg(o - d), 6) AS margin FROM j GROUP BY level""")
 def pair_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.overlap(pairs.levels(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
 
@@ -113,10 +121,16 @@ def contrast_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synth.contrasts(rows)
 
 
-@query()
+_CALL = "'{\"function\": \"' || event_type || '\", \"args\": ' || props || '}'"
+_DAMAGED = {"brace": "regexp_replace(call, '\\}$', '')", "quote": "regexp_replace(call, '\"([a-z_]+)\":', '\\1:', 'g')", "comma": "replace(call, ', ', ' ')", "name": "regexp_replace(call, '(\"function\": \"\\w+)\\w\"', '\\1\"', 'g')", "escape": "replace(call, '\"', '\\\"')"}
+
+
+@query(f"""WITH c AS (SELECT event_id, event_type, {_CALL} AS call FROM events) SELECT event_id, 'generation' AS kind, '[USER] Log a ' || event_type || chr(10) || '[ACTION] ' || call AS document FROM c
+{" ".join(f"UNION ALL SELECT event_id, '{k}', '[BROKEN] ' || {d} || chr(10) || '[ACTION] ' || call FROM c" for k, d in _DAMAGED.items())}""")
 def call_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = table(spark, sf_dir, "events").select("event_id", F.format_string('{"function": "%s", "args": {"user": "%d", "value": "%.1f"}}', "event_type", "user_id", "value").alias("call"))
-    return synth.repairs(calls).groupBy("kind").agg(F.count("*").alias("n"), F.sum((F.col("damaged") != F.col("call")).cast("long")).alias("changed"))
+    """Training documents on each event's call: one to generate it, five to repair it."""
+    calls = table(spark, sf_dir, "events").select("event_id", "event_type", F.concat(F.lit('{"function": "'), "event_type", F.lit('", "args": '), "props", F.lit("}")).alias("call"))
+    return synth.repairs(calls, F.concat(F.lit("Log a "), "event_type")).select("event_id", "kind", "document")
 
 
 @query()

@@ -176,7 +176,7 @@ def test_content_hash_decomposes(spark):
 
 
 def test_tool_calls(spark):
-    verdict = S.verify_calls({"find_species": (["name"], ["region"])})
+    verdict = S.verify_calls({"find_species": ({"name": "text"}, {"region": "text"})})
     calls = ['{"function": "find_species", "args": {"name": "x"}}', 'say {"function": "find_specie", "args": {"name": "x"}', '{"function": "find_species", "args": {}}', "nothing", '{"function": "find_species", "args": {"name": "x", "odd": 1}}']
     df = spark.createDataFrame([(i, c) for i, c in enumerate(calls)], "i int, c string").select("i", verdict("c").alias("v")).orderBy("i")
     assert [r.v.reason for r in df.collect()] == ["ok", "ok", "required", "parse", "unknown key"]
