@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -57,6 +58,52 @@ def mutate(text: str, table: dict[str, str]) -> tuple[str | None, str]:
     return None, "none"
 
 
+#: The same words by what they say; `mutated_words` tries the tables in this order.
+TABLES = {
+    "direction": [("increase", "decrease"), ("increased", "decreased"), ("higher", "lower"), ("more", "less"), ("above", "below"), ("positive", "negative")],
+    "mechanism": [("activate", "inhibit"), ("promote", "suppress")],
+    "environment": [("warm", "cold"), ("dry", "wet")],
+    "causal": [("cause", "prevent"), ("because", "although")],
+    "temporal": [("before", "after"), ("always", "never")],
+}
+PUNCTUATION = "[.,;:!?()\"]"
+
+
+def mutated_words(words: Column, tables: Mapping[str, Sequence[tuple[str, str]]] = TABLES, auxiliaries: Sequence[str] = AUXILIARIES) -> Column:
+    """struct(kind, place, old, new) of the first mutation of a list of words that applies, or null.
+
+    Kinds come in this order: each table (its earliest word gives way to its partner, either way round, a capital
+    stays), "number" (the first whole number is tripled), "digits" (the first number of at least twenty digits becomes
+    the next one of the same length), and "negation" (not behind the first auxiliary).  Punctuation around a word stays.
+    """
+    core = lambda w: F.regexp_replace(w, f"^{PUNCTUATION}+|{PUNCTUATION}+$", "")
+
+    def first(kind: str, applies, make) -> Column:
+        found = F.transform(words, lambda w, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), core(w).alias("old"), make(core(w)).alias("new")))
+        return F.get(F.filter(found, lambda f: applies(f["old"])), 0)
+
+    def swapped(pairs: Sequence[tuple[str, str]]):
+        table = F.create_map(*[F.lit(x) for a, b in swap_table(pairs).items() for x in (a, b)])
+
+        def make(old: Column) -> Column:
+            new = F.element_at(table, F.lower(old))
+            return F.when(old.rlike("^[A-Z]"), F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, F.lit(2), F.length(new)))).otherwise(new)
+
+        return (lambda old: F.map_contains_key(table, F.lower(old))), make
+
+    tripled = lambda old: (old.try_cast("decimal(20,0)") * 3).cast("string")
+    following = lambda old: F.concat(F.substring(old, F.lit(1), F.length(old) - 1), ((F.right(old, F.lit(1)).try_cast("int") + 1) % 10).cast("string"))
+    tries = [first(kind, *swapped(pairs)) for kind, pairs in tables.items()]
+    tries += [first("number", lambda old: old.rlike("^[0-9]{1,19}$"), tripled), first("digits", lambda old: old.rlike("^[0-9]{20,}$"), following)]
+    tries += [first("negation", lambda old: F.lower(old).isin(*auxiliaries), lambda old: F.concat(old, F.lit(" not")))]
+    return F.coalesce(*tries)
+
+
+def with_mutation(words: Column, mutation: Column) -> Column:
+    """The words with the mutation made; null if there is none."""
+    return F.when(mutation.isNotNull(), F.transform(words, lambda w, i: F.when(i == mutation["place"], F.replace(w, mutation["old"], mutation["new"])).otherwise(w)))
+
+
 def repair_articles(text: Column) -> Column:
     """a before a vowel letter becomes an, and back; by letters, not sounds."""
     text = F.regexp_replace(text, "\\b([Aa]) (?=[aeiouAEIOU])", "$1n ")
@@ -79,16 +126,19 @@ def mates(docs: DataFrame, by: list[str], seed: int) -> DataFrame:
     return ring(docs.select("doc_id", *by), by, [draw(F.col("doc_id"), seed), F.col("doc_id")], "doc_id", "mate").where("doc_id <> mate")
 
 
-def levels(docs: DataFrame, parts: int = 3, seed: int = 1) -> DataFrame:
+def levels(docs: DataFrame, parts: int = 3, seed: int = 1, tables: Mapping[str, Sequence[tuple[str, str]]] = TABLES) -> DataFrame:
     """(doc_id, level, ctx, ok, bad) from documents (doc_id, source, text): the words of a text in `parts`; the second follows the first.
 
-    The false continuation is that of any document (L0), of one of the same source (L1), or a later part of the same text (L2).
+    The false continuation is that of any document (L0), of one of the same source (L1), a later part of the same text (L2),
+    or the true one with one mutation (L3, where one applies).
     """
     words = docs.select("doc_id", "source", word_list(F.col("text")).alias("w")).where(F.size("w") >= 4 * parts)
     n = F.floor(F.size("w") / parts).cast("int")
     cut = words.select("doc_id", "source", *[F.slice("w", (n * i + 1).cast("int"), n).alias(name) for i, name in enumerate(("ctx", "ok", "later"))])
     base, other = cut.select("doc_id", "ctx", "ok", "later"), cut.select(F.col("doc_id").alias("mate"), F.col("ok").alias("bad"))
     out = base.select("doc_id", F.lit("L2").alias("level"), "ctx", "ok", F.col("later").alias("bad"))
+    payload = base.withColumn("m", mutated_words(F.col("ok"), tables)).where("m is not null")
+    out = out.unionByName(payload.select("doc_id", F.lit("L3").alias("level"), "ctx", "ok", with_mutation(F.col("ok"), F.col("m")).alias("bad")))
     for level, by in (("L0", []), ("L1", ["source"])):
         pairs = mates(cut, by, seed).join(other, "mate").select("doc_id", F.lit(level).alias("level"), "bad")
         out = out.unionByName(pairs.join(base.drop("later"), "doc_id").select("doc_id", "level", "ctx", "ok", "bad"))

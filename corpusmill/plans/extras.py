@@ -43,23 +43,54 @@ def vocabulary_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("left_term", "right_term").agg(F.count("*").alias("docs"))
 
 
+#: Words of the invented prose that give way to each other.
+_PROSE = {"direction": [("from", "to"), ("with", "for")], "temporal": [("this", "that"), ("was", "are")], "environment": [("und", "der"), ("les", "la")]}
+
+
+def _mutation_sql(words: str) -> str:
+    """The first mutation of a list of words, as a struct of kind, place, old and new."""
+    core = f"regexp_replace(w, '^{pairs.PUNCTUATION}+|{pairs.PUNCTUATION}+$', '', 'g')"
+    every = f"list_transform({words}, lambda w, i: {{'i': i - 1, 'old': {core}}})"
+
+    def first(kind: str, applies: str, new: str) -> str:
+        return f"list_transform(list_filter({every}, lambda f: {applies})[1:1], lambda f: {{'kind': '{kind}', 'place': f.i, 'old': f.old, 'new': {new}}})[1]"
+
+    tries = []
+    for kind, some in _PROSE.items():
+        table = pairs.swap_table(some)
+        new = "CASE lower(f.old) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in table.items()) + " END"
+        tries.append(first(kind, f"lower(f.old) IN ({', '.join(f"'{a}'" for a in table)})", f"CASE WHEN regexp_matches(f.old, '^[A-Z]') THEN upper(left({new}, 1)) || substr({new}, 2) ELSE {new} END"))
+    tries.append(first("number", "regexp_matches(f.old, '^[0-9]{1,19}$')", "(f.old::decimal(20,0)::hugeint * 3)::varchar"))
+    tries.append(first("digits", "regexp_matches(f.old, '^[0-9]{20,}$')", "left(f.old, -1) || ((right(f.old, 1)::int + 1) % 10)"))
+    tries.append(first("negation", f"lower(f.old) IN {pairs.AUXILIARIES}", "f.old || ' not'"))
+    return f"coalesce({', '.join(tries)})"
+
+
+_WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
+_MADE = "list_transform({0}, lambda w, i: CASE WHEN i - 1 = m.place THEN replace(w, m.old, m.new) ELSE w END)"
+
+
 _RING = "SELECT x.doc_id, x.level, x.ctx, x.ok, y.ok AS bad FROM {0} x JOIN {0} y ON {1} AND y.r = (x.r + 1) % x.n WHERE x.n > 1"
 
 
 @query(f"""WITH w AS (SELECT doc_id, source, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents), p AS (SELECT doc_id, source, w, len(w) // 3 AS n FROM w WHERE len(w) >= 12),
 c AS (SELECT doc_id, source, w[1:n] AS ctx, w[n + 1:2 * n] AS ok, w[2 * n + 1:3 * n] AS later FROM p), a AS (SELECT 'L0' AS level, *, row_number() OVER (ORDER BY md5(doc_id || ':1'), doc_id) - 1 AS r, count(*) OVER () AS n FROM c),
 b AS (SELECT 'L1' AS level, *, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || ':1'), doc_id) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM c),
-l AS ({_RING.format("a", "true")} UNION ALL {_RING.format("b", "y.source IS NOT DISTINCT FROM x.source")} UNION ALL SELECT doc_id, 'L2', ctx, ok, later FROM c),
+l AS ({_RING.format("a", "true")} UNION ALL {_RING.format("b", "y.source IS NOT DISTINCT FROM x.source")} UNION ALL SELECT doc_id, 'L2', ctx, ok, later FROM c
+UNION ALL SELECT doc_id, 'L3', ctx, ok, {_MADE.format("ok")} FROM (SELECT *, {_mutation_sql("ok")} AS m FROM c) WHERE m IS NOT NULL),
 j AS (SELECT level, len(list_intersect(list_distinct(ctx), list_distinct(ok))) / greatest(1, len(list_distinct(ctx || ok))) AS o, len(list_intersect(list_distinct(ctx), list_distinct(bad))) / greatest(1, len(list_distinct(ctx || bad))) AS d FROM l)
 SELECT level, count(*) AS pairs, round(avg(o), 6) AS to_ok, round(avg(d), 6) AS to_bad, round(avg(o - d), 6) AS margin FROM j GROUP BY level""")
 def pair_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.overlap(pairs.levels(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+    return pairs.overlap(pairs.levels(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), tables=_PROSE))
 
 
-@query()
+@query(f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), x AS (SELECT doc_id, w, {_mutation_sql("w")} AS m FROM d)
+SELECT doc_id, m.kind AS kind, m.place::int AS place, m.old AS old, m.new AS new, md5(array_to_string({_MADE.format("w")}, ' ')) AS mutated_md5 FROM x WHERE m IS NOT NULL""")
 def swap_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("The count was higher before. "), "text").alias("text"))
-    return pairs.mutations(rows, "text").select("item_id", "kind", "mutated")
+    """Each document with its first mutation that applies, by tables of words of the prose, numbers and negation."""
+    words = table(spark, sf_dir, "documents").select("doc_id", T.word_list(F.col("text")).alias("w"))
+    rows = words.withColumn("m", pairs.mutated_words(F.col("w"), _PROSE)).where("m is not null")
+    return rows.select("doc_id", "m.kind", "m.place", "m.old", "m.new", F.md5(F.array_join(pairs.with_mutation(F.col("w"), F.col("m")), " ")).alias("mutated_md5"))
 
 
 _ARITH = "SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity::bigint + 1 AS a, l_partkey % 97 + 3 AS b FROM lineitem"

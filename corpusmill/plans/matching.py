@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import brackets, taxonomy
-from ..functions import text as T
 from ..operators import curves, holdout, matching, neighbours, rebinding
 from ..sources.io import table
 from .analysis import vectors

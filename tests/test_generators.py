@@ -19,6 +19,17 @@ def test_number_and_negation():
     assert pairs.mutate("plain words", {"x": "y"}) == (None, "none")
 
 
+def test_mutated_words(spark):
+    texts = ["It was Higher, then lower", "no word but 12 here and is", "call (4994226020900891123456), now", "it is here", "nothing", "", None, "It was warm because of x", "Decreased; more"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.split("t", " ").alias("w"))
+    m = pairs.mutated_words(F.col("w"))
+    got = {r.i: (r.m and (r.m.kind, r.m.place, r.m.old, r.m.new), r.done and " ".join(r.done)) for r in df.select("i", m.alias("m"), pairs.with_mutation(F.col("w"), m).alias("done")).collect()}
+    assert got == {
+        0: (("direction", 2, "Higher", "Lower"), "It was Lower, then lower"), 1: (("number", 3, "12", "36"), "no word but 36 here and is"), 2: (("digits", 1, "4994226020900891123456", "4994226020900891123457"), "call (4994226020900891123457), now"),
+        3: (("negation", 1, "is", "is not"), "it is not here"), 4: (None, None), 5: (None, None), 6: (None, None), 7: (("environment", 2, "warm", "cold"), "It was cold because of x"), 8: (("direction", 0, "Decreased", "Increased"), "Increased; more"),
+    }
+
+
 def test_articles(spark):
     df = spark.createDataFrame([("a apple and an pear",)], "t string")
     assert df.select(pairs.repair_articles(F.col("t"))).first()[0] == "an apple and a pear"
@@ -29,6 +40,8 @@ def test_levels(spark):
     out = pairs.levels(spark.createDataFrame(rows, "doc_id long, source string, text string"))
     assert {r.level: r.n for r in out.groupBy("level").agg(F.count("*").alias("n")).collect()}["L2"] == 200
     assert out.where("ok = bad").count() == 0
+    told = spark.createDataFrame([(1, "s", "one two three four it is five six seven eight nine ten")], "doc_id long, source string, text string")
+    assert [tuple(r) for r in pairs.levels(told).where("level = 'L3'").select("ok", "bad").collect()] == [(["it", "is", "five", "six"], ["it", "is not", "five", "six"])]
     l1 = out.where("level = 'L1'").select("doc_id", F.regexp_extract(F.get("bad", F.lit(0)), "w(\\d+)_", 1).cast("long").alias("mate")).collect()
     assert len(l1) == 200 and all(r.doc_id != r.mate and r.doc_id % 2 == r.mate % 2 for r in l1)
 
