@@ -19,6 +19,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows compared with all lists, or with the whole sample, at once.
+RUN = 512
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
@@ -32,6 +36,15 @@ def _best(sims: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(-np.round(sims, 12), axis=1, kind="stable")[:, :k]
 
 
+def _runs(m: np.ndarray) -> list[np.ndarray]:
+    """Rows in runs of bounded size, so that their similarities to all lists are too."""
+    return [m[i : i + RUN] for i in range(0, len(m), RUN)]
+
+
+def _nearest(m: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.argmax(some @ centroids.T, axis=1) for some in _runs(m)])
+
+
 @dataclass
 class Lists:
     """Unit centroids, and how many lists a query visits."""
@@ -40,10 +53,10 @@ class Lists:
     probes: int
 
     def assign(self, vectors: np.ndarray) -> np.ndarray:
-        return np.argmax(vectors @ self.centroids.T, axis=1)
+        return _nearest(vectors, self.centroids)
 
     def visit(self, vectors: np.ndarray) -> np.ndarray:
-        return _best(vectors @ self.centroids.T, self.probes)
+        return np.concatenate([_best(some @ self.centroids.T, self.probes) for some in _runs(vectors)])
 
 
 def fit_lists(vectors: DataFrame, k: int, *, lists: int | None = None, sample_rows: int = 32_768, rounds: int = 8, recall: float = 0.95, seed: int = 5) -> Lists | None:
@@ -59,15 +72,19 @@ def fit_lists(vectors: DataFrame, k: int, *, lists: int | None = None, sample_ro
     lists = max(1, min(lists or round(n**0.5), len(m) // 8 or 1))
     centroids = m[:lists].copy()
     for _ in range(rounds):
-        own = np.argmax(m @ centroids.T, axis=1)
+        own = _nearest(m, centroids)
         order = np.argsort(own, kind="stable")
         some, first = np.unique(own[order], return_index=True)
         centroids[some] = _unit(np.add.reduceat(m[order], first))
     found = Lists(centroids, lists)
-    asked = m[:512]
-    sims = asked @ m.T
-    sims[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
-    true = _best(sims, min(k, len(m) - 1)) if len(m) > 1 else np.zeros((1, 0), int)
+    asked, most = m[:512], min(k, len(m) - 1)
+
+    def truth(start: int) -> np.ndarray:
+        sims = asked[start : start + 64] @ m.T
+        sims[np.arange(len(sims)), start + np.arange(len(sims))] = -np.inf
+        return _best(sims, most)
+
+    true = np.concatenate([truth(i) for i in range(0, len(asked), 64)])
     if true.size:
         place = np.argsort(found.visit(asked), axis=1)  # of each list in a query's order
         seen = np.sort(np.take_along_axis(place, found.assign(m)[true], 1).ravel())
