@@ -519,7 +519,7 @@ def test_components(spark, block):
     assert {got[i] for i in range(1, 41)} == {1} and got[300] == 100 and got[549] == 500 and len(got) == 40 + 3 + 50
 
 
-@pytest.mark.parametrize("name", sorted(Q.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - {"op11_prefix_trie", "op12_vector_codes"}))
 def test_query_gives_each_document_once(spark, sf_dir, docs, name):
     out = Q.QUERIES[name](spark, sf_dir)
     want = docs.where("doc_id % 20 = 0").count() if name == "op3_chroma" else docs.count()

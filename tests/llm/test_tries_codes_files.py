@@ -6,9 +6,11 @@ import random
 import zlib
 
 import numpy as np
+import oracle
 import public_tokenizers
 import pytest
 from corpusmill.llm import prefix_trie as P
+from corpusmill.llm import queries as Q
 from corpusmill.llm.common import shared_folder
 from corpusmill.llm.token_files import WordEncoder, file_documents, token_counts_in, token_places, write_token_files
 from corpusmill.llm.vector_codes import codebooks_text, nearest, neighbours, vector_codes
@@ -73,6 +75,11 @@ def test_prefix_trie_repeats_ties_and_nothing(spark):
     assert got == brute_trie(gone) and got[0][7] != hashlib.sha256(b"").hexdigest()  # some are rebuilt without turns and end at the root
 
 
+@pytest.mark.parametrize("name", ["op11_prefix_trie", "op12_vector_codes"])
+def test_query_equals_its_sql(spark, sf_dir, name):
+    assert oracle.difference(spark, oracle.connect(sf_dir), Q.QUERIES[name], Q.ORACLE_SQL[name], sf_dir) == ""
+
+
 def brute_codes(rows, parts=4, entries=256, rounds=4):
     fine = [(i, label, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, label, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     fine.sort(key=lambda r: r[0])
