@@ -23,6 +23,9 @@ SPANISH, ENGLISH = (" el ", " la ", " de ", " que ", " los "), (" the ", " of ",
 #: Ids that mean there is none, fixed values.
 NO_ID = ("none", "null", "0", "")
 
+#: Where an ASCII word begins and ends. Java's \\b also counts letters beyond ASCII as parts of words, RE2's does not.
+WORD_START, WORD_END = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
+
 ACCENTS = ("áàâäãåéèêëíìîïóòôöõúùûüñç", "aaaaaaeeeeiiiiooooouuuunc")
 
 

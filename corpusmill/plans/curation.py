@@ -178,5 +178,4 @@ def toolcall_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT doc_id, regexp_matches(text, '  ') AS double_space, regexp_matches(text, '\\s[,.;:]') AS space_before, regexp_matches(text, '(?i)\\b(the the|a a|an an)\\b') AS doubled_article, regexp_matches(text, '(?i)\\ba [aeiou]') AS a_vowel, length(text) - length(replace(text, '(', '')) <> length(text) - length(replace(text, ')', '')) AS unbalanced FROM documents""")
 def fluency_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", t.rlike("  ").alias("double_space"), t.rlike("\\s[,.;:]").alias("space_before"), t.rlike("(?i)\\b(the the|a a|an an)\\b").alias("doubled_article"), t.rlike("(?i)\\ba [aeiou]").alias("a_vowel"), (T.occurrences(t, "(") != T.occurrences(t, ")")).alias("unbalanced"))
+    return S.fluency(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
