@@ -1,7 +1,7 @@
 """Exact nearest neighbours of vectors, in blocks.
 
 Both sides are dealt into blocks by the hash of their id; each pair of blocks is
-one task, which multiplies two bounded matrices and keeps the best k of each
+one task, which multiplies tiles of two bounded matrices and keeps the best k of each
 row.  Work is quadratic, as exact search is; no task holds more than two blocks,
 and a thousand-fold table needs more tasks, not larger ones.
 """
@@ -25,29 +25,103 @@ def _dealt(df: DataFrame, blocks: int, others: int, side: str, mine: str, other:
     return out.withColumn(f"{side}_{mine}", F.pmod(F.xxhash64(f"{side}_id"), F.lit(blocks))).withColumn(f"{side}_{other}", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
 
 
-def top_k(left: DataFrame, right: DataFrame, k: int, *, least: float | None = None, block_rows: int = 4096, unit: bool = True) -> DataFrame:
+#: Rows of a block that one task multiplies, and rows and columns of the tiles that it works on.
+BLOCK, TILE = 32768, (512, 2048)
+
+
+def _blocks(n: int, most: int) -> int:
+    """Blocks of `most` rows at most; eight of them where that leaves a thousand rows to each, so that small tables make enough tasks."""
+    return max(1, -(-n // most), min(8, n // 1024))
+
+
+def _copies(vectors: np.ndarray, k: int) -> np.ndarray:
+    """Which rows are among the first k of their equals; no later one can be among the k best of anything."""
+    key = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.itemsize * vectors.shape[1]))).ravel()
+    order = np.argsort(key, kind="stable")
+    sorted_ = key[order]
+    new = np.concatenate(([True], sorted_[1:] != sorted_[:-1]))
+    place = np.arange(len(key)) - np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    keep = np.zeros(len(key), bool)
+    keep[order[place < k]] = True
+    return keep
+
+
+def _merged(best: tuple, rows: np.ndarray, sims: np.ndarray, ids: np.ndarray, k: int) -> None:
+    """The best k of each row brought up to date with new (row, sim, id)."""
+    values, known = best
+    touched, at = np.unique(rows, return_inverse=True)
+    r = np.concatenate((at, np.repeat(np.arange(len(touched)), k)))
+    s, i = np.concatenate((sims, values[touched].ravel())), np.concatenate((ids, known[touched].ravel()))
+    order = np.lexsort((i, -np.round(s, 12), r))
+    r, s, i = r[order], s[order], i[order]
+    place = np.arange(len(r)) - np.searchsorted(r, r)
+    first = place < k
+    values[touched[r[first]], place[first]], known[touched[r[first]], place[first]] = s[first], i[first]
+
+
+def _nearest(m: np.ndarray, ids: np.ndarray, n: np.ndarray, others: np.ndarray, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """(similarities, ids), k columns each: the best k rows of `n` (ids ascending) for each row of `m`, in double precision; -inf where there are fewer.
+
+    Tiles are multiplied in single precision, whose error is bounded; only what may be among the best is multiplied again in double.
+    """
+    values, known = np.full((len(m), k), -np.inf), np.full((len(m), k), np.iinfo(np.int64).max)
+    lengths = np.linalg.norm(m, axis=1)
+    lengths[lengths == 0] = 1.0
+    largest = max(np.linalg.norm(n, axis=1).max(initial=0.0), 1e-300)
+    small, others32 = (m / lengths[:, None]).astype(np.float32), (n / largest).astype(np.float32)
+    margin = 2 * (m.shape[1] + 8) * float(np.finfo(np.float32).eps)
+    scale = lengths * largest
+    floor = -np.inf if least is None else least
+    high, wide = TILE
+    for i in range(0, len(m), high):
+        mine = slice(i, i + high)
+        best = values[mine], known[mine]
+        part, own = small[mine], ids[mine]
+        for j in range(0, len(n), wide):
+            sims = part @ others32[j : j + wide].T
+            # Below the bound, even with the error of both, nothing is among the best.
+            bound = np.maximum(best[0][:, k - 1], floor) / scale[mine] - margin
+            if not np.isfinite(bound).all() and sims.shape[1] > k + 1:
+                # The k best of the tile and the row itself come before anything under this.
+                bound = np.maximum(bound, np.partition(sims, sims.shape[1] - k - 1, axis=1)[:, sims.shape[1] - k - 1] - margin)
+            bound = np.where(np.isnan(bound), -np.inf, bound).astype(np.float32)
+            flat = np.flatnonzero(sims >= bound[:, None])
+            r, c = flat // sims.shape[1], flat % sims.shape[1] + j
+            other = own[r] != others[c]
+            r, c = r[other], c[other]
+            if len(r):
+                exact = np.concatenate([np.einsum("ij,ij->i", m[i + r[x : x + 65536]], n[c[x : x + 65536]]) for x in range(0, len(r), 65536)])
+                fine = np.isfinite(exact) & (exact >= floor)
+                if fine.any():
+                    _merged(best, r[fine], exact[fine], others[c[fine]], k)
+    return values, known
+
+
+def top_k(left: DataFrame, right: DataFrame, k: int, *, least: float | None = None, block_rows: int = BLOCK, unit: bool = True) -> DataFrame:
     """(src, dst, sim, rank): for each row of `left` (id, vec) its k best of `right`, never itself.
 
     Similarity is the dot product in double precision (the cosine of unit vectors;
     `unit` scales them); ties go to the smaller id.  With `least`, only similarities of that at least.
     """
-    nl, nr = (max(1, -(-side.count() // block_rows)) for side in (left, right))
+    nl, nr = (_blocks(side.count(), block_rows) for side in (left, right))
     a = _dealt(left, nl, nr, "l", "x", "y")
     b = _dealt(right, nr, nl, "r", "y", "x")
 
     def best(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out = {"src": [], "dst": [], "sim": []}
         if len(p) and len(q):
-            q = q.sort_values("r_id")
+            ids, dst = p["l_id"].to_numpy(), q["r_id"].to_numpy()
             m, n = (np.stack([np.asarray(v, np.float64) for v in s]) for s in (p["l_vec"], q["r_vec"]))
+            order = np.argsort(dst, kind="stable")
+            n, dst = n[order], dst[order]
+            kept = _copies(n, k + 1)
+            n, dst = n[kept], dst[kept]
             if unit:
                 m, n = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in (m, n))
-            sims, ids, dst = m @ n.T, p["l_id"].to_numpy(), q["r_id"].to_numpy()
-            sims[ids[:, None] == dst[None]] = -np.inf
-            order = np.argsort(-np.round(sims, 12), axis=1, kind="stable")[:, :k]
-            found = np.take_along_axis(sims, order, 1)
-            fine = np.isfinite(found) & (found >= (least if least is not None else -np.inf))
-            out = {"src": np.repeat(ids, order.shape[1])[fine.ravel()], "dst": dst[order][fine], "sim": found[fine]}
+            (m, ids), (n, dst) = ((v[ok], i[ok]) for v, i in ((m, ids), (n, dst)) for ok in [np.isfinite(v).all(1)])
+            sims, found = _nearest(m, ids, n, dst, k, least)
+            fine = np.isfinite(sims)
+            out = {"src": np.repeat(ids, k)[fine.ravel()], "dst": found[fine], "sim": sims[fine]}
         return pd.DataFrame(out).astype({"src": "int64", "dst": "int64", "sim": "float64"})
 
     pairs = a.groupBy("l_x", "l_y").cogroup(b.groupBy("r_x", "r_y")).applyInPandas(best, "src long, dst long, sim double")
