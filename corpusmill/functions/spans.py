@@ -51,11 +51,15 @@ def literal_span(answer: str, passage: str, least_words: int = 3) -> str | None:
     if answer and answer in passage:
         return answer
     words = answer.split()
-    for n in range(len(words) - 1, least_words - 1, -1):
-        for i in range(len(words) - n + 1):
-            if (span := " ".join(words[i : i + n])) in passage:
-                return span
-    return None
+    # What is inside a run that the passage has, it has too: the end of the longest run from a word never lies before that of the word before.
+    best, end = (0, 0), 0
+    for start in range(len(words)):
+        end = max(end, start)
+        while end < min(len(words), start + len(words) - 1) and " ".join(words[start : end + 1]) in passage:
+            end += 1
+        best = max(best, (end - start, -start))
+    n, start = best[0], -best[1]
+    return " ".join(words[start : start + n]) if n >= least_words else None
 
 
 def is_code(text: str) -> bool:
