@@ -154,12 +154,24 @@ def decomposed(text: Column) -> Column:
     return run(text)
 
 
+#: Runs of characters beyond ASCII. What is ASCII decomposes to itself, and no mark moves across it.
+BEYOND_ASCII = "[^\\x00-\\x7F]+"
+
+
+def decomposed_runs(text: Column) -> Column:
+    """As `decomposed`; only the runs beyond ASCII of a text go to Python, not the text."""
+    some = F.when(text.rlike(BEYOND_ASCII), text)
+    runs = F.array_join(F.regexp_extract_all(some, F.lit(BEYOND_ASCII), F.lit(0)), "\n")
+    new = F.split(decomposed(runs), "\n", -1)
+    joined = F.array_join(F.zip_with(F.split(some, BEYOND_ASCII, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.coalesce(joined, text)
+
+
 def content_hash(text: Column, limit: int | None = None) -> Column:
     """First 20 hex digits of the SHA-1 of the decomposed text (or its first `limit` characters), lower-cased, white space collapsed.
 
-    ASCII decomposes to itself, and its hash comes from built-in functions alone: rows of other texts only go to Python."""
-    plain = F.when(text.rlike("[^\\x00-\\x7F]"), decomposed(F.when(text.rlike("[^\\x00-\\x7F]"), text))).otherwise(text)
-    plain = normal_space(F.lower(plain))
+    ASCII decomposes to itself, and its hash comes from built-in functions alone: only runs of other characters go to Python."""
+    plain = normal_space(F.lower(decomposed_runs(text)))
     return F.substring(F.sha1(plain if limit is None else F.substring(plain, 1, limit)), 1, 20)
 
 
@@ -171,7 +183,9 @@ def present(value: Column) -> Column:
 
 def canonical_key(pmcid: Column, pmid: Column, arxiv: Column, doi: Column, text: Column) -> Column:
     ids = [F.concat(F.lit(f"{kind}:"), present(value)) for kind, value in (("pmc", pmcid), ("pmid", pmid), ("arxiv", arxiv), ("doi", doi))]
-    return F.coalesce(*ids, F.concat(F.lit("h:"), content_hash(F.coalesce(text, F.lit("")))))
+    known = F.coalesce(*ids)
+    # Texts of rows with an id are not looked at, by Python neither.
+    return F.coalesce(known, F.concat(F.lit("h:"), content_hash(F.when(known.isNull(), F.coalesce(text, F.lit(""))))))
 
 
 def dedup_key(pmcid: Column, pmid: Column) -> Column:
