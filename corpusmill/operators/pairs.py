@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -66,7 +67,13 @@ TABLES = {
     "causal": [("cause", "prevent"), ("because", "although")],
     "temporal": [("before", "after"), ("always", "never")],
 }
-PUNCTUATION = "[.,;:!?()\"]"
+MARKS = ".,;:!?()\""
+PUNCTUATION = f"[{MARKS}]"
+
+
+def _case(branches) -> Column:
+    """The value of the first condition that holds."""
+    return reduce(lambda c, b: (F if c is None else c).when(*b), branches, None)
 
 
 def mutated_words(words: Column, tables: Mapping[str, Sequence[tuple[str, str]]] = TABLES, auxiliaries: Sequence[str] = AUXILIARIES) -> Column:
@@ -76,27 +83,40 @@ def mutated_words(words: Column, tables: Mapping[str, Sequence[tuple[str, str]]]
     stays), "number" (the first whole number is tripled), "digits" (the first number of at least twenty digits becomes
     the next one of the same length), and "negation" (not behind the first auxiliary).  Punctuation around a word stays.
     """
-    core = lambda w: F.regexp_replace(w, f"^{PUNCTUATION}+|{PUNCTUATION}+$", "")
+    core = lambda w: F.btrim(w, F.lit(MARKS))
+    kinds = [(kind, swap_table(some)) for kind, some in tables.items()]
+    number, digits, negation = range(len(kinds), len(kinds) + 3)
+
+    def place_of_kind(old: Column) -> Column:
+        """The place of the first kind that applies to a word: a word's later kinds never count, as its first comes before."""
+        low = F.lower(old)
+        whole = F.when(F.length(old) < 20, number).otherwise(digits)
+        return _case([*((low.isin(*table), i) for i, (_, table) in enumerate(kinds)), (old.rlike("^[0-9]+\\z"), whole), (low.isin(*auxiliaries), negation)])
+
+    def swapped(old: Column, table: dict[str, str]) -> Column:
+        new = F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), F.lower(old))
+        return F.when(old.rlike("^[A-Z]"), F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, F.lit(2), F.length(new)))).otherwise(new)
 
-    def first(kind: str, applies, make) -> Column:
-        found = F.transform(words, lambda w, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), core(w).alias("old"), make(core(w)).alias("new")))
-        return F.get(F.filter(found, lambda f: applies(f["old"])), 0)
+    def made(f: Column) -> Column:
+        old = f["old"]
+        news = [(kind, swapped(old, table)) for kind, table in kinds]
+        news.append(("number", (old.try_cast("decimal(20,0)") * 3).cast("string")))
+        news.append(("digits", F.concat(F.substring(old, F.lit(1), F.length(old) - 1), ((F.right(old, F.lit(1)).try_cast("int") + 1) % 10).cast("string"))))
+        news.append(("negation", F.concat(old, F.lit(" not"))))
+        pick = lambda values: _case((f["kind"] == i, v) for i, v in enumerate(values))
+        return F.struct(pick([F.lit(kind) for kind, _ in news]).alias("kind"), f["place"].alias("place"), old.alias("old"), pick([new for _, new in news]).alias("new"))
 
-    def swapped(pairs: Sequence[tuple[str, str]]):
-        table = F.create_map(*[F.lit(x) for a, b in swap_table(pairs).items() for x in (a, b)])
+    # Each word is looked at once; lambdas over arrays of one element hold what is used twice.
+    found = F.transform(F.array(F.transform(words, lambda w: place_of_kind(core(w)))), lambda ks: F.struct(F.array_min(ks).alias("kind"), (F.array_position(ks, F.array_min(ks)) - 1).cast("int").alias("place")))
+    found = F.transform(found, lambda f: F.struct(f["kind"].alias("kind"), f["place"].alias("place"), core(F.get(words, f["place"])).alias("old")))
+    return F.get(F.transform(F.filter(found, lambda f: f["kind"].isNotNull()), made), 0)
 
-        def make(old: Column) -> Column:
-            new = F.element_at(table, F.lower(old))
-            return F.when(old.rlike("^[A-Z]"), F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, F.lit(2), F.length(new)))).otherwise(new)
 
-        return (lambda old: F.map_contains_key(table, F.lower(old))), make
+def mutated(rows: DataFrame, words: str, tables: Mapping[str, Sequence[tuple[str, str]]] = TABLES) -> DataFrame:
+    """Rows with a mutation of their list of words, as `m`.
 
-    tripled = lambda old: (old.try_cast("decimal(20,0)") * 3).cast("string")
-    following = lambda old: F.concat(F.substring(old, F.lit(1), F.length(old) - 1), ((F.right(old, F.lit(1)).try_cast("int") + 1) % 10).cast("string"))
-    tries = [first(kind, *swapped(pairs)) for kind, pairs in tables.items()]
-    tries += [first("number", lambda old: old.rlike("^[0-9]{1,19}$"), tripled), first("digits", lambda old: old.rlike("^[0-9]{20,}$"), following)]
-    tries += [first("negation", lambda old: F.lower(old).isin(*auxiliaries), lambda old: F.concat(old, F.lit(" not")))]
-    return F.coalesce(*tries)
+    The explode of one element keeps the filter behind it, so that the mutation is not made twice."""
+    return rows.select("*", F.explode(F.array(mutated_words(F.col(words), tables))).alias("m")).where("m is not null")
 
 
 def with_mutation(words: Column, mutation: Column) -> Column:
@@ -137,7 +157,7 @@ def levels(docs: DataFrame, parts: int = 3, seed: int = 1, tables: Mapping[str,
     cut = words.select("doc_id", "source", *[F.slice("w", (n * i + 1).cast("int"), n).alias(name) for i, name in enumerate(("ctx", "ok", "later"))])
     base, other = cut.select("doc_id", "ctx", "ok", "later"), cut.select(F.col("doc_id").alias("mate"), F.col("ok").alias("bad"))
     out = base.select("doc_id", F.lit("L2").alias("level"), "ctx", "ok", F.col("later").alias("bad"))
-    payload = base.withColumn("m", mutated_words(F.col("ok"), tables)).where("m is not null")
+    payload = mutated(base, "ok", tables)
     out = out.unionByName(payload.select("doc_id", F.lit("L3").alias("level"), "ctx", "ok", with_mutation(F.col("ok"), F.col("m")).alias("bad")))
     for level, by in (("L0", []), ("L1", ["source"])):
         pairs = mates(cut, by, seed).join(other, "mate").select("doc_id", F.lit(level).alias("level"), "bad")

@@ -89,7 +89,7 @@ SELECT doc_id, m.kind AS kind, m.place::int AS place, m.old AS old, m.new AS new
 def swap_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with its first mutation that applies, by tables of words of the prose, numbers and negation."""
     words = table(spark, sf_dir, "documents").select("doc_id", T.word_list(F.col("text")).alias("w"))
-    rows = words.withColumn("m", pairs.mutated_words(F.col("w"), _PROSE)).where("m is not null")
+    rows = pairs.mutated(words, "w", _PROSE)
     return rows.select("doc_id", "m.kind", "m.place", "m.old", "m.new", F.md5(F.array_join(pairs.with_mutation(F.col("w"), F.col("m")), " ")).alias("mutated_md5"))
 
 
