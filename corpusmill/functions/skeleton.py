@@ -23,6 +23,9 @@ LABELLED = {
     "CONC": ("conclusions", "conclusion", "discussion", "interpretation"),
 }
 
+#: As `LABEL`, looked for only where three letters can begin one.
+LABEL_JAVA = LABEL.replace("(?i)", "(?i)(?=[biodspmrfca][aneiuob][ctjmsrani])", 1)
+
 # Heading lines, and the beginnings of those that open a stage.
 HEADING = r"(?i)^(?:introduction|background|introducit|[oó]n|methods?|material(?:s)? and methods?|methodology|experimental (?:section|methods?|procedure|setup)|results?|findings?|results and discussion|discussion|conclusions?|discussion and conclusions?|implications?|summary|synthesis|[0-9]+\.?\s*(?:introduction|background|methods?|results?|discussion|conclusion))$"
 HEADED = {"OBS": ("intro", "backg"), "EVID": ("result", "finding"), "CONC": ("discussion", "conclu", "summary", "implic")}
@@ -38,6 +41,9 @@ PHRASES = {
 #: Marks that no text holds: before a label, and between it and its body.
 OPEN, CLOSE = "\u0001", "\u0002"
 
+#: What every text with a heading line has: the beginning of one behind a line break.
+HEADING_START = HEADING.replace("(?i)^", f"(?i)(?:^|\\n)[\\s{OPEN}{CLOSE}]*").removesuffix("$")
+
 
 def _first_bodies(found: Column) -> Column:
     """The first body of each stage in an array of (stage, body)."""
@@ -56,21 +62,29 @@ def _pieces(marked: Column) -> Column:
 
 
 def _unmarked(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), OPEN + CLOSE, "  ")
+    text = F.coalesce(text, F.lit(""))
+    return F.when(text.contains(OPEN) | text.contains(CLOSE), F.translate(text, OPEN + CLOSE, "  ")).otherwise(text)
 
 
-def labelled(text: Column, least: int = 20, most: int = 900) -> Column:
+def labelled(text: Column, least: int = 20, most: int = 900, flat: Column | None = None) -> Column:
     """Stages from inline labels, two at least: of each the first body of `least` characters (the last label's may be shorter), cut at `most`.
 
     A label is one wherever it stands, if a colon or stop follows; methods and unknown labels only end the body before."""
-    pieces = _pieces(F.regexp_replace(T.normal_space(_unmarked(text)), LABEL, f"{OPEN}$1{CLOSE}"))
+    flat = T.normal_space(F.coalesce(text, F.lit(""))) if flat is None else flat
+    flat = F.when(flat.contains(OPEN) | flat.contains(CLOSE), T.normal_space(_unmarked(flat))).otherwise(flat)
+    marked = F.regexp_replace(flat, LABEL_JAVA, f"{OPEN}$1{CLOSE}")
 
     def stage(mark: Column) -> Column:
         return reduce(lambda c, s: c.when(F.lower(mark).isin(*LABELLED[s]), s), list(LABELLED)[1:], F.when(F.lower(mark).isin(*LABELLED["OBS"]), "OBS"))
 
-    found = F.transform(pieces, lambda p, i: F.struct(stage(p["mark"]).alias("stage"), F.substring(F.regexp_replace(p["body"], "^[ :]+|[ :]+$", ""), 1, most).alias("body"), (i + 1 == F.size(pieces)).alias("last")))
-    good = F.filter(found, lambda f: (F.length(f["body"]) >= least) | f["last"])
-    return F.when(F.size(pieces) >= 2, _first_bodies(good)).otherwise(F.array(*[F.lit(None).cast("string")] * len(ORDER)))
+    def bodies(pieces: Column) -> Column:
+        found = F.transform(pieces, lambda p, i: F.struct(stage(p["mark"]).alias("stage"), F.substring(F.regexp_replace(p["body"], "^[ :]+|[ :]+$", ""), 1, most).alias("body"), (i + 1 == F.size(pieces)).alias("last")))
+        good = F.filter(found, lambda f: (F.length(f["body"]) >= least) | f["last"])
+        return _first_bodies(good)
+
+    # A lambda over an array of one holds the pieces, which are used several times.
+    found = F.get(F.transform(F.filter(F.array(_pieces(marked)), lambda ps: F.size(ps) >= 2), bodies), 0)
+    return F.coalesce(found, F.array(*[F.lit(None).cast("string")] * len(ORDER)))
 
 
 def headed(text: Column, least: int = 121, most: int = 1500) -> Column:
@@ -83,21 +97,26 @@ def headed(text: Column, least: int = 121, most: int = 1500) -> Column:
 
     marked = F.transform(lines, lambda x: F.when((F.length(x) < 90) & x.rlike(HEADING), F.concat(F.lit(OPEN), stage(F.lower(x)), F.lit(CLOSE))).otherwise(x))
     found = F.transform(_pieces(F.array_join(F.filter(marked, lambda x: x != ""), " ")), lambda p: F.struct(p["mark"].alias("stage"), F.substring(F.trim(p["body"]), 1, most).alias("body")))
-    return _first_bodies(F.filter(found, lambda f: F.length(f["body"]) >= least))
+    good = F.get(F.transform(F.array(found), lambda fs: _first_bodies(F.filter(fs, lambda f: F.length(f["body"]) >= least))), 0)
+    return F.when(text.rlike(HEADING_START), good).otherwise(F.array(*[F.lit(None).cast("string")] * len(ORDER)))
 
 
 def sentences(text: Column, limit: int | None = None) -> Column:
     """Sentences of a text (of its first `limit` characters): cut after . ! or ? before a capital, digit, brace or backslash."""
     flat = T.normal_space(text)
-    flat = flat if limit is None else F.substring(flat, 1, limit)
-    return F.filter(F.split(flat, "(?<=[.!?])\\s+(?=[A-Z]|[0-9]|[{\\\\\\[])"), lambda s: s != "")
+    return _cut(flat if limit is None else F.substring(flat, 1, limit))
+
+
+def _cut(flat: Column) -> Column:
+    """Sentences of a text whose white space is single spaces."""
+    return F.filter(F.split(flat, " (?<=[.!?] )(?=[A-Z0-9{\\\\\\[])"), lambda s: s != "")
 
 
-def announced(parts: Column, least: int = 46, most: int = 400) -> Column:
+def announced(parts: Column, least: int = 46, most: int = 400, flat: Column | None = None) -> Column:
     """Stages from the first sentence of `least` characters with a phrase, cut at `most`.
 
     Observations and hypotheses are looked for in the first third of the sentences and the one behind it, evidence and
-    conclusions from the end of the first third on."""
+    conclusions from the end of the first third on.  With `flat`, the text of the sentences, these are only looked at if it has the phrase at all."""
     third = F.greatest(F.lit(1), F.floor(F.size(parts) / 3))
 
     def first(stage: str) -> Column:
@@ -105,7 +124,8 @@ def announced(parts: Column, least: int = 46, most: int = 400) -> Column:
             return F.lit(None).cast("string")
         late = stage in ("EVID", "CONC")
         hit = F.filter(parts, lambda s, i: ((i >= third) if late else (i <= third)) & (F.length(s) >= least) & F.lower(s).rlike(PHRASES[stage]))
-        return F.substring(F.get(hit, 0), 1, most)
+        found = F.substring(F.get(hit, 0), 1, most)
+        return found if flat is None else F.when(F.lower(flat).rlike(PHRASES[stage]), found)
 
     return F.array(*[first(s) for s in ORDER])
 
@@ -119,8 +139,9 @@ def skeletons(docs: DataFrame, text_col: str = "text", least: int = 3) -> DataFr
     four, cut at 200.  LaTeX should be stripped before.
     """
     text = F.col(text_col)
-    rows = docs.withColumn("__parts", sentences(F.coalesce(text, F.lit(""))))
-    rows = rows.withColumns({"__labels": labelled(text), "__headings": headed(text), "__phrases": announced(F.col("__parts"))})
+    rows = docs.withColumn("__flat", T.normal_space(F.coalesce(text, F.lit(""))))
+    rows = rows.withColumn("__parts", _cut(F.col("__flat")))
+    rows = rows.withColumns({"__labels": labelled(text, flat=F.col("__flat")), "__headings": headed(text), "__phrases": announced(F.col("__parts"), flat=F.col("__flat"))})
 
     def count(c: str) -> Column:
         return F.size(F.array_compact(F.col(c)))
