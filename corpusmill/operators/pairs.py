@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, word_list
+from ..sources.shared import checkpointed
 from .order import draw, ring
 
 #: Words and what they turn into, fixed values; both directions hold.
@@ -152,20 +153,25 @@ def levels(docs: DataFrame, parts: int = 3, seed: int = 1, tables: Mapping[str,
     The false continuation is that of any document (L0), of one of the same source (L1), a later part of the same text (L2),
     or the true one with one mutation (L3, where one applies).
     """
-    words = docs.select("doc_id", "source", word_list(F.col("text")).alias("w")).where(F.size("w") >= 4 * parts)
+    # The explode of one element keeps the filter behind it, so that no text is split twice.
+    words = docs.select("doc_id", "source", F.explode(F.array(word_list(F.col("text")))).alias("w")).where(F.size("w") >= 4 * parts)
     n = F.floor(F.size("w") / parts).cast("int")
     cut = words.select("doc_id", "source", *[F.slice("w", (n * i + 1).cast("int"), n).alias(name) for i, name in enumerate(("ctx", "ok", "later"))])
     base, other = cut.select("doc_id", "ctx", "ok", "later"), cut.select(F.col("doc_id").alias("mate"), F.col("ok").alias("bad"))
-    out = base.select("doc_id", F.lit("L2").alias("level"), "ctx", "ok", F.col("later").alias("bad"))
-    payload = mutated(base, "ok", tables)
-    out = out.unionByName(payload.select("doc_id", F.lit("L3").alias("level"), "ctx", "ok", with_mutation(F.col("ok"), F.col("m")).alias("bad")))
-    for level, by in (("L0", []), ("L1", ["source"])):
-        pairs = mates(cut, by, seed).join(other, "mate").select("doc_id", F.lit(level).alias("level"), "bad")
-        out = out.unionByName(pairs.join(base.drop("later"), "doc_id").select("doc_id", "level", "ctx", "ok", "bad"))
+    # What a text gives by itself comes from one reading of it, both kinds of mates share the two joins with words.
+    own = base.select("doc_id", "ctx", "ok", "later", F.explode(F.array(mutated_words(F.col("ok"), tables))).alias("m"))
+    made = F.array(F.struct(F.lit("L2").alias("level"), F.col("later").alias("bad")), F.struct(F.lit("L3").alias("level"), with_mutation(F.col("ok"), F.col("m")).alias("bad")))
+    out = own.select("doc_id", "ctx", "ok", F.explode(made).alias("x")).select("doc_id", "x.level", "ctx", "ok", "x.bad").where("bad is not null")
+    ids = checkpointed(cut.select("doc_id", "source"))
+    found = [mates(ids, by, seed).withColumn("level", F.lit(level)) for level, by in (("L0", []), ("L1", ["source"]))]
+    pairs = reduce(DataFrame.unionByName, found).join(other, "mate").select("doc_id", "level", "bad")
+    out = out.unionByName(pairs.join(base.drop("later"), "doc_id").select("doc_id", "level", "ctx", "ok", "bad"))
     return out
 
 
 def overlap(pairs: DataFrame) -> DataFrame:
     """(level, pairs, to_ok, to_bad, margin): mean Jaccard overlap of the context with both continuations."""
-    ok, bad = jaccard(F.col("ctx"), F.col("ok")), jaccard(F.col("ctx"), F.col("bad"))
-    return pairs.groupBy("level").agg(F.count("*").alias("pairs"), F.round(F.avg(ok), 6).alias("to_ok"), F.round(F.avg(bad), 6).alias("to_bad"), F.round(F.avg(ok - bad), 6).alias("margin"))
+    # Overlaps are columns of their own, so that each is made once a row and not once for each mean.
+    rows = pairs.select("level", jaccard(F.col("ctx"), F.col("ok")).alias("ok"), jaccard(F.col("ctx"), F.col("bad")).alias("bad"))
+    ok, bad = F.col("ok"), F.col("bad")
+    return rows.groupBy("level").agg(F.count("*").alias("pairs"), F.round(F.avg(ok), 6).alias("to_ok"), F.round(F.avg(bad), 6).alias("to_bad"), F.round(F.avg(ok - bad), 6).alias("margin"))
