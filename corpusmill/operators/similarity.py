@@ -27,6 +27,8 @@ def _dealt(df: DataFrame, blocks: int, others: int, side: str, mine: str, other:
 
 #: Rows of a block that one task multiplies, and rows and columns of the tiles that it works on.
 BLOCK, TILE = 32768, (512, 2048)
+#: Pairs of blocks have a task each, up to so many tasks.
+TASKS = 4096
 
 
 def _blocks(n: int, most: int) -> int:
@@ -59,10 +61,27 @@ def _merged(best: tuple, rows: np.ndarray, sims: np.ndarray, ids: np.ndarray, k:
     values[touched[r[first]], place[first]], known[touched[r[first]], place[first]] = s[first], i[first]
 
 
+def _places(mask: np.ndarray) -> np.ndarray:
+    """np.flatnonzero of a contiguous mask with few places set: it looks at eight of them at a time first."""
+    flat = mask.ravel()
+    if flat.size % 8:
+        return np.flatnonzero(flat)
+    eights = np.flatnonzero(flat.view(np.uint64))
+    return (eights[:, None] * 8 + np.arange(8))[flat.reshape(-1, 8)[eights]]
+
+
+def _under(sims: np.ndarray, k: int) -> np.ndarray:
+    """For each row a number that at least k of its columns reach: the k-th of the maxima of 16 columns each, or of all columns where there are few."""
+    if sims.shape[1] % 16 == 0 and sims.shape[1] // 16 >= k:
+        sims = sims.reshape(len(sims), 16, -1).max(axis=1)
+    return np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
+
+
 def _nearest(m: np.ndarray, ids: np.ndarray, n: np.ndarray, others: np.ndarray, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray]:
     """(similarities, ids), k columns each: the best k rows of `n` (ids ascending) for each row of `m`, in double precision; -inf where there are fewer.
 
-    Tiles are multiplied in single precision, whose error is bounded; only what may be among the best is multiplied again in double.
+    Tiles are multiplied in single precision, whose error is bounded; only what may be among the best is multiplied again in double,
+    as soon as a few places for each row have come together.
     """
     values, known = np.full((len(m), k), -np.inf), np.full((len(m), k), np.iinfo(np.int64).max)
     lengths = np.linalg.norm(m, axis=1)
@@ -73,20 +92,30 @@ def _nearest(m: np.ndarray, ids: np.ndarray, n: np.ndarray, others: np.ndarray,
     scale = lengths * largest
     floor = -np.inf if least is None else least
     high, wide = TILE
+    room = np.empty(TILE, np.float32), np.empty(TILE, bool)
     for i in range(0, len(m), high):
         mine = slice(i, i + high)
         best = values[mine], known[mine]
         part, own = small[mine], ids[mine]
+        bound, waiting, count = None, [], 0
         for j in range(0, len(n), wide):
-            sims = part @ others32[j : j + wide].T
-            # Below the bound, even with the error of both, nothing is among the best.
-            bound = np.maximum(best[0][:, k - 1], floor) / scale[mine] - margin
-            if not np.isfinite(bound).all() and sims.shape[1] > k + 1:
+            across = others32[j : j + wide].T
+            whole = (len(part), across.shape[1]) == TILE
+            sims = np.matmul(part, across, out=room[0] if whole else None)
+            if bound is None:
+                # Below the bound, even with the error of both, nothing is among the best.
+                bound = np.maximum(best[0][:, k - 1], floor) / scale[mine] - margin
+            if (j == 0 or not np.isfinite(bound).all()) and sims.shape[1] > k + 1:
                 # The k best of the tile and the row itself come before anything under this.
-                bound = np.maximum(bound, np.partition(sims, sims.shape[1] - k - 1, axis=1)[:, sims.shape[1] - k - 1] - margin)
+                bound = np.maximum(bound, _under(sims, k + 1) - margin)
             bound = np.where(np.isnan(bound), -np.inf, bound).astype(np.float32)
-            flat = np.flatnonzero(sims >= bound[:, None])
-            r, c = flat // sims.shape[1], flat % sims.shape[1] + j
+            flat = _places(np.greater_equal(sims, bound[:, None], out=room[1] if whole else None))
+            waiting.append((flat // sims.shape[1], flat % sims.shape[1] + j))
+            count += len(flat)
+            if count < 4 * len(part) and j + wide < len(n):
+                continue
+            r, c = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            bound, waiting, count = None, [], 0
             other = own[r] != others[c]
             r, c = r[other], c[other]
             if len(r):
@@ -104,8 +133,9 @@ def top_k(left: DataFrame, right: DataFrame, k: int, *, least: float | None = No
     `unit` scales them); ties go to the smaller id.  With `least`, only similarities of that at least.
     """
     nl, nr = (_blocks(side.count(), block_rows) for side in (left, right))
-    a = _dealt(left, nl, nr, "l", "x", "y")
-    b = _dealt(right, nr, nl, "r", "y", "x")
+    tasks = min(nl * nr, TASKS)  # a given number, as few bytes of vectors are much work and would be put into few tasks
+    a = _dealt(left, nl, nr, "l", "x", "y").repartition(tasks, "l_x", "l_y")
+    b = _dealt(right, nr, nl, "r", "y", "x").repartition(tasks, "r_x", "r_y")
 
     def best(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out = {"src": [], "dst": [], "sim": []}

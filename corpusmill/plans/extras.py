@@ -169,7 +169,9 @@ def hard_negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring documents whose numbers differ, two pairs for each at most, the nearest first; vector ids stand for documents."""
     v = analysis.vectors(spark, sf_dir)
     edges = dedup.canonical_edges(similarity.top_k(v, v, 8, least=0.2))
-    nums = table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\\s+")).alias("n"), T.numbers(F.col("text")).alias("nums"))
+    # A count that can be null would get a filter before the joins that splits each text once more; nulls have no numbers and go with those below.
+    words = F.coalesce(F.size(F.split("text", "\\s+")), F.lit(0))
+    nums = table(spark, sf_dir, "documents").select("doc_id", words.alias("n"), T.numbers(F.col("text")).alias("nums"))
     sides = edges.join(nums.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("nums").alias("x")), "a").join(nums.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("nums").alias("y")), "b")
     only = F.when(F.size(F.array_except("x", "y")) > 0, F.array_except("x", "y")).otherwise(F.array_except("y", "x"))
     kept = sides.where((F.size(only) > 0) & (F.col("na") + F.col("nb") <= 2000)).select("a", "b", "sim")
