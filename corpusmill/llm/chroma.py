@@ -11,7 +11,7 @@ their equal integers agree on, and compared there by their share of differing bi
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,9 @@ SMALL = 22
 #: Frames transformed at once.
 BATCH = 1 << 15
 #: Pairs of places that meet, or are compared, at once.
-PAIRS = 1 << 21
+PAIRS = 1 << 20
+#: Positions of recordings that are looked at together.
+POSITIONS = 1 << 19
 
 
 def _pitch_classes() -> np.ndarray:
@@ -109,10 +111,10 @@ def fingerprints(rows: DataFrame, audio_col: str, out_col: str = "fingerprint")
     return rows.withColumn(out_col, run(audio_col))
 
 
-def _values(prints: np.ndarray) -> np.ndarray:
-    """The anchor at each position: the hash of two values `PAIR` positions apart."""
-    prints = prints.astype(np.uint64)
-    return mix(prints[:-PAIR], 7) ^ mix(prints[PAIR:], 8) if len(prints) > PAIR else prints[:0]
+def _values(prints: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """The anchor at each position (or those at `at`): the hash of two values `PAIR` positions apart."""
+    at = np.arange(max(0, len(prints) - PAIR)) if at is None else at
+    return mix(prints[at].astype(np.uint64), 7) ^ mix(prints[at + PAIR].astype(np.uint64), 8)
 
 
 def _join(parts: list[np.ndarray], kind) -> np.ndarray:
@@ -123,121 +125,195 @@ def _packed(out: list[tuple], columns: list[str]) -> pd.DataFrame:
     return pd.DataFrame(out, columns=columns)
 
 
-def _postings(spread: int, salts: int):
-    """Anchors of a run of classes, packed by (bucket of the value, salt): value, class, place and what it is.
+def _flat(prints: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints one after another, and the number of positions of each."""
+    return np.frombuffer(b"".join(prints), np.uint32), np.array([len(b) // 4 for b in prints], np.int64)
 
-    An anchor is data (1) in the salt of its class and, where the class asks, a question (2) in all salts.  Where an edit could
+
+def _anchors(flat: np.ndarray, n: np.ndarray, apart: int = PAIR, which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first position in `flat`, recording, place) of all pairs of values `apart` positions apart, in order; `which` chooses recordings."""
+    have = np.maximum(0, n - apart)
+    if which is not None:
+        have = np.where(which, have, 0)
+    owner = np.repeat(np.arange(len(n)), have)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(have) - have, have)
+    return (np.cumsum(n) - n)[owner] + place, owner, place
+
+
+def _postings(spread: int, salts: int, least_votes: int):
+    """Which values each recording has, packed by (bucket of the value, salt): value, class, places (`least_votes` at most) and what it is.
+
+    A value is data (1) in the salt of its class and, where the class asks, a question (2) in all salts.  Where an edit could
     spoil all anchors (under `SMALL` positions) pairs of neighbouring values (4) are added, which make a candidate but no vote."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            value, owner, place, near = [], [], [], []
-            for k, b in enumerate(rows["print"]):
-                prints = np.frombuffer(b, np.uint32)
-                parts = [(_values(prints), 0)]
-                if len(prints) < SMALL:
-                    parts.append((mix(prints[:-1].astype(np.uint64), 6) ^ mix(prints[1:].astype(np.uint64), 4), 4))
-                for v, flag in parts:
-                    value.append(v)
-                    owner.append(np.full(len(v), k))
-                    place.append(np.arange(len(v), dtype=np.int32))
-                    near.append(np.full(len(v), flag, np.uint8))
-            if not value:
-                continue
-            value, owner, place, near = map(np.concatenate, (value, owner, place, near))
-            ids, asked = rows["class"].to_numpy(np.int64)[owner], rows["asked"].to_numpy(bool)[owner]
-            bucket = (mix(value, 3) % np.uint64(spread)).astype(np.int64)
-            own = (mix(ids.astype(np.uint64), 2) % np.uint64(salts)).astype(np.int64)
-            for k in range(spread * salts):
-                v, salt = divmod(k, salts)
-                at = np.flatnonzero((bucket == v) & ((own == salt) | asked))
+            prints, ids, asked = rows["print"].to_numpy(), rows["class"].to_numpy(np.int64), rows["asked"].to_numpy(bool)
+            for a, b in runs([len(x) // 4 for x in prints], POSITIONS):
+                yield _packed(list(packed(*_flat(prints[a:b]), ids[a:b], asked[a:b])), ["bucket", "data"])
+
+    def packed(flat: np.ndarray, n: np.ndarray, ids: np.ndarray, asked: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        at, owner, _ = _anchors(flat, n)
+        next_to, small, _ = _anchors(flat, n, 1, n < SMALL)
+        near = mix(flat[next_to].astype(np.uint64), 6) ^ mix(flat[next_to + 1].astype(np.uint64), 4)
+        value, owner, flag = np.append(_values(flat, at), near), np.append(owner, small), np.repeat(np.array([0, 4], np.uint8), (len(at), len(near)))
+        order = np.argsort(value, kind="stable")  # owners stay in order
+        value, owner, flag = value[order], owner[order], flag[order]
+        first = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1]) | (flag[1:] != flag[:-1]))) if len(value) else np.zeros(0, np.int64)
+        places = np.minimum(np.diff(np.append(first, len(value))), least_votes).astype(np.int32)
+        value, owner, flag = value[first], owner[first], flag[first]
+        # Values are hashes, so equal ranges of them are buckets.
+        bucket = ((value >> np.uint64(32)) * np.uint64(spread) >> np.uint64(32)).astype(np.int64)
+        own = (mix(ids.astype(np.uint64), 2) % np.uint64(salts)).astype(np.int64)[owner]
+        ids, asked = ids[owner], asked[owner]
+        cut = np.searchsorted(bucket, np.arange(spread + 1))
+        for v in range(spread):
+            here = slice(cut[v], cut[v + 1])
+            for salt in range(salts):
+                at = np.flatnonzero((own[here] == salt) | asked[here]) + cut[v]
                 if len(at):
-                    what = near[at] | (own[at] == salt) | asked[at].astype(np.uint8) << 1
-                    yield _packed([(k, np.int64(len(at)).tobytes() + value[at].tobytes() + ids[at].tobytes() + place[at].tobytes() + what.astype(np.uint8).tobytes())], ["bucket", "data"])
+                    what = flag[at] | (own[at] == salt) | asked[at].astype(np.uint8) << 1
+                    yield v * salts + salt, np.int64(len(at)).tobytes() + value[at].tobytes() + ids[at].tobytes() + places[at].tobytes() + what.astype(np.uint8).tobytes()
 
     return run
 
 
-def _summed(q: np.ndarray, d: np.ndarray, offset: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The votes of each (q, d, offset), in order."""
-    order = np.lexsort((offset, d, q))
-    q, d, offset, votes = q[order], d[order], offset[order], votes[order]
-    first = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (d[1:] != d[:-1]) | (offset[1:] != offset[:-1]))) if len(q) else np.zeros(0, np.int64)
-    return q[first], d[first], offset[first], np.add.reduceat(votes, first) if len(first) else votes
+#: What is packed of a candidate: question, other class, most votes that one offset can have, whether neighbouring values are shared.
+CANDIDATE = (np.int64, np.int64, np.int32, bool)
 
 
-def _dealt(q: np.ndarray, d: np.ndarray, offset: np.ndarray, votes: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    for k in np.unique(block):
-        at = np.flatnonzero(block == k)
-        yield int(k), np.int64(len(at)).tobytes() + q[at].tobytes() + d[at].tobytes() + offset[at].astype(np.int32).tobytes() + votes[at].astype(np.int32).tobytes()
+def _unpacked(data: Iterable[bytes], kinds: tuple) -> list[np.ndarray]:
+    parts: list[list] = [[] for _ in kinds]
+    for b in data:
+        n, at = int(np.frombuffer(b, np.int64, 1)[0]), 8
+        for part, kind in zip(parts, kinds, strict=True):
+            part.append(np.frombuffer(b, kind, n, at))
+            at += np.dtype(kind).itemsize * n
+    return [_join(part, kind) for part, kind in zip(parts, kinds, strict=True)]
 
 
-def _gathered(data: pd.Series) -> tuple[np.ndarray, ...]:
-    q, d, offset, votes = [], [], [], []
-    for b in data:
-        n = int(np.frombuffer(b, np.int64, 1)[0])
-        q.append(np.frombuffer(b, np.int64, n, 8))
-        d.append(np.frombuffer(b, np.int64, n, 8 + 8 * n))
-        offset.append(np.frombuffer(b, np.int32, n, 8 + 16 * n))
-        votes.append(np.frombuffer(b, np.int32, n, 8 + 20 * n))
-    return _join(q, np.int64), _join(d, np.int64), _join(offset, np.int32), _join(votes, np.int32)
+def _summed(pair: np.ndarray, votes: np.ndarray, near: np.ndarray, least_votes: int) -> tuple[np.ndarray, ...]:
+    """Each pair once, in order, with its votes (`least_votes` at most)."""
+    order = np.argsort(pair, kind="stable")
+    pair, votes, near = pair[order], votes[order], near[order]
+    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
+    if len(first):
+        votes, near = np.minimum(np.add.reduceat(votes.astype(np.int64), first), least_votes).astype(np.int32), np.logical_or.reduceat(near, first)
+    return pair[first], votes, near
+
+
+def _dealt(q: np.ndarray, d: np.ndarray, votes: np.ndarray, near: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    if not len(q):
+        return
+    order = np.argsort(block, kind="stable")
+    keys, first = np.unique(block[order], return_index=True)
+    for k, at in zip(keys.tolist(), np.split(order, first[1:]), strict=True):
+        yield k, np.int64(len(at)).tobytes() + q[at].tobytes() + d[at].tobytes() + votes[at].tobytes() + near[at].tobytes()
 
 
 def _block(ids: np.ndarray, blocks: int) -> np.ndarray:
     return (mix(ids.astype(np.uint64), 1) % np.uint64(blocks)).astype(np.int64)
 
 
-def _vote(blocks: int):
-    """Votes of a bucket: each place of a value in a question meets all its places in other classes, `PAIRS` at a time."""
+def _meet(blocks: int, least_votes: int):
+    """Candidates of a bucket: each question with a value meets all other classes that have it, `PAIRS` at a time; places are not multiplied.
+
+    At one offset a value gives two recordings no more votes than the one with fewer places of it has places."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        parts: list[list] = [[], [], [], []]
-        for b in rows["data"]:
-            n, at = int(np.frombuffer(b, np.int64, 1)[0]), 8
-            for k, (kind, size) in enumerate(((np.uint64, 8), (np.int64, 8), (np.int32, 4), (np.uint8, 1))):
-                parts[k].append(np.frombuffer(b, kind, n, at))
-                at += size * n
-        value, ids, place, what = map(np.concatenate, parts)
+        value, ids, places, what = _unpacked(rows["data"], (np.uint64, np.int64, np.int32, np.uint8))
+        names, ids = np.unique(ids, return_inverse=True)
         data, asks = np.flatnonzero(what & 1), np.flatnonzero(what & 2)
         data = data[np.argsort(value[data], kind="stable")]
         low, high = (np.searchsorted(value[data], value[asks], side=s) for s in ("left", "right"))
         met = high - low
-        out = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))
+        pair, votes, near = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
         for a, b in runs(met.tolist(), PAIRS):
             i = np.repeat(np.arange(a, b), met[a:b])
             j = data[low[i] + np.arange(len(i)) - np.repeat(np.cumsum(met[a:b]) - met[a:b], met[a:b])]
             i = asks[i]
             keep = ids[i] != ids[j]
             i, j = i[keep], j[keep]
-            new = _summed(ids[i], ids[j], place[j] - place[i], (what[i] & 4 == 0).astype(np.int32))
-            out = _summed(*(np.concatenate(x) for x in zip(out, new, strict=True))) if len(out[0]) else new
-        return _packed(list(_dealt(*out, _block(out[0], blocks))), ["block", "data"])
+            by = what[i] & what[j] & 4 > 0
+            new = ids[i] * len(names) + ids[j], np.where(by, 0, np.minimum(places[i], places[j])).astype(np.int32), by
+            pair, votes, near = _summed(*(np.concatenate(x) for x in zip((pair, votes, near), new, strict=True)), least_votes)
+        q, d = names[pair // max(1, len(names))], names[pair % max(1, len(names))]
+        return _packed(list(_dealt(q, d, votes, near, _block(q, blocks))), ["block", "data"])
 
     return run
 
 
 def _pick(blocks: int, least_votes: int):
-    """For each pair the offset with most votes (then the nearest to 0), and the prints of those that ask, dealt by the other side."""
-
-    def run(votes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        q, d, offset, n = _summed(*_gathered(votes["data"]))
-        order = np.lexsort((-offset, np.abs(offset), -n, d, q))
-        q, d, offset, n = q[order], d[order], offset[order], n[order]
-        best = np.append(True, (q[1:] != q[:-1]) | (d[1:] != d[:-1])) if len(q) else np.zeros(0, bool)
-        # Pairs without a vote are candidates of short recordings.
-        near = {(a, b) for a, b in zip(q[n == 0].tolist(), d[n == 0].tolist(), strict=True)}
-        keep = np.flatnonzero(best & (n >= least_votes)) if not near else np.flatnonzero(best & ((n >= least_votes) | np.fromiter(((a, b) in near for a, b in zip(q.tolist(), d.tolist(), strict=True)), bool, len(q))))
-        q, d, offset, n = q[keep], d[keep], offset[keep], n[keep]
-        prints, out = dict(zip(asked["class"].tolist(), asked["print"], strict=True)), []
-        for k, data in _dealt(q, d, offset, n, _block(d, blocks)):
-            ids = np.unique(_gathered([data])[0])
-            own = [prints[i] for i in ids.tolist()]
-            out.append((k, data, ids.tobytes(), np.array([len(b) // 4 for b in own], np.int64).tobytes(), b"".join(own)))
+    """The candidates that may have `least_votes` or share neighbouring values, and the prints of those that ask, dealt by the other side."""
+
+    def run(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        q, d, votes, near = _unpacked(rows["data"], CANDIDATE)
+        names, d = np.unique(d, return_inverse=True)
+        own, prints = asked["class"].to_numpy(np.int64), asked["print"].to_numpy()
+        order = np.argsort(own)
+        own, prints = own[order], prints[order]
+        pair, votes, near = _summed(np.searchsorted(own, q) * len(names) + d, votes, near, least_votes)
+        keep = np.flatnonzero((votes >= least_votes) | near)
+        i, d, votes, near = pair[keep] // max(1, len(names)), names[pair[keep] % max(1, len(names))], votes[keep], near[keep]
+        out = []
+        for k, data in _dealt(own[i], d, votes, near, _block(d, blocks)):
+            at = np.unique(np.searchsorted(own, np.frombuffer(data, np.int64, int(np.frombuffer(data, np.int64, 1)[0]), 8)))
+            flat, sizes = _flat(prints[at])
+            out.append((k, data, own[at].tobytes(), sizes.tobytes(), flat.tobytes()))
         return _packed(out, ["block", "data", "ids", "sizes", "prints"])
 
     return run
 
 
+def _known(y: np.ndarray, yn: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The values of recordings one after another, and each anchor's value (as its number), recording and place."""
+    at, owner, place = _anchors(y, yn)
+    known, rank = np.unique(_values(y, at), return_inverse=True)
+    return known, rank, owner, place
+
+
+def _best_offsets(x: np.ndarray, xn: np.ndarray, y: tuple[np.ndarray, ...], yn: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of recordings (i of x, j of those `_known`) the offset with most votes, then the nearest to 0 (the positive of two), and its votes.
+
+    Only values on both sides are looked at; pairs of places are counted straight into the offsets of their pair, `PAIRS` at a time."""
+    known, ry, oy, py = y
+    at, ox, px = _anchors(x, xn)
+    value = _values(x, at)
+    rx = np.minimum(np.searchsorted(known, value), max(0, len(known) - 1))
+    both = np.flatnonzero(known[rx] == value) if len(known) else at[:0]
+    shared = np.zeros(len(known), bool)
+    shared[rx[both]] = True
+    key, px = ox[both] * len(known) + rx[both], px[both]
+    order = np.argsort(key, kind="stable")
+    key, px = key[order], px[order]
+    both = np.flatnonzero(shared[ry])
+    ry, oy, py = ry[both], oy[both], py[both]
+    y0, y1 = (np.searchsorted(oy, np.arange(len(yn)), side=s) for s in ("left", "right"))
+    width = xn[i] + yn[j]
+    offset, votes = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+    for a, b in runs(((y1 - y0)[j] + width).tolist(), PAIRS):
+        size = (y1 - y0)[j[a:b]]
+        pair = np.repeat(np.arange(a, b), size)
+        e = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size) + y0[j[pair]]
+        look = i[pair] * len(known) + ry[e]
+        low, high = (np.searchsorted(key, look, side=s) for s in ("left", "right"))
+        met = high - low
+        base = np.cumsum(width[a:b]) - width[a:b]
+        count = np.zeros(int(width[a:b].sum()), np.int64)
+        for c, f in runs(met.tolist(), PAIRS) if met.sum() > PAIRS else [(0, len(met))]:
+            k = np.repeat(np.arange(c, f), met[c:f])
+            m = low[k] + np.arange(len(k)) - np.repeat(np.cumsum(met[c:f]) - met[c:f], met[c:f])
+            k, to = pair[k], py[e[k]] - px[m]
+            count += np.bincount(base[k - a] + to + xn[i[k]], minlength=len(count))
+        most = np.maximum.reduceat(count, base)
+        top = np.flatnonzero(count == np.repeat(most, width[a:b]))
+        k = np.searchsorted(base, top, side="right") - 1
+        to = top - base[k] - xn[i[k + a]]
+        nearest = np.minimum.reduceat(2 * np.abs(to) + (to < 0), np.searchsorted(k, np.arange(b - a)))
+        offset[a:b], votes[a:b] = np.where(nearest & 1, -(nearest >> 1), nearest >> 1), most
+    return offset, votes
+
+
 def _bit_errors(x: np.ndarray, x0: np.ndarray, xn: np.ndarray, y: np.ndarray, y0: np.ndarray, yn: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Overlap and share of differing bits of pairs of prints x[x0:x0+xn], y[y0:y0+yn] at their offsets."""
     p, q = np.maximum(0, -offset), np.maximum(0, offset)
@@ -257,20 +333,19 @@ def _score(least_votes: int, most_error: float):
     """Matches of a block's recordings with those that ask: for each of these their number and the best."""
 
     def run(pairs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        ids = own["class"].to_numpy(np.int64)
-        order = np.argsort(ids)
-        ids, prints = ids[order], [own["print"].iloc[i] for i in order]
-        yn = np.array([len(b) // 4 for b in prints], np.int64)
-        y, y0 = np.frombuffer(b"".join(prints), np.uint32), np.cumsum(yn) - yn
-        out = []
-        for data, names, sizes, flat in zip(pairs["data"], pairs["ids"], pairs["sizes"], pairs["prints"], strict=True):
-            q, d, offset, votes = (v.astype(np.int64) for v in _gathered([data]))
-            names, xn, x = np.frombuffer(names, np.int64), np.frombuffer(sizes, np.int64), np.frombuffer(flat, np.uint32)
+        order = np.argsort(own["class"].to_numpy(np.int64))
+        ids, (y, yn) = own["class"].to_numpy(np.int64)[order], _flat(own["print"].to_numpy()[order])
+        y0, values, out = np.cumsum(yn) - yn, _known(y, yn), []
+        for a, b in runs([len(x) // 4 for x in pairs["prints"]], POSITIONS):
+            q, d, _, near = _unpacked(pairs["data"][a:b], CANDIDATE)
+            names, xn, x = (np.frombuffer(b"".join(pairs[c][a:b]), kind) for c, kind in (("ids", np.int64), ("sizes", np.int64), ("prints", np.uint32)))
             x0 = np.cumsum(xn) - xn
-            i, j = np.searchsorted(names, q), np.searchsorted(ids, d)
+            sorted_names = np.argsort(names)
+            i, j = sorted_names[np.searchsorted(names[sorted_names], q)], np.searchsorted(ids, d)
+            offset, votes = _best_offsets(x, xn, values, yn, i, j)
             overlap, error = _bit_errors(x, x0[i], xn[i], y, y0[j], yn[j], offset)
             error[votes < least_votes] = 1.0
-            small = np.flatnonzero((error > most_error) & (np.maximum(xn[i], yn[j]) < SMALL))
+            small = np.flatnonzero((error > most_error) & ((votes >= least_votes) | near) & (np.maximum(xn[i], yn[j]) < SMALL))
             lengths = xn[i][small] << 8 | yn[j][small]
             for both in np.unique(lengths):
                 at = small[lengths == both]
@@ -378,9 +453,10 @@ def align(rows: DataFrame, queries: Column, *, id_col: str = "doc_id", audio_col
     matches nothing but its copies.  Rows that repeat an id each come back once, if they ask; a repeated row counts as a
     copy.  An empty table gives an empty one.  Audio of any length is read whole.  Other columns, whatever their names, play no part.
 
-    Votes are counted in buckets of anchor values.  A value in many recordings is dealt over a number of tasks that grows
-    with the buckets, and questions meet it there `PAIRS` places at a time; what leaves a task is packed votes, never a row for
-    each pair.
+    Recordings meet in buckets of anchor values, once for each value whatever its places.  A value in many recordings is dealt over a
+    number of tasks that grows with the buckets, and questions meet it there `PAIRS` classes at a time; what leaves a task is packed
+    pairs with the most votes they can have.  Votes are counted where the prints of both sides are, and only for pairs that
+    may have `least_votes`, so that no table of votes by offset is ever held or moved.
     """
     parts = shuffle_partitions(rows.sparkSession)
     base = rows.select(F.col(id_col).cast("long").alias("id"), queries.alias("asked"), F.col(audio_col).alias("audio")).where("id is not null")
@@ -398,8 +474,8 @@ def align(rows: DataFrame, queries: Column, *, id_col: str = "doc_id", audio_col
         return pd.Series(_block(ids.to_numpy(np.int64), blocks))
 
     dealt = long.withColumn("block", block_of("class"))
-    votes = long.mapInPandas(_postings(spread, salts), "bucket long, data binary").repartition(max(parts, spread * salts), "bucket").groupBy("bucket").applyInPandas(_vote(blocks), "block long, data binary")
-    picked = votes.groupBy("block").cogroup(dealt.where("asked").groupBy("block")).applyInPandas(_pick(blocks, least_votes), "block long, data binary, ids binary, sizes binary, prints binary")
+    met = long.mapInPandas(_postings(spread, salts, least_votes), "bucket long, data binary").repartition(max(parts, spread * salts), "bucket").groupBy("bucket").applyInPandas(_meet(blocks, least_votes), "block long, data binary")
+    picked = met.groupBy("block").cogroup(dealt.where("asked").groupBy("block")).applyInPandas(_pick(blocks, least_votes), "block long, data binary, ids binary, sizes binary, prints binary")
     result = "q long, matches long, error double, votes long, d long, offset long, overlap long"
     scored = picked.groupBy("block").cogroup(dealt.groupBy("block")).applyInPandas(_score(least_votes, most_error), result)
     brief = _short_matches(classes, short, most_error).where(F.col("error") <= most_error).select("q", F.lit(1).cast("long").alias("matches"), "error", F.col("votes").cast("long"), "d", F.col("offset").cast("long"), F.col("overlap").cast("long"))
