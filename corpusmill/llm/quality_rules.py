@@ -22,15 +22,15 @@ from .common import checkpointed, words
 #: Words of a repeated window.
 REPEAT = 5
 
-#: What rules may look at, from the columns of `text_statistics`.
+#: What rules may look at, from the columns of `text_statistics`; shares of words are null where a text has none.
 SHARES = {
     "words": "n_words",
-    "word_length": "word_chars / n_words",
-    "symbols": "n_symbols / n_words",
-    "repeats": "n_repeat_words / n_words",
+    "word_length": "word_chars / nullif(n_words, 0)",
+    "symbols": "n_symbols / nullif(n_words, 0)",
+    "repeats": "n_repeat_words / nullif(n_words, 0)",
     "dup_lines": "n_dup_lines / greatest(n_lines, 1)",
-    "marks": "n_exclaim / n_words",
-    "capitals": "n_upper / n_words",
+    "marks": "n_exclaim / nullif(n_words, 0)",
+    "capitals": "n_upper / nullif(n_words, 0)",
     "line_words": "n_words / greatest(n_lines, 1)",
 }
 
@@ -84,7 +84,7 @@ class DecisionList:
     rules: list[list[tuple[str, bool, float]]] = field(default_factory=list)
 
     def expression(self) -> Column:
-        """'rule 1', 'rule 2', ... for the first rule that holds, or null."""
+        """'rule 1', 'rule 2', ... for the first rule that holds, or null; a condition on a null share does not hold."""
         out = None
         for k, rule in enumerate(self.rules, 1):
             when = F.lit(True)
