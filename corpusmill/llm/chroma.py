@@ -162,7 +162,7 @@ def _postings(spread: int, salts: int, least_votes: int):
         first = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1]) | (flag[1:] != flag[:-1]))) if len(value) else np.zeros(0, np.int64)
         places = np.minimum(np.diff(np.append(first, len(value))), least_votes).astype(np.int32)
         value, owner, flag = value[first], owner[first], flag[first]
-        # Values are hashes, so equal ranges of them are buckets.
+        # Values are hashes, so equal ranges of them are buckets; there the lower half will do, as equal halves only make a candidate more.
         bucket = ((value >> np.uint64(32)) * np.uint64(spread) >> np.uint64(32)).astype(np.int64)
         own = (mix(ids.astype(np.uint64), 2) % np.uint64(salts)).astype(np.int64)[owner]
         ids, asked = ids[owner], asked[owner]
@@ -173,7 +173,7 @@ def _postings(spread: int, salts: int, least_votes: int):
                 at = np.flatnonzero((own[here] == salt) | asked[here]) + cut[v]
                 if len(at):
                     what = flag[at] | (own[at] == salt) | asked[at].astype(np.uint8) << 1
-                    yield v * salts + salt, np.int64(len(at)).tobytes() + value[at].tobytes() + ids[at].tobytes() + places[at].tobytes() + what.astype(np.uint8).tobytes()
+                    yield v * salts + salt, np.int64(len(at)).tobytes() + value[at].astype(np.uint32).tobytes() + ids[at].tobytes() + places[at].tobytes() + what.astype(np.uint8).tobytes()
 
     return run
 
@@ -221,7 +221,7 @@ def _meet(blocks: int, least_votes: int):
     At one offset a value gives two recordings no more votes than the one with fewer places of it has places."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        value, ids, places, what = _unpacked(rows["data"], (np.uint64, np.int64, np.int32, np.uint8))
+        value, ids, places, what = _unpacked(rows["data"], (np.uint32, np.int64, np.int32, np.uint8))
         names, ids = np.unique(ids, return_inverse=True)
         data, asks = np.flatnonzero(what & 1), np.flatnonzero(what & 2)
         data = data[np.argsort(value[data], kind="stable")]
